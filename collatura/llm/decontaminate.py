@@ -194,5 +194,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_it
     )
 
 
+def reject(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 2, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``docs``, columns as they are, in which fewer than ``least_items`` items occur.
+
+    One block of test strings filters rows as they are read.  More blocks
+    decide by (doc_id, text hash) first, which equal rows share.
+    """
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, pass_bytes)
+    if len(blocks) == 1:
+        sent = spark.sparkContext.broadcast(blocks[0])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, owners = searchers(sent.value, size)
+            for batch in batches:
+                column = batch.column("text")
+                texts = column.cast(pa.binary() if column.type == pa.string() else pa.large_binary())
+                keep = [len(scan(words_of(t.as_py()), found, owners)[1]) < least_items for t in texts]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    bad = contamination(keyed, benchmark, size, least_items, pass_bytes).where("contaminated").select(F.col("doc_id").alias("key")).distinct()
+    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("key"), "left_anti")
+
+
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -114,3 +114,21 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     columns = ["doc_id", "size", "source_size", "target", "taken"]
     out = taken.select(columns).unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
     return scratch.finish(out, "sized", "targets", "goals")
+
+
+def take(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, n_slots: int = SLOTS) -> DataFrame:
+    """The rows of ``docs``, columns as they are, as often as the mix takes them.
+
+    A row comes round(taken / size) times, halves up, so that the few rows a
+    block cuts stay whole; rows without words do not come.  Rows equal in
+    doc_id, source and size share what is taken of them evenly.
+    """
+    scratch = Scratch(docs.sparkSession, "take")
+    sized = docs.withColumn("__size", n_words(F.col("text")))
+    found = mix(docs, weights, share, most, n_slots)
+    found = found.groupBy("doc_id", "size", "source_size").agg((F.sum("taken") / F.count("*")).alias("taken"))
+    found = scratch.table(found.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__n"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__times")), "times")
+    # Rows of one doc_id and size differ in source only in odd tables; they then share the larger number.
+    found = found.groupBy("__id", "__n").agg(F.max("__times").alias("__times")).where("__times > 0")
+    out = sized.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatura.llm import decontaminate, mixing, simhash, tokens, toxicity, vectors
+from collatura.llm import decontaminate, lines, mixing, passages, pii, quality, simhash, tokens, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The demonstration key of op1; production passes its own secret.
+PII_KEY = b"collatura demonstration key"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for their personal data."""
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all documents by SimHash, at 3 differing bits."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -28,11 +37,26 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learned from weak labels alone."""
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents, and which occurrences go."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words the mix takes of each document."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines repeated within two edits, and which of them go, by document."""
+    return lines.line_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer() -> str:
     """The tokenizer's file; it stays where it is installed."""
     import public_tokenizers
@@ -50,6 +74,6 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_decontaminate, op4_toxicity, op7_mix, op9_tokens, op10_vectors)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_decontaminate, op4_toxicity, op5_quality, op6_passages, op7_mix, op8_lines, op9_tokens, op10_vectors)}
 
 ORACLE: dict[str, str] = {}
