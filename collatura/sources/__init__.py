@@ -1 +1 @@
-
+"""Readers, writers and what guards them."""
