@@ -117,14 +117,13 @@ def number_in_words(n: int, gender: str = "m", genitive: bool = False) -> str:
     return " ".join(out + _below_thousand(n % 1000, gender, genitive))
 
 
-@F.pandas_udf("string")
-def _number_words(n: pd.Series) -> pd.Series:
-    return n.map(lambda x: None if pd.isna(x) else number_in_words(int(x)))
+def number_words(n: Column | str) -> Column:
+    """Whole numbers in words; null stays null.  Agreement needs Python, in Arrow batches."""
 
+    def run(n: pd.Series) -> pd.Series:
+        return n.map(lambda x: None if pd.isna(x) else number_in_words(int(x)))
 
-def number_words(n: Column | str) -> Column:
-    """Whole numbers in words; null stays null."""
-    return _number_words(_c(n).cast("long"))
+    return F.pandas_udf(run, "string")(_c(n).cast("long"))
 
 
 def with_unit(n: Column | str, forms: tuple[str, str, str]) -> Column:
