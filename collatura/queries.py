@@ -166,7 +166,7 @@ def split_compound(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM
-    (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), x -> x <> '') AS ws FROM documents)),
+    (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM documents)),
   s AS (SELECT doc_id, pos, regexp_replace(word, '[^\p{L}]+$', '') AS word, coalesce(regexp_matches(lag(word) OVER w, '[.!?]$'), true) AS start FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
   m AS (SELECT *, regexp_full_match(word, '\p{Lu}\p{Ll}+') AND NOT start AS cap FROM s),
   p AS (SELECT word, cap, lead(word) OVER w AS nw, lead(cap) OVER w AS nc FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -296,7 +296,7 @@ def chapter_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source").distinct().select("source", X.chapter_id("source").alias("chapter"))
 
 
-@query(r"""SELECT event_id, (floor(value) // 60)::BIGINT || ':' || lpad((floor(value)::BIGINT % 60)::VARCHAR, 2, '0') AS time, floor(value)::BIGINT AS seconds FROM events WHERE value >= 0""")
+@query(r"""SELECT event_id, (floor(value)::BIGINT // 60) || ':' || lpad((floor(value)::BIGINT % 60)::VARCHAR, 2, '0') AS time, floor(value)::BIGINT AS seconds FROM events WHERE value >= 0""")
 def time_format(spark, sf_dir):
     """Seconds as M:SS and back."""
     rows = table(spark, sf_dir, "events").where("value >= 0").select("event_id", X.duration("value").alias("time"))
@@ -308,7 +308,7 @@ def word_hash(spark, sf_dir):
     return _vocabulary(spark, sf_dir).where("n >= 10").select("word", X.cache_key("word").alias("key"))
 
 
-@query(r"""SELECT conv_id, turn, coalesce(list_position(list_transform(string_split_regex(trim(text, E' \t\n'), '\s+'), x -> regexp_replace(lower(x), '[^\p{L}\p{N}-]', '', 'g')), 'the'), 0)::INT - 1 AS position FROM conversations""")
+@query(r"""SELECT conv_id, turn, coalesce(list_position(list_transform(string_split_regex(trim(text, E' \t\n'), '\s+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}-]', '', 'g')), 'the'), 0)::INT - 1 AS position FROM conversations""")
 def word_positions(spark, sf_dir):
     """Where a word stands in each turn."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.word_position("text", F.lit("the")).alias("position"))
