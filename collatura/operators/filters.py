@@ -223,7 +223,8 @@ def _(k: Config) -> Column:
 
 @rule(2.8, "smart_homophone", confidence=0.95)
 def _(k: Config) -> Column:
-    return F.lit(k.use_homophones) & _swap() & (X.phonetic_key(col.w) == X.phonetic_key(col.c)) & ~_listed((("а", "и"),))
+    """Words that sound alike; of single letters the neighbours decide."""
+    return F.lit(k.use_homophones) & _swap() & (X.phonetic_key(col.w) == X.phonetic_key(col.c)) & (F.least(F.length(col.w), F.length(col.c)) > 1)
 
 
 @rule(2.9, "smart_levenshtein", confidence=0.85)
