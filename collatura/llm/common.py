@@ -86,6 +86,21 @@ def in_filter(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (one(keys & mask) & one((keys >> np.uint64(32)) & mask)).astype(bool)
 
 
+def hash_sample(rows: DataFrame, key: str, most: int, buckets: int = 4096) -> DataFrame:
+    """At most ``most`` of the rows, the same on every run: those in the first hash buckets of the long column ``key``.
+
+    Buckets are counted, so the bound is strict; rows stay where they are, and
+    fewer than ``most`` rows all pass.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
+    counts = {r["b"]: r["count"] for r in rows.groupBy(bucket.alias("b")).count().collect()}
+    taken, upto = 0, 0
+    while upto < buckets and taken + counts.get(upto, 0) <= most:
+        taken += counts.get(upto, 0)
+        upto += 1
+    return rows.where(bucket < upto)
+
+
 def names_beside(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the columns wanted, so extra ones with clashing names play no part."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])

@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatura.llm.common import names_beside
+from collatura.llm.common import hash_sample, names_beside
 
-#: Rows the scorer is fitted on at most (first by text hash), and its hash buckets.
+#: Rows the scorer is fitted on at most (chosen by hash), and its hash buckets.
 FIT_ROWS, BUCKETS = 8_000, 1 << 18
 GOOD, BAD, NONE = "1", "0", "-"
 
@@ -152,7 +152,8 @@ def fit(docs: DataFrame) -> Model:
             rows = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([votes(t) for t in rows]), pa.array([sorted(features(t)) for t in rows], pa.list_(pa.int32()))], names=["votes", "f"])
 
-    sample = texts.where("text IS NOT NULL").orderBy(F.xxhash64("text"), "text").limit(FIT_ROWS)
+    keyed = names_beside(docs, "doc_id", "text").where("text IS NOT NULL").withColumn("mix", F.xxhash64("doc_id", "text"))
+    sample = hash_sample(keyed, "mix", FIT_ROWS).select("text")
     rows = sample.mapInArrow(sampled, "votes string, f array<int>").toPandas()
     y = np.array([posterior[v] for v in rows["votes"]])
     w, b = linear([np.asarray(x, np.int64) for x in rows["f"]], y, BUCKETS)

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from collatura.llm.common import Scratch, names_beside
 from collatura.llm.components import connected_components, forest
@@ -56,6 +57,17 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return names_beside(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def with_print(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``docs`` with the fingerprint of its column ``text`` as ``fp``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([fingerprint(t.encode() if t is not None else None, words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*batch.schema.names, "fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+
+
 def _steps(blocks: int, radius: int) -> list[list[int]]:
     """Half of the differences of block counts with a sum of at most ``radius``."""
     near = [d for d in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, d)) <= radius]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collatura.llm.common import Scratch, names_beside
+from collatura.llm.common import Scratch, hash_sample, names_beside
 
 #: Hash buckets of word features; labelled rows the classifier is fitted on at most; features it may use at most.
 BUCKETS, FIT_ROWS, FIT_FEATURES = 1 << 20, 50_000, 20_000
@@ -50,14 +50,21 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts (64, 64, 64) of three successive symbols over all texts; summed in tasks, then over them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << 18, np.int64)
+        counts, open_, size = np.zeros(1 << 18, np.int64), [], 0
+
+        def add() -> None:
+            s = symbols(f" {'  '.join(open_)} ".lower())
+            counts[:] += np.bincount((s[:-2] << 12) | (s[1:-1] << 6) | s[2:], minlength=1 << 18)
+
         for batch in batches:
-            for text in batch.column(0):
-                s = symbols(f" {(text.as_py() or '').lower()} ")
-                if len(s) > 2:
-                    counts += np.bincount((s[:-2] << 12) | (s[1:-1] << 6) | s[2:], minlength=1 << 18) if len(s) > 50_000 else 0
-                    if len(s) <= 50_000:
-                        np.add.at(counts, (s[:-2] << 12) | (s[1:-1] << 6) | s[2:], 1)
+            for text in batch.column(0).to_pylist():
+                open_.append(text or "")
+                size += len(open_[-1])
+                if size > 1_000_000:
+                    add()
+                    open_, size = [], 0
+        if size > 1:
+            add()
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["gram", "n"])
 
@@ -192,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     The character model counts all texts, and feature counts cover all labelled
     training texts (equal texts once).  The regression then uses at most
     FIT_FEATURES features that speak for a label and FIT_ROWS labelled rows,
-    those first by hash.  Rows without a label, doc_id or text teach nothing;
+    chosen by hash.  Rows without a label, doc_id or text teach nothing;
     with no positive or no negative row the model is a constant.
     """
     spark = docs.sparkSession
@@ -227,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         get = sent.value.get
         return lambda texts, toxic: ([sorted(k for x in own.features(t) if (k := get(x)) is not None) for t in texts], toxic)
 
-    sample = rows.orderBy("mix").limit(FIT_ROWS)  # a hash decides, so any order of rows gives the same sample
+    sample = hash_sample(rows, "mix", FIT_ROWS)
     found = _mapped(sample, ["text", "toxic"], vectors, "f array<int>, toxic int", pa.schema([("f", pa.list_(pa.int32())), ("toxic", pa.int32())])).toPandas()
     w, b = logistic([list(x) for x in found["f"]], found["toxic"].to_numpy(float), len(number))
     scratch.drop("rows")

@@ -29,16 +29,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays: that of the smallest doc_id.
 
-    Of rows that share that doc_id one stays, the least by text; components
-    without any doc_id keep their rows.
+    Of rows that share that doc_id one stays, the least by text.  Of rows
+    without a doc_id, linked to none that has one, a row of each fingerprint
+    stays.
     """
     docs = _documents(docs)
     found = simhash.near_duplicates(docs)
+    row = F.min(F.struct(*COLUMNS)).alias("row")
     kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    nameless = found.where("doc_id IS NULL AND component_id IS NULL").limit(1).count()
-    out = named.select("doc_id", "row.*").select(*COLUMNS)
-    return out.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"])) if nameless else out
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*")
+    alone = found.where("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
+    if not alone.limit(1).count():
+        return named
+    nameless = simhash.with_print(docs.where("doc_id IS NULL"))
+    return named.unionByName(nameless.join(alone, "fp", "left_semi").groupBy("fp").agg(row).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
