@@ -76,4 +76,30 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_decontaminate, op4_toxicity, op5_quality, op6_passages, op7_mix, op8_lines, op9_tokens, op10_vectors)}
 
-ORACLE: dict[str, str] = {}
+#: Hashing, learning, files and a shuffled schedule are beyond SQL; tests hold those queries against plain versions.
+ORACLE: dict[str, str] = {
+    "op3_decontaminate": r"""
+WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM low),
+ilow AS (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM ilow),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(ws, p, p + k - 1), ' ') AS w
+       FROM (SELECT item_id, ws, least(8, len(ws)) AS k, unnest(range(1, len(ws) - least(8, len(ws)) + 2)) AS p FROM i WHERE len(ws) > 0)),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT doc_id, k, p, array_to_string(list_slice(ws, p, p + k - 1), ' ') AS w
+       FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d CROSS JOIN ks WHERE len(ws) >= k)),
+hit AS (SELECT doc_id, k, p, item_id FROM dw JOIN iw USING (k, w)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS s FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.9 * a.s * b.s),
+r AS (SELECT vec_id, vec_id AS x FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.x),
+c AS (SELECT vec_id, min(x) AS component_id FROM r GROUP BY vec_id),
+k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)""",
+}
