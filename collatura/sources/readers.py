@@ -66,7 +66,7 @@ def originals(spark: SparkSession, path: str, keep_hyphens: tuple[str, ...] = ()
     A hyphenated token gives several words, all with that token, so both
     numberings stay in step.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     chapter = X.chapter_id(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1))
     return original_words(files.select(chapter.alias("chapter_id"), F.col("value").alias("text")), keep_hyphens)
 
