@@ -55,6 +55,7 @@ def classes(
     members: DataFrame,
     bodies: Callable[[DataFrame, int], DataFrame],
     alike: Callable[[DataFrame], DataFrame],
+    across: Callable[[DataFrame, DataFrame], tuple[DataFrame, bool]] | None = None,
 ) -> DataFrame:
     """(node, component) of the ids that are alike some other id of a bucket.
 
@@ -65,6 +66,11 @@ def classes(
     id.  Only buckets that then still hold several components compare the ids
     across components, so a link is never lost and an id already joined never
     pairs with its own group.
+
+    ``across(rooted, bodies)`` may do the second step better than all pairs of
+    a bucket do: from (key, id, root) and (id, body) it returns pairs (a, b)
+    that hold every link between different roots, and whether they are links
+    already.
     """
     spread = members.repartition(max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "key").sortWithinPartitions("key", "id")
     held = scratch.table(spread.mapInArrow(_shared, "key long, id long, pivot long"), "held")
@@ -82,9 +88,12 @@ def classes(
     rooted = held.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("root"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rooted = scratch.table(rooted.join(open_, "key", "left_semi"), "rooted")
-    other = rooted.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
-    pairs = rooted.join(other, "key").where("root < root2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-    more = linked(pairs, "more")
+    if across:
+        pairs, sure = across(rooted, body)
+    else:
+        other = rooted.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
+        pairs, sure = rooted.join(other, "key").where("root < root2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")), False
+    more = scratch.table(pairs, "more") if sure else linked(pairs, "more")
     out = connected_components(scratch, links.unionByName(more)) if more.limit(1).count() else found
     out = scratch.table(out, "classes")
     scratch.drop("held", "ids", "bodies", "links", "first", "rooted", "more", "components")

@@ -127,6 +127,24 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
+def sharing_prefix(ids: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """(a, b): ids of different roots that share a shingle among the rarest few of each.
+
+    With n shingles, a partner at similarity ``least`` shares all but
+    n - ceil(least n) of them, so under one order of all shingles the first
+    n - ceil(least n) + 1 of both have one in common.  Rare ones come first,
+    which leaves variants that differ in a few words without a common one.
+    """
+    n = F.size("body")
+    units = ids.join(bodies, "id").select("id", "root", n.alias("n"), (n - F.ceil(n * least - 1e-9) + 1).alias("first"), F.explode("body").alias("shingle"))
+    often = units.groupBy("shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle"))
+    units = units.join(often, "shingle").withColumn("rank", rank).where("rank <= first AND often > 1").select("id", "root", "n", "shingle")
+    other = units.select(F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("n").alias("n2"), "shingle")
+    pairs = units.join(other, "shingle").where((F.col("root") < F.col("root2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * least - 1e-9))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int = PARAGRAPH, run_words: int = RUN, recall: float = RECALL) -> DataFrame:
     """Runs of paragraphs that occur, alike, in other documents too: a row for each run of a document.
 
@@ -175,7 +193,7 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
         return made.join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("body").alias("body"))
 
     members = found.select(F.explode("keys").alias("key"), F.col("unit").alias("id"))
-    near = classes(scratch, members, bodies, lambda pairs: pairs.mapInArrow(lambda it: _alike(it, least), "a long, b long"))
+    near = classes(scratch, members, bodies, lambda pairs: pairs.mapInArrow(lambda it: _alike(it, least), "a long, b long"), lambda rooted, held: (sharing_prefix(rooted.select("id", "root").distinct(), held, least), False))
     who = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("mix")).alias("own"))
     units = found.groupBy("unit").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(F.struct("doc_id", "mix", "pos")).alias("first"))
     units = units.join(near.withColumnRenamed("node", "unit"), "unit", "left").where("component IS NOT NULL OR lo <> hi").withColumn("class", F.coalesce("component", "unit"))

@@ -97,3 +97,20 @@ def test_bands_reach_their_recall():
         keys = P.band_keys(np.concatenate([a, b]), np.array([0, 90]), bands, P.ROWS)
         hit += bool((keys[0] == keys[1]).any())
     assert hit / 400 > 0.985
+
+
+def test_prefixes_lose_no_pair(spark):
+    rng = random.Random(4)
+    sets = {}
+    for i in range(140):
+        base = sets[rng.randrange(i)] if i and rng.random() < 0.7 else rng.sample(range(60), rng.randrange(1, 24))
+        own = set(base)
+        for _ in range(rng.randrange(3)):
+            own.discard(rng.choice(sorted(own)))
+            own.add(rng.randrange(60))
+        sets[i] = sorted(own)
+    ids = spark.createDataFrame([(i, i) for i in sets], "id long, root long")
+    bodies = spark.createDataFrame(list(sets.items()), "id long, body array<long>")
+    got = {tuple(r) for r in P.sharing_prefix(ids, bodies, 0.8).collect()}
+    want = {(a, b) for a, b in combinations(sets, 2) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert want and want <= got and len(got) < 140 * 139 / 4
