@@ -63,6 +63,12 @@ def banded_distance(a: str, b: str, radius: int) -> int:
     """
     if abs(len(a) - len(b)) > radius:
         return radius + 1
+    same = _shared_prefix(a, b)  # what both begin and end with costs no edits
+    a, b = a[same:], b[same:]
+    same = _shared_prefix(a[::-1], b[::-1])
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    if not a or not b:
+        return max(len(a), len(b))
     width = 2 * radius + 1
     full = (1 << width) - 1
     # Column j = 0: diagonal k stands for row i = j + k - radius of a; i deletions reach row i.
@@ -91,6 +97,14 @@ def banded_distance(a: str, b: str, radius: int) -> int:
     return next((d for d in range(radius + 1) if reach[d] >> k & 1), radius + 1)
 
 
+def _shared_prefix(a: str, b: str) -> int:
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
 def _rows(j: int, n: int, radius: int, width: int) -> int:
     """Diagonals whose row j + k - radius lies in 0..n."""
     lo, hi = max(0, radius - j), min(width - 1, n - j + radius)
@@ -132,6 +146,79 @@ def _alike(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
+def bag(line: str) -> bytes:
+    """How often each of 32 classes of characters occurs, as 16-bit counts."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) & 31
+    return np.minimum(np.bincount(points, minlength=32), 32_767).astype(np.int16).tobytes()
+
+
+def _links_of(ids: list[int], roots: list[int], sides: list[int], lines: list[str], cross: bool, radius: int) -> pa.RecordBatch:
+    """A forest (a, b) of the links between rows of different roots.
+
+    An edit changes two counts of a bag by one at most, so bags further apart
+    than twice the radius hold lines further apart than the radius.  Rows that
+    are connected already are not compared again.
+    """
+    r, s = np.array(roots, np.int64), np.array(sides)
+    bags = np.frombuffer(b"".join(map(bag, lines)), np.int16).reshape(-1, 32)
+    left, right = (np.flatnonzero(s == 0), np.flatnonzero(s == 1)) if cross else (np.arange(len(ids)), np.arange(len(ids)))
+    parent = {x: x for x in roots}
+    out = []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for at in range(0, len(left), 64):
+        x = left[at : at + 64]
+        near = np.abs(bags[x][:, None, :] - bags[right][None, :, :]).sum(axis=2, dtype=np.int32) <= 2 * radius
+        near &= r[x][:, None] != r[right][None, :]
+        p, q = np.nonzero(near)
+        p, q = x[p], right[q]
+        if not cross:
+            p, q = p[p < q], q[p < q]
+        for i, j in zip(p.tolist(), q.tolist(), strict=True):
+            u, v = find(roots[i]), find(roots[j])
+            if u != v and banded_distance(lines[i], lines[j], radius) <= radius:
+                parent[u] = v
+                out.append((ids[i], ids[j]))
+    columns = list(zip(*out, strict=True)) or [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links of each group of rows (group, cross, side, id, root, body), which are sorted by group."""
+    group, held, cross = None, ([], [], [], []), False
+    for batch in batches:
+        for g, c, side, own, root, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if g != group:
+                if held[0]:
+                    yield _links_of(*held, cross, radius)
+                group, held, cross = g, ([], [], [], []), c
+            for column, value in zip(held, (own, root, side, body), strict=True):
+                column.append(value)
+    if held[0]:
+        yield _links_of(*held, cross, radius)
+
+
+def tile_links(rooted: DataFrame, bodies: DataFrame, radius: int, tile: int = 2000) -> DataFrame:
+    """(a, b): links that connect all lines of one bucket within the radius whose roots differ.
+
+    A bucket's rows are dealt to tiles of some ``tile`` rows and every pair of
+    its tiles is one group, so a task holds two tiles however large the bucket.
+    """
+    tiles = rooted.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    rows = rooted.join(tiles, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select(F.xxhash64("key", lo, hi).alias("group"), (lo != hi).alias("cross"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "root")
+    rows = rows.join(bodies, "id").select("group", "cross", "side", "id", "root", "body")
+    rows = rows.repartition(max(int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "group").sortWithinPartitions("group")
+    return rows.mapInArrow(lambda it: _tile_links(it, radius), "a long, b long")
+
+
 def line_classes(docs: DataFrame, radius: int = RADIUS, least: int = LEAST) -> DataFrame:
     """(doc_id, mix, line_no, line, class, first) of each non-empty line of each distinct row."""
     scratch = Scratch(docs.sparkSession, "lines")
@@ -155,7 +242,7 @@ def line_classes(docs: DataFrame, radius: int = RADIUS, least: int = LEAST) -> D
         return made.join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("body").alias("body"))
 
     members = texts.mapInArrow(lambda it: _keys(it, radius, least), "key long, id long")
-    near = classes(scratch, members, bodies, lambda pairs: pairs.mapInArrow(lambda it: _alike(it, radius), "a long, b long"))
+    near = classes(scratch, members, bodies, lambda pairs: pairs.mapInArrow(lambda it: _alike(it, radius), "a long, b long"), lambda rooted, held: (tile_links(rooted, held, radius), True))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

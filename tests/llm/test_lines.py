@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from collatura.llm import lines as L
+from tests.llm.test_simhash import plain_components
 
 SCHEMA = "doc_id long, text string, line string, class int"
 
@@ -98,3 +99,17 @@ def test_table_against_all_pairs(spark):
     distinct = {r["doc_id"]: r for r in got}.values()
     assert sum(r["n_lines"] - r["n_removed"] for r in distinct) == len(count)
     assert L.line_duplicates(df.limit(0)).count() == 0
+
+
+def test_tiles_connect_all_links_of_a_bucket(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abcdé ", k=30)) for _ in range(12)]
+    texts += [edit(rng, rng.choice(texts), rng.randrange(1, 4)) for _ in range(90)]
+    rooted = spark.createDataFrame([(k % 3, k, k) for k in range(len(texts))] + [(7, k, k) for k in range(20)], "key long, id long, root long")
+    bodies = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    same = lambda a, b: a % 3 == b % 3 or b < 20
+    want = {(a, b) for a, b in combinations(range(len(texts)), 2) if same(a, b) and plain_distance(texts[a], texts[b]) <= 2}
+    for tile in (2000, 7):
+        got = {tuple(sorted(r)) for r in L.tile_links(rooted, bodies, 2, tile).collect()}
+        assert want and got <= want
+        assert plain_components(got, range(len(texts))) == plain_components(want, range(len(texts)))
