@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from collatura.llm.common import Scratch, hash_sample, names_beside
 #: Hash buckets of word features; labelled rows the classifier is fitted on at most; features it may use at most.
 BUCKETS, FIT_ROWS, FIT_FEATURES = 1 << 20, 50_000, 20_000
 #: Readings of one obfuscated token that are scored, and paths the decoder keeps.
-READINGS, BEAM = 3, 24
+READINGS, BEAM = 3, 12
 #: Prefix lengths that stand for a word beside the word itself.
 PREFIXES = (4, 5, 6)
 
@@ -30,7 +30,10 @@ SEPARATORS = ".-_*~'`^·/\\ "
 #: Costs (in nats) of the channel: a look-alike, a dropped symbol, a dropped repeat of a letter, a kept one.
 SWAP, DROP, SQUEEZE, REPEAT = 1.0, 1.0, 0.7, 0.7
 
+#: Punctuation and repeated symbols that hang on a word without standing for a letter.
+_EDGE = re.compile(r"^[^\w@$!|+(<€£¡]+|(?:[.,;:?\"')\]}*#%&]|([^\w\s])\1\1+|!)+$")
 _WORD = re.compile(r"[^\W\d_]+")
+_TRIPLE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]{1,2}){2,}\w(?!\w)")
 _ODD = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+(<€£¡_*.\-~'`^·/\\]+[^\W\d_]|^[\d@$!|+(<€£¡]+[^\W\d_]|[^\W\d_][\d@$€£]+$|([^\W\d_])\1\1")
 
@@ -114,26 +117,44 @@ def decode(token: str, model: np.ndarray, best: int = READINGS) -> list[str]:
     return list(dict.fromkeys(out for _, out in ended))[:best]
 
 
-def buckets_of(word: str) -> tuple[int, ...]:
+_WHOLE, _PREFIX = zlib.crc32(b"="), zlib.crc32(b"^")
+
+
+def buckets_of(word: str) -> list[int]:
     """Hash buckets of a restored word: itself, and its prefixes."""
-    found = [f"={word}", *[f"^{word[:k]}" for k in PREFIXES if len(word) >= k]]
-    return tuple(zlib.crc32(x.encode()) % BUCKETS for x in found)
+    out = [zlib.crc32(word.encode("utf-8", "surrogatepass"), _WHOLE) % BUCKETS]
+    at, code = 0, _PREFIX
+    for k in PREFIXES:
+        if len(word) < k:
+            break
+        code = zlib.crc32(word[at:k].encode("utf-8", "surrogatepass"), code)
+        out.append(code % BUCKETS)
+        at = k
+    return out
 
 
 class Restorer:
-    """Turns texts into sets of feature buckets, decoding what looks obfuscated."""
+    """Turns texts into sets of feature buckets, decoding what looks obfuscated.
 
-    def __init__(self, model: np.ndarray, remember: int = 300_000):
-        self.model, self.remember = model, remember
+    ``keep``: only these buckets matter, so that most tokens are remembered as nothing.
+    """
+
+    def __init__(self, model: np.ndarray, keep: Container[int] | None = None):
+        self.model, self.keep = model, keep
+        self.remember = 300_000 if keep is None else 800_000
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _token(self, token: str) -> tuple[int, ...]:
-        words = _WORD.findall(token)
+        core = token.strip(".,;:?!\"'()")
+        if core.isalpha():
+            words, odd = [core], _TRIPLE.search(core)
+        else:
+            words, core = _WORD.findall(token), _EDGE.sub("", token)
+            odd = _ODD.search(core)
+        if odd:
+            words += decode(core, self.model)
         out = {b for w in words for b in buckets_of(w)}
-        if _ODD.search(core := token.strip(".,;:?\"'()[]{}*#%&")):
-            for w in decode(core, self.model):
-                out.update(buckets_of(w))
-        return tuple(out)
+        return tuple(out) if self.keep is None else tuple(b for b in out if b in self.keep)
 
     def features(self, text: str) -> set[int]:
         text = text.lower()
@@ -144,7 +165,8 @@ class Restorer:
                 if len(known) >= self.remember:
                     known.clear()
                 found = known[token] = self._token(token)
-            out.update(found)
+            if found:
+                out.update(found)
         for spaced in set(_SPACED.findall(text)):
             joined = re.sub(r"[ .\-_*]", "", spaced)
             for part in (joined, joined[1:], joined[:-1]):
@@ -230,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sent = spark.sparkContext.broadcast(number)
 
     def vectors():
-        own = Restorer(language.value)
+        own = Restorer(language.value, keep=sent.value)
         get = sent.value.get
         return lambda texts, toxic: ([sorted(k for x in own.features(t) if (k := get(x)) is not None) for t in texts], toxic)
 
@@ -247,7 +269,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scorer():
         m = sent.value
-        own, get = Restorer(m.language), m.weights.get
+        own, get = Restorer(m.language, keep=m.weights), m.weights.get
 
         def run(ids, texts):
             z = np.array([m.bias + sum(get(x, 0.0) for x in sorted(own.features(t or ""))) for t in texts])
@@ -274,7 +296,7 @@ def reject(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        own, get = Restorer(m.language), m.weights.get
+        own, get = Restorer(m.language, keep=m.weights), m.weights.get
         for batch in batches:
             z = np.array([m.bias + sum(get(x, 0.0) for x in sorted(own.features(t or ""))) for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < most, pa.bool_()))
