@@ -13,7 +13,7 @@ from collatura.llm.common import Scratch, names_beside
 from collatura.llm.components import connected_components, forest
 
 #: Vectors of a tile, rows the centres are fitted on at most, and standard errors within which a pair is recomputed.
-TILE, FIT_ROWS, ERRORS = 2048, 20_000, 4.0
+TILE, FIT_ROWS, ERRORS = 4096, 20_000, 4.0
 
 
 def rotation(dim: int, seed: int = 20) -> np.ndarray:
@@ -47,25 +47,35 @@ def estimates(codes: np.ndarray, factors: np.ndarray, queries: np.ndarray, turn:
     return signs @ (queries @ turn).astype(np.float32).T, error
 
 
-def _usable(vector: list | None) -> bool:
-    return vector is not None and len(vector) > 0 and None not in vector
+def unit_rows(raw: np.ndarray) -> np.ndarray:
+    """Rows in double precision at length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, dim, unit): the unit vector as bytes of doubles; null if the vector links with nothing."""
+def _units(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
+    """(vec_id, dim, unit, raw): the unit vector as bytes of doubles and the vector as it came; null if it links with nothing."""
+    kind = np.float32 if single else np.float64
     for batch in batches:
-        dims, units = [], []
-        for v in batch.column(1).to_pylist():
-            unit = None
-            if _usable(v):
-                x = np.array(v, np.float64)
-                top = np.abs(x).max() if np.isfinite(x).all() else 0.0
-                if top > 0:
-                    x = x / top  # so that squares neither overflow nor vanish
-                    unit = (x / np.linalg.norm(x)).tobytes()
-            dims.append(len(v) if unit else 0)
-            units.append(unit)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], names=["vec_id", "dim", "unit"])
+        column = batch.column(1)
+        n = len(batch)
+        dims, units, raws = np.zeros(n, np.int32), [None] * n, [None] * n
+        values, offsets = column.values, column.offsets.to_numpy()
+        known = np.asarray(values.is_valid())
+        values = values.to_numpy(zero_copy_only=False).astype(kind)
+        size = np.where(np.asarray(column.is_valid()), np.diff(offsets), 0)
+        for dim in np.unique(size[size > 0]).tolist():
+            at = np.flatnonzero(size == dim)
+            cells = offsets[at][:, None] + np.arange(dim)
+            rows = values[cells]
+            with np.errstate(invalid="ignore"):
+                fine = known[cells].all(axis=1) & np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
+            at, rows = at[fine], rows[fine]
+            if len(at):
+                for k, unit, raw in zip(at.tolist(), unit_rows(rows), rows, strict=True):
+                    dims[k], units[k], raws[k] = dim, unit.tobytes(), raw.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims), pa.array(units, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "dim", "unit", "raw"])
 
 
 def centres_of(sample: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
@@ -81,45 +91,63 @@ def centres_of(sample: np.ndarray, k: int, rounds: int = 5) -> np.ndarray:
     return centre
 
 
-def _link_tiles(batches: Iterator[pa.RecordBatch], least: float, errors: float) -> Iterator[pa.RecordBatch]:
+def _tile(row: dict, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sizes, units, codes, factors) of a tile."""
+    ids = np.array(row["ids"], np.int64)
+    return (
+        ids,
+        np.array(row["sizes"], np.int64),
+        unit_rows(np.frombuffer(row["raws"], kind).reshape(-1, row["dim"])),
+        np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1),
+        np.frombuffer(row["factors"], np.float32).astype(np.float64),
+    )
+
+
+def _link_tiles(batches: Iterator[pa.RecordBatch], least: float, errors: float, single: bool) -> Iterator[pa.RecordBatch]:
     """For each pair of tiles: links of each class to the other tile's rows, and a forest of them.
 
-    Rows out: (a, b, n): b null: class a has n linked rows there; else a link a-b that connects.
+    The two tiles of a pair are successive rows; a pair of one row is a tile
+    with itself.  Rows out: (a, b, n): b null: class a has n linked rows there;
+    else a link a-b that connects.
     """
-    for batch in batches:
-        a, b, n = [], [], []
-        for dim, ids, size, unit, codes, factor, ids2, size2, unit2 in zip(*batch.columns, strict=True):
-            dim = dim.as_py()
-            turn = rotation(dim)
-            ids, size = ids.values.to_numpy(), size.values.to_numpy()
-            unit = np.frombuffer(unit.as_buffer(), np.float64).reshape(-1, dim)
-            codes = np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(ids), -1)
-            factor = np.frombuffer(factor.as_buffer(), np.float64)
-            same = not ids2.is_valid
-            other, size2 = (ids, size) if same else (ids2.values.to_numpy(), size2.values.to_numpy())
-            unit2 = unit if same else np.frombuffer(unit2.as_buffer(), np.float64).reshape(-1, dim)
-            guess, error = estimates(codes, factor, unit2, turn)
-            x, y = np.nonzero(guess >= (least - errors * error - 1e-6)[:, None].astype(np.float32))
+    kind, turns = np.float32 if single else np.float64, {}
+
+    def pair(rows: list[dict]) -> pa.RecordBatch:
+        dim = rows[0]["dim"]
+        turn = turns.setdefault(dim, rotation(dim))
+        ids, size, unit, codes, factor = _tile(rows[0], kind)
+        same = len(rows) == 1
+        other, size2, unit2, _, _ = (ids, size, unit, None, None) if same else _tile(rows[1], kind)
+        xs, ys = [], []
+        for i in range(0, len(ids), 512):
+            guess, error = estimates(codes[i : i + 512], factor[i : i + 512], unit2, turn)
+            x, y = np.nonzero(guess >= (least - errors * error - 1e-5)[:, None].astype(np.float32))
+            x += i
             if same:
                 x, y = x[x < y], y[x < y]
-            near = np.zeros(len(x), bool)
-            for i in range(0, len(x), 65_536):
-                p, q = x[i : i + 65_536], y[i : i + 65_536]
-                near[i : i + 65_536] = np.einsum("ij,ij->i", unit[p], unit2[q]) >= least
-            x, y = x[near], y[near]
-            if not len(x):
-                continue
-            for keys, values in ((ids, np.bincount(x, size2[y], len(ids))), (other, np.bincount(y, size[x], len(other)))):
-                at = np.flatnonzero(values)
-                a.append(keys[at])
-                b.append(np.full(len(at), -1))
-                n.append(values[at].astype(np.int64))
-            p, q = forest(ids[x], other[y])
-            a.append(p)
-            b.append(q)
-            n.append(np.zeros(len(p), np.int64))
-        a, b, n = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b, n))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=b < 0), pa.array(n, pa.int64())], names=["a", "b", "n"])
+            for j in range(0, len(x), 65_536):
+                p, q = x[j : j + 65_536], y[j : j + 65_536]
+                near = np.einsum("ij,ij->i", unit[p], unit2[q]) >= least
+                xs.append(p[near])
+                ys.append(q[near])
+        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))
+        n, m = np.bincount(x, size2[y], len(ids)).astype(np.int64), np.bincount(y, size[x], len(other)).astype(np.int64)
+        p, q = forest(ids[x], other[y])
+        a = np.concatenate([ids[n > 0], other[m > 0], p])
+        b = np.concatenate([np.full((n > 0).sum() + (m > 0).sum(), -1), q])
+        n = np.concatenate([n[n > 0], m[m > 0], np.zeros(len(p), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=b < 0), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    held: list[dict] = []
+    for batch in batches:
+        for k in range(len(batch)):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if held and held[0]["pair"] != row["pair"]:
+                yield pair(held)
+                held = []
+            held.append(row)
+    if held:
+        yield pair(held)
 
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.9, tile: int = TILE, errors: float = ERRORS) -> DataFrame:
@@ -140,75 +168,77 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, tile: int = TILE,
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "vectors")
-    rows = names_beside(embeddings, "vec_id", "embedding").mapInArrow(_units, "vec_id long, dim int, unit binary")
-    rows = rows.withColumn("class", F.xxhash64("unit"))
-    # A class is an exact direction; its number is a hash with the direction itself in the group.
+    single = dict(embeddings.dtypes)["embedding"] == "array<float>"
+    rows = names_beside(embeddings, "vec_id", "embedding").mapInArrow(lambda it: _units(it, single), "vec_id long, dim int, unit binary, raw binary")
     rows = scratch.table(rows, "rows")
-    groups = rows.where("unit IS NOT NULL").groupBy("dim", "unit").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
+    # A class is an exact direction.
+    groups = rows.where("unit IS NOT NULL").groupBy("dim", "unit").agg(F.any_value("raw").alias("raw"), F.count("*").alias("size"), F.min("vec_id").alias("least"))
     classes = scratch.table(groups.withColumn("class", F.monotonically_increasing_id()), "classes")
-    dims = [r["dim"] for r in classes.select("dim").distinct().limit(1000).collect()]
-    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()} if dims else {}
+    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # a row a length of vector
     centres = {}
     for dim, n in sizes.items():
         sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("unit"), "unit").limit(FIT_ROWS).select("unit").collect()
-        sample = np.array([np.frombuffer(r["unit"], np.float64) for r in sample])
+        sample = np.frombuffer(b"".join(r["unit"] for r in sample), np.float64).reshape(-1, dim)
         centres[dim] = centres_of(sample, int(max(1, min(1024, n // tile, len(sample)))))
     sent = spark.sparkContext.broadcast(centres)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            out = {"cell": [], "angle": [], "code": [], "factor": []}
-            for dim, unit in zip(batch.column("dim").to_pylist(), batch.column("unit").to_pylist(), strict=True):
-                v = np.frombuffer(unit, np.float64)
-                near = sent.value[dim] @ v
-                j = int(near.argmax())
-                out["cell"].append(j)
-                out["angle"].append(float(np.arccos(np.clip(near[j], -1, 1))))
-                code, factor = encode(v[None], turns.setdefault(dim, rotation(dim)))
-                out["code"].append(code.tobytes())
-                out["factor"].append(float(factor[0]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out["cell"], pa.int32()), pa.array(out["angle"], pa.float64()), pa.array(out["code"], pa.binary()), pa.array(out["factor"], pa.float64())],
-                names=["dim", "class", "size", "unit", "cell", "angle", "code", "factor"],
-            )
-
-    turns: dict[int, np.ndarray] = {}
-    placed = classes.select("dim", "class", "size", "unit").mapInArrow(cells, "dim int, class long, size long, unit binary, cell int, angle double, code binary, factor double")
+            n = len(batch)
+            cell, angle, code, factor = np.zeros(n, np.int32), np.zeros(n), [b""] * n, np.zeros(n, np.float32)
+            dims = batch.column("dim").to_numpy()
+            units = batch.column("unit").to_pylist()
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                v = np.frombuffer(b"".join(units[k] for k in at.tolist()), np.float64).reshape(-1, dim)
+                near = v @ sent.value[dim].T
+                cell[at] = near.argmax(axis=1)
+                angle[at] = np.arccos(np.clip(near.max(axis=1), -1, 1))
+                codes, factor[at] = encode(v, turns.setdefault(dim, rotation(dim)))
+                for k, x in zip(at.tolist(), codes, strict=True):
+                    code[k] = x.tobytes()
+            out = [batch.column("dim"), batch.column("class"), batch.column("size"), batch.column("raw"), pa.array(cell), pa.array(angle), pa.array(code, pa.binary()), pa.array(factor)]
+            yield pa.RecordBatch.from_arrays(out, names=["dim", "class", "size", "raw", "cell", "angle", "code", "factor"])
+
+    placed = classes.select("dim", "class", "size", "raw", "unit").mapInArrow(cells, "dim int, class long, size long, raw binary, cell int, angle double, code binary, factor float")
     placed = scratch.table(placed, "placed")
     radii = placed.groupBy("dim", "cell").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    radii = scratch.table(radii, "radii")
+    wide = {(r["dim"], r["cell"]): (r["radius"], r["parts"]) for r in radii.collect()}  # at most 1,024 cells a length
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joined = [pa.array([b"".join(x) for x in batch.column(c).to_pylist()], pa.binary()) for c in ("units", "codes")]
-            factors = pa.array([np.array(x, np.float64).tobytes() for x in batch.column("factors").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], joined[0], joined[1], factors], names=["dim", "cell", "part", "ids", "sizes", "units", "codes", "factors"])
-
-    held = placed.join(radii.select("dim", "cell", "parts"), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    member = F.collect_list(F.struct("class", "size", "unit", "code", "factor")).alias("m")
-    tiles = held.groupBy("dim", "cell", "part").agg(member)
-    tiles = tiles.select("dim", "cell", "part", F.col("m.class").alias("ids"), F.col("m.size").alias("sizes"), F.col("m.unit").alias("units"), F.col("m.code").alias("codes"), F.col("m.factor").alias("factors"))
-    tiles = tiles.mapInArrow(blobs, "dim int, cell int, part int, ids array<long>, sizes array<long>, units binary, codes binary, factors binary")
-    tiles = scratch.table(tiles, "tiles")
-
-    # Pairs of cells: at most 1,024 centres of each length, so the list is bounded.
-    wide = {(r["dim"], r["cell"]): (r["radius"], r["parts"]) for r in radii.collect()}
-    pairs = []
+            joined = [pa.array([b"".join(x) for x in batch.column(c).to_pylist()], pa.binary()) for c in ("raws", "codes")]
+            factors = pa.array([np.array(x, np.float32).tobytes() for x in batch.column("factors").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *joined, factors], names=["dim", "cell", "part", "ids", "sizes", "raws", "codes", "factors"])
+
+    parts = spark.createDataFrame([(d, j, k) for (d, j), (_, k) in wide.items()], "dim int, cell int, parts int")
+    held = placed.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    tiles = held.groupBy("dim", "cell", "part").agg(F.collect_list(F.struct("class", "size", "raw", "code", "factor")).alias("m"))
+    tiles = tiles.select("dim", "cell", "part", F.col("m.class").alias("ids"), F.col("m.size").alias("sizes"), F.col("m.raw").alias("raws"), F.col("m.code").alias("codes"), F.col("m.factor").alias("factors"))
+    tiles = scratch.table(tiles.mapInArrow(blobs, "dim int, cell int, part int, ids array<long>, sizes array<long>, raws binary, codes binary, factors binary"), "tiles")
+
+    # Pairs of cells not ruled out, a row each; their tiles are paired by Spark.
+    near = []
     for dim, centre in centres.items():
         apart = np.arccos(np.clip(centre @ centre.T, -1, 1))
-        own = [(j, *wide[dim, j]) for j in range(len(centre)) if (dim, j) in wide]
-        pairs += [(dim, i, j) for i, r, _ in own for j, s, _ in own if i <= j and apart[i, j] <= r + s + np.arccos(least) + 1e-9]
-    pairs = spark.createDataFrame(pairs, "dim int, cell int, cell2 int")
-    right = tiles.select(F.col("dim").alias("dim2"), F.col("cell").alias("cell2"), F.col("part").alias("part2"), F.col("ids").alias("ids2"), F.col("sizes").alias("sizes2"), F.col("units").alias("units2"))
+        own = np.array([j for j in range(len(centre)) if (dim, j) in wide], int)
+        reach = np.array([wide[dim, j][0] for j in own.tolist()])
+        i, j = np.nonzero(apart[np.ix_(own, own)] <= reach[:, None] + reach[None, :] + np.arccos(least) + 1e-9)
+        near += [(dim, x, y) for x, y in zip(own[i].tolist(), own[j].tolist(), strict=True) if x <= y]
+    near = spark.createDataFrame(near, "dim int, cell int, cell2 int")
     names = tiles.select("dim", "cell", "part")
     names2 = tiles.select("dim", F.col("cell").alias("cell2"), F.col("part").alias("part2"))
-    work = pairs.join(names, ["dim", "cell"]).join(names2, ["dim", "cell2"]).where("cell < cell2 OR part < part2")
-    work = work.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-    work = work.join(tiles, ["dim", "cell", "part"]).join(right.withColumnRenamed("dim2", "dim"), ["dim", "cell2", "part2"])
-    columns = ["dim", "ids", "sizes", "units", "codes", "factors", "ids2", "sizes2", "units2"]
-    alone = tiles.withColumns({"ids2": F.lit(None).cast("array<bigint>"), "sizes2": F.lit(None).cast("array<bigint>"), "units2": F.lit(None).cast("binary")})
-    work = work.select(columns).unionByName(alone.select(columns))
-    found = scratch.table(work.mapInArrow(lambda it: _link_tiles(it, least, errors), "a long, b long, n long"), "found")
+    pairs = near.join(names, ["dim", "cell"]).join(names2, ["dim", "cell2"]).where("cell < cell2 OR part <= part2")
+    pairs = scratch.table(pairs.select("dim", "cell", "part", "cell2", "part2", F.xxhash64("dim", "cell", "part", "cell2", "part2").alias("pair")), "pairs")
+    n_pairs = pairs.count()
+    # Each pair's tiles meet in one partition as successive rows; partitions hold some eight pairs, which bounds a batch.
+    first = pairs.select("dim", "cell", "part", "pair", F.lit(0).alias("side"))
+    second = pairs.where("cell < cell2 OR part < part2").select("dim", F.col("cell2").alias("cell"), F.col("part2").alias("part"), "pair", F.lit(1).alias("side"))
+    spread = first.unionByName(second).join(tiles, ["dim", "cell", "part"])
+    columns = ["pair", "side", "dim", "ids", "sizes", "raws", "codes", "factors"]
+    spread = spread.select(columns).repartition(max(1, -(-n_pairs // 8), int(spark.conf.get("spark.sql.shuffle.partitions"))), "pair").sortWithinPartitions("pair", "side")
+    found = scratch.table(spread.mapInArrow(lambda it: _link_tiles(it, least, errors, single), "a long, b long, n long"), "found")
     nodes = connected_components(scratch, found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     known = classes.join(counts, F.col("class") == F.col("a"), "left").join(nodes, F.col("class") == F.col("node"), "left")
@@ -218,4 +248,4 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, tile: int = TILE,
     out = rows.join(known, (F.col("unit") == F.col("u")) & (F.col("dim") == F.col("d")), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("unit").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    return scratch.finish(out, "rows", "classes", "placed", "radii", "tiles", "found", "components")
+    return scratch.finish(out, "rows", "classes", "placed", "tiles", "pairs", "found", "components")
