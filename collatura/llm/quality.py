@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,35 +29,62 @@ def _vote(value: float, good: tuple[float, float], bad: tuple[float, float]) ->
     return GOOD if good[0] <= value <= good[1] else BAD if bad[0] <= value <= bad[1] else NONE
 
 
+# Kinds of characters below U+3000: 1 a letter, 2 a capital one.
+_KIND = np.array([2 if chr(c).isupper() else int(chr(c).isalpha()) for c in range(0x3000)], np.uint8)
+
+
 def votes(text: str) -> str:
     """One vote a labeller, in the order of LABELLERS; a text without words gets a bad vote of the first alone."""
     words = text.split()
     n = len(words)
     if not n:
         return BAD + NONE * (len(LABELLERS) - 1)
-    letters = sum(c.isalpha() for c in text)
-    upper = sum(c.isupper() for c in text)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    _, small, upper = np.bincount(_KIND[np.minimum(points, 0x2FFF)], minlength=3).tolist()
     lines = [x for x in text.split("\n") if x.strip()]
-    run = longest = 1
-    for a, b in zip(words, words[1:]):
-        run = run + 1 if a == b else 1
-        longest = max(longest, run)
-    lower = [w.lower() for w in words]
-    most = Counter(lower).most_common(1)[0][1]
-    dots = sum(w[-1] in ".!?" and w[:1].isalnum() and not w.endswith("!!") for w in words)
+    longest = 1
+    if any(map(eq, words, islice(words, 1, None))):
+        longest = max(sum(1 for _ in g) for _, g in groupby(words))
+    lower = Counter(text.lower().split())
+    symbols = stops = 0
+    for w, k in lower.items():
+        if not w.isalpha():  # a plain word has neither
+            symbols += k * bool(_SYMBOLS.search(w))
+            stops += k * (w[-1] in ".!?" and w[:1].isalnum() and not w.endswith("!!"))
     return "".join((
         GOOD if n >= 5 else NONE,
-        _vote(sum(bool(_SYMBOLS.search(w)) for w in words) / n, (0, 0.03), (0.15, 1)),
-        _vote(upper / max(1, letters), (0, 0.15), (0.4, 1)) if letters else BAD,
-        _vote(words.count("|") / n, (0, 0.01), (0.08, 1)),
-        _vote(len(set(lower)) / n, (0.4, 1), (0, 0.25)) if n >= 30 else NONE,
+        _vote(symbols / n, (0, 0.03), (0.15, 1)),
+        _vote(upper / (small + upper), (0, 0.15), (0.4, 1)) if small + upper else BAD,
+        _vote(lower["|"] / n, (0, 0.01), (0.08, 1)),
+        _vote(len(lower) / n, (0.4, 1), (0, 0.25)) if n >= 30 else NONE,
         _vote(longest, (1, 2), (5, n)) if n >= 5 else NONE,
         _vote(1 - len(set(lines)) / len(lines), (0, 0.1), (0.3, 1)) if len(lines) > 2 else NONE,
-        _vote(dots / n, (0.03, 0.4), (0, 0.004)) if n >= 30 else NONE,
-        _vote(most / n, (0, 0.15), (0.3, 1)) if n >= 30 else NONE,
+        _vote(stops / n, (0.03, 0.4), (0, 0.004)) if n >= 30 else NONE,
+        _vote(max(lower.values()) / n, (0, 0.15), (0.3, 1)) if n >= 30 else NONE,
     ))
 
 
+def shape(word: str, core: str) -> str:
+    """The last four characters by kind, whether a stop follows, and the use of capitals."""
+    tail = core[-4:]
+    kinds = "a" * len(tail) if core.isalpha() else re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "a", tail))
+    return kinds + ("." if word[-1] in ".!?" else ",") + ("U" if core.isupper() and len(core) > 1 else "T" if core.istitle() else "l")
+
+
+def features(text: str) -> set[int]:
+    """Hash buckets of the text's words, of how common their shapes are, of repeats, and of its length."""
+    words = text.split()
+    n, out = len(words), set()
+    shapes: Counter[str] = Counter()
+    for w, k in Counter(words).items():
+        core = w.strip(".,;:!?\"'()")
+        shapes[shape(w, core)] += k
+        out.add(zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) % BUCKETS)
+    again = sum(map(eq, words, islice(words, 1, None)))
+    marks = [f"#{x}{int(10 * k / n)}" for x, k in shapes.items()] + [f"#={int(10 * again / max(1, n))}", f"#n{n.bit_length()}"]
+    return out | {zlib.crc32(m.encode("utf-8", "surrogatepass")) % BUCKETS for m in marks}
+
+
 LABELLERS = ("words", "symbols", "capitals", "bars", "distinct", "runs", "lines", "sentences", "commonest")
 
 
@@ -90,24 +119,6 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, flo
     return dict(zip(order, good.tolist(), strict=True)), rates, float(prior)
 
 
-def features(text: str) -> set[int]:
-    """Hash buckets of the text's words, their shapes, and the shape of successive words' ends."""
-    out = set()
-    last = ""
-    shapes: Counter[str] = Counter()
-    for w in text.split():
-        core = w.strip(".,;:!?\"'()")
-        shape = re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "a", core[-4:])) + ("." if w[-1:] in ".!?" else ",") + ("U" if core.isupper() and len(core) > 1 else "T" if core.istitle() else "l") + ("=" if w == last else "")
-        shapes[shape] += 1
-        last = w
-        out.add(zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) % BUCKETS)
-    n = sum(shapes.values())
-    for shape, k in shapes.items():
-        out.add(zlib.crc32(f"#{shape}{int(10 * k / n)}".encode("utf-8", "surrogatepass")) % BUCKETS)
-    out.add(zlib.crc32(f"#n{n.bit_length()}".encode()) % BUCKETS)
-    return out
-
-
 @dataclass
 class Model:
     posterior: dict[str, float]
@@ -150,7 +161,7 @@ def fit(docs: DataFrame) -> Model:
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([votes(t) for t in rows]), pa.array([sorted(features(t)) for t in rows], pa.list_(pa.int32()))], names=["votes", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array([votes(t) for t in rows], pa.string()), pa.array([sorted(features(t)) for t in rows], pa.list_(pa.int32()))], names=["votes", "f"])
 
     keyed = names_beside(docs, "doc_id", "text").where("text IS NOT NULL").withColumn("mix", F.xxhash64("doc_id", "text"))
     sample = hash_sample(keyed, "mix", FIT_ROWS).select("text")
@@ -176,10 +187,10 @@ def quality(docs: DataFrame) -> DataFrame:
         for batch in batches:
             v, p, s = [], [], []
             for text in batch.column(1).to_pylist():
-                own = votes(text or "")
+                vote = votes(text or "")
                 f = np.fromiter(features(text or ""), np.int64)
-                v.append(own)
-                p.append(m.posterior[own])
+                v.append(vote)
+                p.append(m.posterior[vote])
                 s.append(1 / (1 + np.exp(-np.clip(np.sort(m.weights[f].astype(float)).sum() / np.sqrt(max(1, len(f))) + m.bias, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v, pa.string()), pa.array(p, pa.float64()), pa.array(s, pa.float64())], names=["doc_id", "votes", "posterior", "score"])
 
