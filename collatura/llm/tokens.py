@@ -6,6 +6,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -20,7 +21,7 @@ from tokenizers import Tokenizer
 from collatura.llm.common import Scratch, names_beside
 
 #: Ids in a block, the share of them that fits the block's width, and how many pieces an encoder remembers.
-BLOCK, FITS, REMEMBERED = 4096, 0.9, 500_000
+BLOCK, FITS, REMEMBERED = 4096, 0.9, 900_000
 MAGIC = b"PFORIDS1"
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -40,18 +41,6 @@ class _Awkward(Exception):
     """A piece ends in white space, so the next space need not start a token."""
 
 
-class _Units(dict):
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self.make(key)
-        self[key] = out
-        return out
-
-
 class Encoder:
     """Encodes texts with a tokenizer of the tokenizers library, remembering what it has seen.
 
@@ -60,35 +49,56 @@ class Encoder:
     Any other kind of tokenizer encodes whole texts.
     """
 
-    def __init__(self, spec: str):
-        self.whole = Tokenizer.from_str(spec)
+    def __init__(self, spec: str, remember: int = REMEMBERED):
+        self.whole, self.remember = Tokenizer.from_str(spec), remember
+        self.model = self.whole.model
         rule = json.loads(spec)
         cut = rule.get("pre_tokenizer") or {}
         self.by_piece = rule.get("normalizer") is None and rule["model"].get("type", "BPE") == "BPE" and not rule["model"].get("dropout")
         self.by_piece &= cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
         self.added = [x["content"] for x in rule.get("added_tokens", [])]
         self.letters = _byte_letters()
-        self.words, self.pieces = _Units(self._word), _Units(self._piece)
+        self.space = chr(self.letters[ord(" ")])
+        self.pieces: dict[str, bytes] = {}  # by the piece without the space before it
+        self.others: dict[str, bytes] = {}  # cuts without a space before them
 
     def _all(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.whole.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in found], "<u4").tobytes()
+        """One cut of the byte-level rule."""
+        spaced = word[0] == " "
+        known, key = (self.pieces, word[1:]) if spaced else (self.others, word)
+        if (out := known.get(key)) is None:
+            out = self._ids(word.encode().decode("latin-1").translate(self.letters))
+            self._keep(known, key, out)
+        return out
+
+    def _ids(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _keep(self, known: dict[str, bytes], key: str, out: bytes) -> None:
+        if len(known) >= self.remember:
+            known.clear()
+        known[key] = out
 
     def _unit(self, unit: str) -> bytes:
-        if _PLAIN.match(unit, 1 if unit[0] == " " else 0):
-            return b"".join([self.words[w] for w in _CUT.findall(unit)])
-        return self._all(unit)
+        if not _PLAIN.match(unit, 1 if unit[0] == " " else 0):
+            return self._all(unit)
+        cuts = _CUT.findall(unit)
+        return self._word(unit) if len(cuts) == 1 else b"".join([self._word(w) for w in cuts])
 
     def _piece(self, piece: str) -> bytes:
-        if not piece or piece[-1].isspace():
-            raise _Awkward
-        return self._unit(" " + piece)
+        if (out := self.pieces.get(piece)) is None:
+            if not piece or piece[-1].isspace():
+                raise _Awkward
+            # ASCII letters stand for themselves, so a plain word needs neither cutting nor mapping.
+            out = self._ids(self.space + piece) if piece.isascii() and piece.isalpha() else self._unit(" " + piece)
+            self._keep(self.pieces, piece, out)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
+        """The ids of a whole text as unsigned 32-bit integers."""
         if not text:
             return np.zeros(0, "<u4")
         if not self.by_piece or any(x in text for x in self.added):
@@ -97,8 +107,10 @@ class Encoder:
         try:
             if first and first[-1].isspace():
                 raise _Awkward
-            pieces = self.pieces
-            out = [self._unit(first) if first else b"", *[pieces[p] for p in rest]]
+            out = list(map(self.pieces.get, rest))
+            if None in out:
+                out = [self._piece(p) if x is None else x for p, x in zip(rest, out, strict=True)]
+            out.insert(0, self._unit(first) if first else b"")
         except _Awkward:
             first, *rest = re.split(r"(?<=\S) ", text)
             out = [self._all(first), *[self._all(" " + p) for p in rest]]
@@ -128,7 +140,8 @@ def pack(ids: np.ndarray, fits: float = FITS) -> bytes:
     need = np.frexp(diff.astype(np.float64))[1]
     width = int(np.searchsorted(np.cumsum(np.bincount(need, minlength=33)), fits * len(diff)))
     far = np.flatnonzero(need > width)
-    bits = np.unpackbits(diff.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    narrow = diff.astype("<u2" if width <= 16 else "<u4")  # outliers keep their low bits
+    bits = np.unpackbits(narrow.view(np.uint8).reshape(-1, narrow.itemsize), axis=1, bitorder="little")[:, :width]
     packed = np.packbits(bits, axis=None, bitorder="little").tobytes()
     return struct.pack("<IIBI", len(ids), low, width, len(far)) + packed + far.astype("<u2").tobytes() + diff[far].astype("<u4").tobytes()
 
@@ -136,11 +149,14 @@ def pack(ids: np.ndarray, fits: float = FITS) -> bytes:
 def unpack(block: bytes | memoryview) -> np.ndarray:
     n, low, width, n_far = struct.unpack_from("<IIBI", block)
     at, size = 13, (n * width + 7) // 8
-    diff = np.zeros((n, 4), np.uint8)
     if width:
-        bits = np.unpackbits(np.frombuffer(block, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-        diff[:, : (width + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
-    diff = diff.reshape(-1).view("<u4").copy()
+        # Each value lies in the eight bytes from the one it starts in, at a shift of less than eight bits.
+        packed = bytes(block[at : at + size]) + bytes(8)
+        first = np.arange(n, dtype=np.int64) * width
+        words = np.ndarray((size + 1,), "<u8", packed, strides=(1,))[first >> 3]
+        diff = ((words >> (first & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype("<u4")
+    else:
+        diff = np.zeros(n, "<u4")
     far = np.frombuffer(block, "<u2", n_far, at + size)
     diff[far] = np.frombuffer(block, "<u4", n_far, at + size + 2 * n_far)
     return diff + np.uint32(low)
