@@ -213,6 +213,14 @@ def near_word_pairs(spark, sf_dir):
     return pairs.near_pairs(voc.select("word"))
 
 
+# Queries named ..._all run over every distinct word; those without the suffix hold the part that their SQL compares.
+# DuckDB's levenshtein counts bytes, so what depends on it is tested against brute force instead.
+@query()
+def near_word_pairs_all(spark, sf_dir):
+    """All words one edit apart, whatever their letters, length and count."""
+    return pairs.near_pairs(_vocabulary(spark, sf_dir).select("word"))
+
+
 @query(_NEAR + r""", nm AS (SELECT DISTINCT lower(p_name) AS name FROM part), w AS (SELECT DISTINCT unnest(regexp_extract_all(name, '[a-z]+')) AS name FROM nm)
   SELECT v.word AS heard, w.name FROM v JOIN w ON v.word <> w.name AND abs(length(v.word) - length(w.name)) <= 1 AND levenshtein(v.word, w.name) = 1""")
 def name_errors(spark, sf_dir):
@@ -222,6 +230,13 @@ def name_errors(spark, sf_dir):
     return pairs.near_pairs(voc, names).select(F.col("a").alias("heard"), F.col("b").alias("name"))
 
 
+@query()
+def name_errors_all(spark, sf_dir):
+    """All words one edit away from a name."""
+    names = table(spark, sf_dir, "part").select(F.explode(X.words("p_name")).alias("word")).distinct()
+    return pairs.near_pairs(_vocabulary(spark, sf_dir).select("word"), names).select(F.col("a").alias("heard"), F.col("b").alias("name"))
+
+
 @query(f"""WITH {_VOCABULARY} SELECT a.word AS a, b.word AS b FROM voc a JOIN voc b ON left(a.word, length(a.word) - 3) = left(b.word, length(b.word) - 2)
   WHERE a.word LIKE '%ing' AND b.word LIKE '%ed' AND length(a.word) >= 6""")
 def grammar_ending(spark, sf_dir):
@@ -259,6 +274,15 @@ def lexicon_lookup(spark, sf_dir):
     return M.analyse(voc, "word", _toy_lexicon(voc), "m").select("word", "m.lemma", "m.pos")
 
 
+@query(f"""WITH {_VOCABULARY} SELECT word, regexp_replace(regexp_replace(word, '(ing|ed|es|ly)$', ''), '^$', word) AS lemma,
+    CASE WHEN word LIKE '%ing' THEN 'GRND' WHEN word LIKE '%ed' THEN 'VERB' WHEN word LIKE '%ly' THEN 'ADVB' ELSE 'NOUN' END AS pos
+  FROM voc""")
+def lexicon_lookup_all(spark, sf_dir):
+    """Analyses of all words, from a lexicon with homonyms."""
+    voc = _vocabulary(spark, sf_dir).select("word")
+    return M.analyse(voc, "word", _toy_lexicon(voc), "m").select("word", "m.lemma", "m.pos")
+
+
 def _toy_lexicon(voc: DataFrame) -> DataFrame:
     """A lexicon made by rule from the words themselves, with a second choice that must lose."""
     lemma = F.regexp_replace("word", "(ing|ed|es|ly)$", "")
@@ -291,6 +315,12 @@ def word_similarity(spark, sf_dir):
     return voc.select("word", X.similarity("word", F.lit("thing")).alias("similarity"))
 
 
+@query()
+def word_similarity_all(spark, sf_dir):
+    """How like one word all others are."""
+    return _vocabulary(spark, sf_dir).select("word", X.similarity("word", F.lit("thing")).alias("similarity"))
+
+
 @query(r"""SELECT DISTINCT source, CASE WHEN length(regexp_extract(source, '(\d+)', 1)) = 1 THEN '0' || regexp_extract(source, '(\d+)', 1) ELSE regexp_extract(source, '(\d+)', 1) END AS chapter FROM documents""")
 def chapter_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source").distinct().select("source", X.chapter_id("source").alias("chapter"))
@@ -308,6 +338,11 @@ def word_hash(spark, sf_dir):
     return _vocabulary(spark, sf_dir).where("n >= 10").select("word", X.cache_key("word").alias("key"))
 
 
+@query(f"""WITH {_VOCABULARY} SELECT word, sha256(word) AS key FROM voc""")
+def word_hash_all(spark, sf_dir):
+    return _vocabulary(spark, sf_dir).select("word", X.cache_key("word").alias("key"))
+
+
 @query(r"""SELECT conv_id, turn, coalesce(list_position(list_transform(string_split_regex(trim(text, E' \t\n'), '\s+'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}-]', '', 'g')), 'the'), 0)::INT - 1 AS position FROM conversations""")
 def word_positions(spark, sf_dir):
     """Where a word stands in each turn."""
@@ -400,6 +435,20 @@ def pattern_classes(spark, sf_dir):
     return rows.groupBy(tracker.classify(F.col("a"), F.col("b"), ("re", "in")).alias("class")).agg(F.count("*").alias("n"))
 
 
+@query()
+def pattern_classes_all(spark, sf_dir):
+    """Classes of successive words among all.
+
+    Words with the same three letters in front stand together, so each is
+    ordered among those; the last of a group is followed by the next one's first.
+    """
+    voc = _vocabulary(spark, sf_dir).select("word", F.left("word", F.lit(3)).alias("front"))
+    rows = voc.select(F.col("word").alias("a"), F.lead("word").over(Window.partitionBy("front").orderBy("word")).alias("b")).where("b IS NOT NULL")
+    fronts = voc.groupBy("front").agg(F.min("word").alias("least"), F.max("word").alias("a"))
+    ends = fronts.select("a", F.lead("least").over(Window.orderBy("front")).alias("b")).where("b IS NOT NULL")
+    return rows.unionByName(ends).groupBy(tracker.classify(F.col("a"), F.col("b"), ("re", "in")).alias("class")).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT event_type AS category, user_id % 2 = 0 AS resolved, count(*) AS n_patterns, sum(c)::BIGINT AS n_seen FROM (SELECT event_type, user_id, count(*) AS c FROM events GROUP BY ALL) GROUP BY ALL""")
 def tracker_stats(spark, sf_dir):
     patterns = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("count"))
@@ -487,11 +536,17 @@ def pair_features(spark, sf_dir):
     return rows.select("a", "b", "len_a", "len_b", "len_diff", "len_ratio", "edits", "edits_norm", "first_same", "last_same", "common_letters")
 
 
+@query()
+def pair_features_all(spark, sf_dir):
+    """What the words of all near pairs say about them."""
+    rows = features.text_features(pairs.near_pairs(_vocabulary(spark, sf_dir).select("word")))
+    return rows.select("a", "b", "len_a", "len_b", "len_diff", "len_ratio", "edits", "edits_norm", "first_same", "last_same", "common_letters")
+
+
 @query()
 def fp_classifier(spark, sf_dir):
-    """A forest on pair features; its label, whether the pair's last letters agree, is hidden from it."""
-    voc = _vocabulary(spark, sf_dir).where(F.col("word").rlike(_ASCII) & F.length("word").between(6, 8) & (F.col("n") >= 5))
-    rows = features.text_features(pairs.near_pairs(voc.select("word"))).withColumn("label", (F.col("last_same") == 0).cast("int"))
+    """A forest on the features of all near pairs; its label, whether the pair's last letters agree, is hidden from it."""
+    rows = features.text_features(pairs.near_pairs(_vocabulary(spark, sf_dir).select("word"))).withColumn("label", (F.col("last_same") == 0).cast("int"))
     names = tuple(f for f in features.TEXT_FEATURES if f != "last_same")
     train, test = classifier.split(rows, "a", "b")
     return classifier.FalsePositiveClassifier("random_forest", names).fit(train).predict(test).select("a", "b", "label", "predicted", "probability")
@@ -545,6 +600,6 @@ def phantom_skip(spark, sf_dir):
 def judged_errors(spark, sf_dir):
     """Near copies through the whole job: align, type, enrich, apply all rules and chains."""
     pairs_ = _copies(spark, sf_dir).withColumns({"times": F.transform(F.sequence(F.lit(1), F.size("a")), lambda i: i * 0.5), "tokens": F.col("b")})
-    voc = _vocabulary(spark, sf_dir).where(F.col("word").rlike(_ASCII) & (F.col("n") >= 20)).select("word")
+    voc = _vocabulary(spark, sf_dir).select("word")
     own = filters.Dictionaries(lexicon=_toy_lexicon(voc))
     return chapters.judge(chapters.compare(pairs_), own).select("chapter_id", "err_id", "t", "type", "wrong", "correct", "filter_reason")
