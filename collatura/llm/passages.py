@@ -148,15 +148,17 @@ def sharing_prefix(ids: DataFrame, bodies: DataFrame, least: float) -> DataFrame
 def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int = PARAGRAPH, run_words: int = RUN, recall: float = RECALL) -> DataFrame:
     """Runs of paragraphs that occur, alike, in other documents too: a row for each run of a document.
 
-    (doc_id, start_word, stop_word, passage, n_docs, removed): words
+    (doc_id, start_word, stop_word, passage, n_docs, removed, parts): words
     [start, stop) of the lower-cased text; ``passage`` is a number that alike
     runs' first paragraphs share; ``n_docs`` is how many documents hold the
     most common of its paragraphs.  A paragraph is a sentence or line.  Two
     with a shingle Jaccard of ``least`` or more are linked, and their component
     is one class.  Consecutive paragraphs of repeated classes, with at least
     ``run_words`` words from the first to the last, make a run.  Of each class
-    the occurrence first by (doc_id, text hash, position) stays; a run is
-    removed if none of its paragraphs is such a first one.
+    the occurrence first by (doc_id, text hash, position) stays; ``parts`` cuts
+    a run where first occurrences and later ones meet, and says of each part
+    (start_word, stop_word, removed) whether it goes.  ``removed`` is whether
+    the whole run goes.
 
     Null and blank texts have no paragraphs.  Equal rows (same doc_id and text)
     are one document; rows with a null doc_id are compared, and each text among
@@ -204,13 +206,27 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
     hits = scratch.table(hits.withColumn("is_first", F.struct("doc_id", "mix", "pos").eqNullSafe(F.col("first"))).drop("first", "unit").distinct(), "hits")
     n_docs = hits.select("class", who.alias("who")).distinct().groupBy("class").agg(F.count("*").alias("n_docs"))
     island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "mix").orderBy("pos"))
-    runs = hits.join(n_docs, "class").withColumn("island", island).groupBy("doc_id", "mix", "island")
-    runs = runs.agg(
+    alike = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "mix", "is_first").orderBy("pos"))
+    parts = hits.join(n_docs, "class").withColumns({"island": island, "part": alike}).groupBy("doc_id", "mix", "island", "is_first", "part")
+    parts = parts.agg(
+        F.min("pos").alias("pos"),
         F.min("word").alias("start_word"),
         F.max(F.col("word") + F.col("size")).alias("stop_word"),
         F.min_by("class", "pos").alias("passage"),
         F.max("n_docs").alias("n_docs"),
+    )
+    # Where paragraphs overlap, a word of a first occurrence stays.
+    beside = Window.partitionBy("doc_id", "mix", "island").orderBy("pos")
+    since = F.when(F.col("is_first"), F.col("start_word")).otherwise(F.greatest("start_word", F.lag("stop_word").over(beside)))
+    until = F.when(F.col("is_first"), F.col("stop_word")).otherwise(F.least("stop_word", F.lead("start_word").over(beside)))
+    parts = parts.withColumn("part", F.struct(since.alias("start_word"), until.alias("stop_word"), (~F.col("is_first")).alias("removed")))
+    runs = parts.groupBy("doc_id", "mix", "island").agg(
+        F.min("start_word").alias("start_word"),
+        F.max("stop_word").alias("stop_word"),
+        F.min_by("passage", "pos").alias("passage"),
+        F.max("n_docs").alias("n_docs"),
         (~F.bool_or("is_first")).alias("removed"),
+        F.array_sort(F.collect_list(F.when(F.col("part.start_word") < F.col("part.stop_word"), F.col("part")))).alias("parts"),
     ).where(F.col("stop_word") - F.col("start_word") >= run_words)
-    out = runs.select("doc_id", "start_word", "stop_word", "passage", "n_docs", "removed")
+    out = runs.select("doc_id", "start_word", "stop_word", "passage", "n_docs", "removed", "parts")
     return scratch.finish(out, "found", "units", "hits", "classes")

@@ -114,3 +114,12 @@ def test_prefixes_lose_no_pair(spark):
     got = {tuple(r) for r in P.sharing_prefix(ids, bodies, 0.8).collect()}
     want = {(a, b) for a, b in combinations(sets, 2) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
     assert want and want <= got and len(got) < 140 * 139 / 4
+
+
+def test_a_first_paragraph_keeps_no_copy_beside_it(spark):
+    rng = random.Random(5)
+    p, q = (" ".join(sentence(rng, 12) for _ in range(3)) for _ in range(2))
+    docs = [(1, p), (5, p + " " + q), (9, q)]
+    got = P.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    parts = {r["doc_id"]: (r["removed"], [tuple(x) for x in r["parts"]]) for r in got}
+    assert parts == {1: (False, [(0, 36, False)]), 5: (False, [(0, 36, True), (36, 72, False)]), 9: (True, [(0, 36, True)])}
