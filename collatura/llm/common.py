@@ -86,19 +86,29 @@ def in_filter(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (one(keys & mask) & one((keys >> np.uint64(32)) & mask)).astype(bool)
 
 
-def hash_sample(rows: DataFrame, key: str, most: int, buckets: int = 4096) -> DataFrame:
-    """At most ``most`` of the rows, the same on every run: those in the first hash buckets of the long column ``key``.
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """``most`` of the rows, or all if there are fewer, the same on every run: those first by a hash of the long column ``key``.
 
-    Buckets are counted, so the bound is strict; rows stay where they are, and
-    fewer than ``most`` rows all pass.
+    Buckets of the hash are counted, then the keys of the one in which the
+    bound falls, so at most ``most`` keys reach the driver.  Rows stay where
+    they are; only of the last key, whose rows count as equal, some may go.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
-    counts = {r["b"]: r["count"] for r in rows.groupBy(bucket.alias("b")).count().collect()}
-    taken, upto = 0, 0
-    while upto < buckets and taken + counts.get(upto, 0) <= most:
-        taken += counts.get(upto, 0)
-        upto += 1
-    return rows.where(bucket < upto)
+    place = F.shiftrightunsigned(F.xxhash64(key), 1)
+    bucket = F.shiftright(place, 51)
+    taken = 0
+    for b, n in sorted(tuple(r) for r in rows.groupBy(bucket.alias("b")).count().collect()):
+        if taken + n > most:
+            break
+        taken += n
+    else:
+        return rows
+    if taken == most:
+        return rows.where(bucket < b)
+    for p, n in rows.where(bucket == b).groupBy(place.alias("p")).count().orderBy("p").limit(most - taken).collect():
+        if taken + n >= most:
+            break
+        taken += n
+    return rows.where(place < p).unionByName(rows.where(place == p).limit(most - taken))
 
 
 def names_beside(df: DataFrame, *wanted: str) -> DataFrame:
