@@ -59,7 +59,7 @@ class Encoder:
         self.added = [x["content"] for x in rule.get("added_tokens", [])]
         self.letters = _byte_letters()
         self.space = chr(self.letters[ord(" ")])
-        self.pieces: dict[str, bytes] = {}  # by the piece without the space before it
+        self.pieces: dict[str, bytes] = {}  # by the piece without the space before it; never a blank one, which is awkward
         self.others: dict[str, bytes] = {}  # cuts without a space before them
 
     def _all(self, text: str) -> bytes:
@@ -67,7 +67,7 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """One cut of the byte-level rule."""
-        spaced = word[0] == " "
+        spaced = word[0] == " " and not word.isspace()
         known, key = (self.pieces, word[1:]) if spaced else (self.others, word)
         if (out := known.get(key)) is None:
             out = self._ids(word.encode().decode("latin-1").translate(self.letters))

@@ -82,3 +82,14 @@ def test_table(spark):
         assert tuple(row) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert tokens.token_files(df.limit(0), FILE).count() == 0
+
+
+def test_blank_cuts_are_not_taken_for_pieces():
+    from tokenizers import models, pre_tokenizers
+
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    whole = Tokenizer(models.BPE({x: i for i, x in enumerate([*letters, "ĠĠ", "ĠĊ"])}, [("Ġ", "Ġ"), ("Ġ", "Ċ")]))
+    whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own = tokens.Encoder(whole.to_str())
+    for text in ("a \nbar", "a \n bar", "a    b", "a  ", "a \n\n b", "a    b \n c"):
+        assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
