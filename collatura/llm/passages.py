@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,46 @@ def tune(least: float = LEAST, recall: float = RECALL, rows: int = ROWS) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - least**rows))
 
 
-def paragraphs(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of words before, lower-cased words) of each paragraph that has words."""
+def _joined(short: list[list[bytes]], before: int, least: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Successive short paragraphs as units of ``least`` words or more: from each one on, and up to each one.
+
+    Units overlap, so a passage gives the same ones whatever stands around it.
+    Starts and ends both rise from unit to unit.  Too few words for one are
+    given as they are.
+    """
+    words = [w for p in short for w in p]
+    ends = [0, *accumulate(map(len, short))]
+    if len(words) < least:
+        yield before, words
+        return
+    spans = {(i, ends[bisect_left(ends, i + least)]) for i in ends if i + least <= len(words)}
+    spans |= {(ends[bisect_right(ends, j - least) - 1], j) for j in ends if j >= least}
+    for i, j in sorted(spans):
+        yield before + i, words[i:j]
+
+
+def paragraphs(text: bytes, least: int = PARAGRAPH) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of words before, lower-cased words) of each paragraph; successive ones under ``least`` words are joined."""
     before, at = 0, 0
+    short: list[list[bytes]] = []
+    waiting = 0  # words in ``short``
     text = text.lower()
-    for m in _END.finditer(text):
-        words = text[at : m.end()].split()
-        at = m.end()
-        if words:
+    for end in chain((m.end() for m in _END.finditer(text)), [len(text)]):
+        words = text[at:end].split()
+        at = end
+        if not words:
+            continue
+        if len(words) < least:
+            short.append(words)
+            waiting += len(words)
+        else:
+            if short:
+                yield from _joined(short, before - waiting, least)
+                short, waiting = [], 0
             yield before, words
-            before += len(words)
-    if words := text[at:].split():
-        yield before, words
+        before += len(words)
+    if short:
+        yield from _joined(short, before - waiting, least)
 
 
 def shingles(words: list[bytes], size: int = SHINGLE) -> list[int]:
@@ -86,7 +115,7 @@ def _scan(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least_words:
             doc, mix, pos, word, size, unit, first, flat, counts = [], [], [], [], [], [], [], [], []
             for d, h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _binary(part.column(2)), strict=True):
                 k = 0
-                for before, words in paragraphs(text.as_py() or b""):
+                for before, words in paragraphs(text.as_py() or b"", least_words):
                     if len(words) < least_words:
                         continue
                     u = number(words)
@@ -151,7 +180,8 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
     (doc_id, start_word, stop_word, passage, n_docs, removed, parts): words
     [start, stop) of the lower-cased text; ``passage`` is a number that alike
     runs' first paragraphs share; ``n_docs`` is how many documents hold the
-    most common of its paragraphs.  A paragraph is a sentence or line.  Two
+    most common of its paragraphs.  A paragraph is a sentence or line, or
+    successive ones of under ``least_words`` words joined until they have as many.  Two
     with a shingle Jaccard of ``least`` or more are linked, and their component
     is one class.  Consecutive paragraphs of repeated classes, with at least
     ``run_words`` words from the first to the last, make a run.  Of each class
@@ -179,7 +209,7 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
             for batch in batches:
                 units, words = [], []
                 for text in _binary(batch.column(0)):
-                    for _, w in paragraphs(text.as_py() or b""):
+                    for _, w in paragraphs(text.as_py() or b"", least_words):
                         if len(w) >= least_words:
                             units.append(number(w))
                             words.append(w)

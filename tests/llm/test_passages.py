@@ -123,3 +123,24 @@ def test_a_first_paragraph_keeps_no_copy_beside_it(spark):
     got = P.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     parts = {r["doc_id"]: (r["removed"], [tuple(x) for x in r["parts"]]) for r in got}
     assert parts == {1: (False, [(0, 36, False)]), 5: (False, [(0, 36, True), (36, 72, False)]), 9: (True, [(0, 36, True)])}
+
+
+def test_short_lines_are_found(spark):
+    rng = random.Random(6)
+    lines = [sentence(rng, n) for n in (4, 4, 4, 4, 4, 2, 7, 1, 3, 5, 4, 4, 6, 7)]
+    own = [sentence(rng, n) for n in (3, 5, 4, 4, 12, 6)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join([own[0], own[2], *lines, own[1], own[4]])), (3, " ".join([*own[4:], *lines, own[3], own[2]])), (4, "\n".join(own[:4]))]
+    got = P.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    n = sum(len(x.split()) for x in lines)
+    spans = {r["doc_id"]: (r["start_word"], r["stop_word"], r["removed"]) for r in got if r["stop_word"] - r["start_word"] >= n}
+    assert spans == {1: (0, n, False), 2: (7, 7 + n, True), 3: (18, 18 + n, True)}
+
+
+def test_joined_units_cover_all_words():
+    rng = random.Random(7)
+    for _ in range(200):
+        short = [["w"] * rng.randrange(1, 8) for _ in range(rng.randrange(1, 9))]
+        units = list(P._joined(short, 5, 8))
+        n = sum(map(len, short))
+        assert {k for b, w in units for k in range(b, b + len(w))} == set(range(5, 5 + n))
+        assert all(a[0] <= b[0] and a[0] + len(a[1]) <= b[0] + len(b[1]) for a, b in zip(units, units[1:]))
