@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from collatura.llm.common import Scratch, hash_sample, names_beside
 
-#: Hash buckets of word features; labelled rows the classifier is fitted on at most; features it may use at most.
-BUCKETS, FIT_ROWS, FIT_FEATURES = 1 << 20, 50_000, 20_000
+#: Hash buckets of word features, which bound their number; labelled rows the classifier is fitted on at most.
+BUCKETS, FIT_ROWS = 1 << 20, 50_000
 #: Readings of one obfuscated token that are scored, and paths the decoder keeps.
 READINGS, BEAM = 3, 12
 #: Prefix lengths that stand for a word beside the word itself.
@@ -219,8 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks and whose doc_id is in a training fold.
 
     The character model counts all texts, and feature counts cover all labelled
-    training texts (equal texts once).  The regression then uses at most
-    FIT_FEATURES features that speak for a label and FIT_ROWS labelled rows,
+    training texts (equal texts once).  The regression then uses
+    all features that speak for a label and at most FIT_ROWS labelled rows,
     chosen by hash.  Rows without a label, doc_id or text teach nothing;
     with no positive or no negative row the model is a constant.
     """
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(language.value, {}, 5.0 if n1 else -5.0)
     counts = rows.select("text", "toxic").mapInArrow(counted, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log(((F.col("pos") + 0.5) / (n1 + 1)) / ((F.col("neg") + 0.5) / (n0 + 1)))
-    told = counts.where("pos >= 2").withColumn("odds", odds).where("odds > 1.5").orderBy((F.col("odds") * F.col("pos")).desc(), "bucket").limit(FIT_FEATURES)
+    told = counts.where("pos >= 2").withColumn("odds", odds).where("odds > 1.5").orderBy((F.col("odds") * F.col("pos")).desc(), "bucket")
     number = {r["bucket"]: i for i, r in enumerate(told.select("bucket").collect())}
     sent = spark.sparkContext.broadcast(number)
 

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -112,3 +113,16 @@ def test_query_on_held_out_labels(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     clean = [got[i]["predicted"] for i, y in labels.items() if y == 0]
     assert sum(clean) / len(clean) < 0.05
+
+
+def test_all_features_with_evidence_get_a_weight(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    groups = [" ".join(word() for _ in range(500)) for _ in range(20)]
+    docs = [(i, f"{groups[i % 20]} {word()}") for i in range(100)] + [(100 + i, f"plain {word()}") for i in range(100)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    held = [t for i, t in docs[:100] if zlib.crc32(str(i).encode()) % 5]
+    often = Counter(b for t in held for b in {b for w in t.split() for b in toxicity.buckets_of(w)})
+    want = {b for b, n in often.items() if n >= 3}
+    assert len(want) > 20_000 and len(want - set(model.weights)) < 0.02 * len(want)
