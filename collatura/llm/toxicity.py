@@ -16,8 +16,8 @@ from collatura.llm.common import Scratch, hash_sample, names_beside
 
 #: Hash buckets of word features, which bound their number; labelled rows the classifier is fitted on at most.
 BUCKETS, FIT_ROWS = 1 << 20, 50_000
-#: Readings of one obfuscated token that are scored, and paths the decoder keeps.
-READINGS, BEAM = 3, 12
+#: Readings of one obfuscated token that are scored, and paths the decoder keeps (None: one for each state).
+READINGS, BEAM = 3, None
 #: Prefix lengths that stand for a word beside the word itself.
 PREFIXES = (4, 5, 6)
 

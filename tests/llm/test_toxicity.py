@@ -126,3 +126,12 @@ def test_all_features_with_evidence_get_a_weight(spark):
     often = Counter(b for t in held for b in {b for w in t.split() for b in toxicity.buckets_of(w)})
     want = {b for b, n in often.items() if n >= 3}
     assert len(want) > 20_000 and len(want - set(model.weights)) < 0.02 * len(want)
+
+
+def test_decoder_drops_no_state(monkeypatch):
+    rng = random.Random(9)
+    model = toxicity.language_model(np.random.default_rng(9).integers(0, 40, (64, 64, 64)))
+    tokens = ["a" + "".join(rng.choices("0123456789abcdef!|+", k=rng.randrange(4, 40))) for _ in range(200)]
+    got = [toxicity.decode(t, model) for t in tokens]
+    monkeypatch.setattr(toxicity, "BEAM", 10**6)
+    assert got == [toxicity.decode(t, model) for t in tokens]
