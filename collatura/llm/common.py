@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,15 +37,55 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_TO_REMOVE: dict[str, list[str]] = {}
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """Have ``path`` deleted when the application's driver ends."""
+    name = spark.sparkContext.applicationId
+    if name not in _TO_REMOVE:
+        paths = _TO_REMOVE[name] = []
+
+        def clear() -> None:
+            with contextlib.suppress(Exception):  # a stopped session takes no more calls
+                for x in paths:
+                    remove(spark, x)
+
+        atexit.register(clear)
+    _TO_REMOVE[name].append(path)
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of some ``most`` bytes, so that what is made of a batch stays small; a longer row is one alone."""
+    for batch in batches:
+        step = max(1, len(batch) * most // max(batch.nbytes, 1))
+        if step >= len(batch):
+            yield batch
+            continue
+        for at in range(0, len(batch), step):
+            part = batch.slice(at, step)
+            # Rows differ in length: halve what is still far too large.
+            stack = [part]
+            while stack:
+                part = stack.pop()
+                if len(part) > 1 and part.nbytes > 2 * most:
+                    half = len(part) // 2
+                    stack += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
+
+
 class Scratch:
     """Tables written to the shared folder in order to cut lineage.
 
-    A written table survives the loss of any executor.  ``close`` deletes all
-    but the tables named, once nothing reads them any more.
+    A written table survives the loss of any executor.  ``drop`` deletes tables
+    once nothing reads them any more, ``close`` all of them.  What a result
+    still reads stays until the driver ends, which then deletes it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _at_exit(spark, self.path)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -51,6 +95,9 @@ class Scratch:
         for name in names:
             remove(self.spark, f"{self.path}/{name}")
 
+    def close(self) -> None:
+        remove(self.spark, self.path)
+
     def finish(self, df: DataFrame, *others: str) -> DataFrame:
         """Write the result and delete the tables it came from."""
         out = self.table(df, "result")
@@ -86,29 +133,51 @@ def in_filter(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (one(keys & mask) & one((keys >> np.uint64(32)) & mask)).astype(bool)
 
 
-def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """``most`` of the rows, or all if there are fewer, the same on every run: those first by a hash of the long column ``key``.
+def _place(key: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 1)
+
+
+def hash_edge(rows: DataFrame, key: str, most: int) -> tuple[int | None, int]:
+    """(place, n): the ``most`` rows first by a hash of the long column ``key`` are those before that place and n at it.
 
     Buckets of the hash are counted, then the keys of the one in which the
-    bound falls, so at most ``most`` keys reach the driver.  Rows stay where
-    they are; only of the last key, whose rows count as equal, some may go.
+    bound falls, so at most ``most`` keys reach the driver.  The place is None
+    if all rows are within the bound.
     """
-    place = F.shiftrightunsigned(F.xxhash64(key), 1)
-    bucket = F.shiftright(place, 51)
+    bucket = F.shiftright(_place(key), 51)
     taken = 0
     for b, n in sorted(tuple(r) for r in rows.groupBy(bucket.alias("b")).count().collect()):
         if taken + n > most:
             break
         taken += n
     else:
-        return rows
+        return None, 0
     if taken == most:
-        return rows.where(bucket < b)
-    for p, n in rows.where(bucket == b).groupBy(place.alias("p")).count().orderBy("p").limit(most - taken).collect():
+        return b << 51, 0
+    for p, n in rows.where(bucket == b).groupBy(_place(key).alias("p")).count().orderBy("p").limit(most - taken).collect():
         if taken + n >= most:
             break
         taken += n
-    return rows.where(place < p).unionByName(rows.where(place == p).limit(most - taken))
+    return p, most - taken
+
+
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """``most`` of the rows, or all if there are fewer, the same on every run: those first by a hash of the long column ``key``.
+
+    Rows stay where they are; only of the last key, whose rows count as equal,
+    some may go.
+    """
+    place, n = hash_edge(rows, key, most)
+    if place is None:
+        return rows
+    before = rows.where(_place(key) < place)
+    return before.unionByName(rows.where(_place(key) == place).limit(n)) if n else before
+
+
+def before_edge(rows: DataFrame, key: str, most: int) -> Column:
+    """Whether a row is in a sample of at most ``most`` rows, those of the last key left out if they are not all in it."""
+    place, _ = hash_edge(rows, key, most)
+    return F.lit(True) if place is None else _place(key) < place
 
 
 def names_beside(df: DataFrame, *wanted: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Container, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,30 +12,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collatura.llm.common import Scratch, hash_sample, names_beside
+from collatura.llm.common import Scratch, before_edge, bit_filter, in_filter, names_beside, slices
 
 #: Hash buckets of word features, which bound their number; labelled rows the classifier is fitted on at most.
 BUCKETS, FIT_ROWS = 1 << 20, 50_000
-#: Readings of one obfuscated token that are scored, and paths the decoder keeps (None: one for each state).
-READINGS, BEAM = 3, None
+#: Readings of one obfuscated token that are scored, and tokens a task remembers (longer ones than LONG are decoded anew).
+READINGS, REMEMBERED, LONG = 3, 320_000, 40
 #: Prefix lengths that stand for a word beside the word itself.
 PREFIXES = (4, 5, 6)
 
 #: What a symbol may stand for (fixed values): look-alikes, and symbols that only separate or mask.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
+    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "†": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
+}
+#: Letters of other alphabets that look like Latin ones (fixed values).
+TWINS = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "і": "i", "ѕ": "s", "ј": "j",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
 SEPARATORS = ".-_*~'`^·/\\ "
 #: Costs (in nats) of the channel: a look-alike, a dropped symbol, a dropped repeat of a letter, a kept one.
 SWAP, DROP, SQUEEZE, REPEAT = 1.0, 1.0, 0.7, 0.7
 
-#: Punctuation and repeated symbols that hang on a word without standing for a letter.
-_EDGE = re.compile(r"^[^\w@$!|+(<€£¡]+|(?:[.,;:?\"')\]}*#%&]|([^\w\s])\1\1+|!)+$")
 _WORD = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]{1,2}){2,}\w(?!\w)")
-_ODD = re.compile(r"[^\W\d_][^\w\s]*[\d@$!|+(<€£¡_*.\-~'`^·/\\]+[^\W\d_]|^[\d@$!|+(<€£¡]+[^\W\d_]|[^\W\d_][\d@$€£]+$|([^\W\d_])\1\1")
+#: Symbols that hang on a word and can only be dropped, so the word reads the same without them.
+_HANGING = ".,;:?\"')]}[{#%&>=" + SEPARATORS
+_NO_LETTER = re.compile(r"[\W\d_]+")
+#: Where a lattice branches: a repeated letter, a look-alike.
+_BRANCH = re.compile(rf"([^\W\d_])\1|[{re.escape(''.join(LOOKALIKES) + ''.join(TWINS))}]")
 
 # Symbols of the character model: 0 ends a word, a-z, the letters from ß to ÿ, and one for all other letters.
 _OTHER = 60
@@ -59,7 +65,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
             s = symbols(f" {'  '.join(open_)} ".lower())
             counts[:] += np.bincount((s[:-2] << 12) | (s[1:-1] << 6) | s[2:], minlength=1 << 18)
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 open_.append(text or "")
                 size += len(open_[-1])
@@ -87,34 +93,68 @@ def language_model(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def decode(token: str, model: np.ndarray, best: int = READINGS) -> list[str]:
+def flat(model: np.ndarray) -> memoryview:
+    """The model's log-probabilities by (a << 12) | (b << 6) | c, quick to read one by one."""
+    return memoryview(np.ascontiguousarray(model, np.float32).reshape(-1))
+
+
+def _code(letter: str) -> int:
+    return int(_SYMBOL[min(ord(letter), 0x2FFF)])
+
+
+def _arcs(ch: str, again: bool) -> list[tuple[str, float]]:
+    """What a character may stand for, and at which cost; again: it repeats the one before."""
+    if ch.isalpha():
+        own = [(ch, REPEAT if again else 0.0)] + ([("", SQUEEZE)] if again else [])
+        return own + [(x, SWAP) for x in TWINS.get(ch, "")]
+    return [(x, SWAP) for x in LOOKALIKES.get(ch, "")] + [("", DROP / 2 if ch in SEPARATORS else 3 * DROP)]
+
+
+def decode(token: str, model: np.ndarray | memoryview, best: int = READINGS) -> list[str]:
     """The ``best`` readings of a token under channel and character model, by Viterbi search.
 
     The lattice offers each character's letters, dropping a separator or
     symbol, and dropping or keeping a repeated letter; a state is the last two
-    letters emitted.
+    letters emitted and all states are kept.  Where only one state is left and
+    the lattice does not branch, its only path is followed without a score.
     """
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-    for i, ch in enumerate(token):
-        again = i > 0 and ch == token[i - 1]
-        arcs: list[tuple[str, float]] = []
-        if ch.isalpha():
-            arcs = [(ch, REPEAT if again else 0.0)] + ([("", SQUEEZE)] if again else [])
-        else:
-            arcs = [(x, SWAP) for x in LOOKALIKES.get(ch, "")] + [("", DROP / 2 if ch in SEPARATORS else 3 * DROP)]
-        new: dict[tuple[int, int, str], tuple[float, str]] = {}
-        for (a, b, _), (score, out) in states.items():
-            for letter, cost in arcs:
+    lm = model if isinstance(model, memoryview) else flat(model)
+    # A state's best path: score, letters so far as (before, letters).
+    states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
+    i, n = 0, len(token)
+    while i < n:
+        if len(states) == 1:
+            found = _BRANCH.search(token, max(i - 1, 0))
+            at = n if not found else found.end() - 1
+            if at > i:
+                ((a, b, last), (_, path)), letters = next(iter(states.items())), _NO_LETTER.sub("", token[i:at])
+                if letters:
+                    before = b if len(letters) == 1 else _code(letters[-2])
+                    states = {(before, _code(letters[-1]), letters[-1]): (0.0, (path, letters))}
+                i = at
+                continue
+        ch = token[i]
+        new: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+        arcs = [(letter, cost, _code(letter) if letter else 0) for letter, cost in _arcs(ch, i > 0 and ch == token[i - 1])]
+        for (a, b, last), (score, path) in states.items():
+            for letter, cost, c in arcs:
                 if letter:
-                    c = int(_SYMBOL[min(ord(letter), 0x2FFF)])
-                    key, value = (b, c, letter), (score - cost + float(model[a, b, c]), out + letter)
+                    key, value, longer = (b, c, letter), score - cost + lm[(a << 12) | (b << 6) | c], (path, letter)
                 else:
-                    key, value = (a, b, out[-1:]), (score - cost, out)
-                if key not in new or new[key][0] < value[0]:
-                    new[key] = value
-        states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
-    ended = sorted(((score + float(model[a, b, 0]), out) for (a, b, _), (score, out) in states.items() if out), reverse=True)
-    return list(dict.fromkeys(out for _, out in ended))[:best]
+                    key, value, longer = (a, b, last), score - cost, path
+                if key not in new or new[key][0] < value:
+                    new[key] = value, longer
+        states = new
+        i += 1
+    ended = []
+    for (a, b, _), (score, path) in states.items():
+        letters = []
+        while path:
+            path, x = path
+            letters.append(x)
+        if letters:
+            ended.append((score + lm[(a << 12) | (b << 6)], "".join(reversed(letters))))
+    return list(dict.fromkeys(out for _, out in sorted(ended, reverse=True)))[:best]
 
 
 _WHOLE, _PREFIX = zlib.crc32(b"="), zlib.crc32(b"^")
@@ -122,56 +162,77 @@ _WHOLE, _PREFIX = zlib.crc32(b"="), zlib.crc32(b"^")
 
 def buckets_of(word: str) -> list[int]:
     """Hash buckets of a restored word: itself, and its prefixes."""
-    out = [zlib.crc32(word.encode("utf-8", "surrogatepass"), _WHOLE) % BUCKETS]
-    at, code = 0, _PREFIX
+    whole = word.encode("utf-8", "surrogatepass")
+    out = [zlib.crc32(whole, _WHOLE) % BUCKETS]
+    at, code, plain = 0, _PREFIX, len(whole) == len(word)
     for k in PREFIXES:
         if len(word) < k:
             break
-        code = zlib.crc32(word[at:k].encode("utf-8", "surrogatepass"), code)
+        code = zlib.crc32(whole[at:k] if plain else word[at:k].encode("utf-8", "surrogatepass"), code)
         out.append(code % BUCKETS)
         at = k
     return out
 
 
 class Restorer:
-    """Turns texts into sets of feature buckets, decoding what looks obfuscated.
+    """Turns texts into sets of feature buckets; every token whose lattice branches is decoded.
 
-    ``keep``: only these buckets matter, so that most tokens are remembered as nothing.
+    ``keep``: a mask of the buckets that matter; most tokens are then remembered
+    as nothing.  Tokens are remembered in two generations, so frequent ones
+    stay and memory keeps its bound: REMEMBERED tokens of some 170 bytes, or
+    a third as many without ``keep``, as those hold all their buckets.
     """
 
-    def __init__(self, model: np.ndarray, keep: Container[int] | None = None):
-        self.model, self.keep = model, keep
-        self.remember = 300_000 if keep is None else 800_000
+    def __init__(self, model: np.ndarray, keep: np.ndarray | None = None):
+        self.model, self.keep = model if isinstance(model, memoryview) else flat(model), keep if keep is None else keep.tobytes()
+        self.most = REMEMBERED // (6 if keep is None else 2)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def _token(self, token: str) -> tuple[int, ...]:
-        core = token.strip(".,;:?!\"'()")
-        if core.isalpha():
-            words, odd = [core], _TRIPLE.search(core)
-        else:
-            words, core = _WORD.findall(token), _EDGE.sub("", token)
-            odd = _ODD.search(core)
-        if odd:
-            words += decode(core, self.model)
+    def _buckets(self, words: list[str]) -> tuple[int, ...]:
         out = {b for w in words for b in buckets_of(w)}
-        return tuple(out) if self.keep is None else tuple(b for b in out if b in self.keep)
+        return tuple(out) if self.keep is None else tuple([b for b in out if self.keep[b]])
+
+    def _token(self, token: str) -> tuple[int, ...]:
+        words = [token] if token.isalpha() else _WORD.findall(token)
+        if _BRANCH.search(token):
+            words += decode(token, self.model)
+        elif len(words) > 1:
+            words.append("".join(words))  # its only reading
+        return self._buckets(words)
+
+    def _remembered(self, token: str) -> tuple[int, ...]:
+        if len(token) > LONG:
+            return self._token(token)
+        found = self.older.get(token)
+        if found is None:
+            core = token.strip(_HANGING)
+            if core == token:
+                found = self._token(token)
+            else:
+                found = self.known.get(core)
+                if found is None:
+                    found = self._remembered(core) if core else ()
+        known = self.known
+        if len(known) >= self.most:
+            self.older = known
+            known = self.known = {}
+        known[token] = found
+        return found
 
     def features(self, text: str) -> set[int]:
         text = text.lower()
-        known, out = self.known, set()
+        out: set[int] = set()
         for token in set(text.split()):
-            found = known.get(token)
+            found = self.known.get(token)
             if found is None:
-                if len(known) >= self.remember:
-                    known.clear()
-                found = known[token] = self._token(token)
+                found = self._remembered(token)
             if found:
                 out.update(found)
         for spaced in set(_SPACED.findall(text)):
             joined = re.sub(r"[ .\-_*]", "", spaced)
             for part in (joined, joined[1:], joined[:-1]):
-                for w in decode(part, self.model, 2):
-                    out.update(buckets_of(w))
+                out.update(self._buckets(decode(part, self.model, 2)))
         return out
 
 
@@ -180,7 +241,7 @@ def _mapped(docs: DataFrame, columns: list[str], fn, schema: str, arrow: pa.Sche
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = fn()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(call(*(x.to_pylist() for x in batch.columns)), arrow.types, strict=True)], schema=arrow)
 
     return names_beside(docs, *columns).mapInArrow(run, schema)
@@ -194,6 +255,18 @@ class Model:
     weights: dict[int, float]
     bias: float
 
+    def scorer(self) -> Callable[[list[str | None]], np.ndarray]:
+        """Scores of texts, from 0 to 1; a null text is empty."""
+        dense = np.zeros(BUCKETS)
+        dense[list(self.weights)] = list(self.weights.values())
+        own, weight = Restorer(self.language, dense != 0), memoryview(dense)
+
+        def run(texts: list[str | None]) -> np.ndarray:
+            z = np.array([self.bias + sum([weight[x] for x in sorted(own.features(t or ""))]) for t in texts])
+            return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+        return run
+
 
 def logistic(rows: list[list[int]], y: np.ndarray, size: int, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression over sets of features, by Adam on all rows."""
@@ -215,52 +288,87 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 != 0
 
 
+def labelled_texts(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(mix, text, toxic) of each distinct labelled text of a training fold, and how many there are of each label.
+
+    Labels meet documents on ids and text hashes alone.  Texts without a label
+    are dropped where they are read, and each of the others moves once.
+    """
+    spark = docs.sparkSession
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = names_beside(docs, "doc_id", "text").where(F.col("text").isNotNull() & in_training(F.col("doc_id"))).withColumn("mix", F.xxhash64("text"))
+    told = texts.select("doc_id", "mix").join(marks, F.col("doc_id") == F.col("id")).groupBy("mix").agg(F.max("toxic").alias("toxic"))
+    told = scratch.table(told, "told")
+    totals = {r["toxic"]: r["n"] for r in told.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    wanted = spark.sparkContext.broadcast(bit_filter(told.select("mix"), sum(totals.values())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(wanted.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    held = texts.select("mix", "text").mapInArrow(run, "mix long, text string").groupBy("mix").agg(F.any_value("text").alias("text"))
+    return scratch.table(held.join(told, "mix"), "rows"), totals
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the rows of ``docs`` that ``labels`` (doc_id, toxic) marks and whose doc_id is in a training fold.
 
     The character model counts all texts, and feature counts cover all labelled
-    training texts (equal texts once).  The regression then uses
-    all features that speak for a label and at most FIT_ROWS labelled rows,
-    chosen by hash.  Rows without a label, doc_id or text teach nothing;
-    with no positive or no negative row the model is a constant.
+    training texts (equal texts once, toxic if any of them is).  The regression
+    then uses all features that speak for toxicity and at most FIT_ROWS labelled
+    rows, chosen by hash.  Rows without a label, doc_id or text teach nothing,
+    nor do labels other than 0 and 1; of several labels of a doc_id the largest
+    holds.  With no positive or no negative row, and for empty tables, the
+    model is a constant.  Texts of any length are read whole.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     language = spark.sparkContext.broadcast(language_model(trigram_counts(docs)))
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = names_beside(docs, "doc_id", "text").where(F.col("text").isNotNull() & in_training(F.col("doc_id")))
-    rows = rows.join(marks, F.col("doc_id") == F.col("id")).select(F.xxhash64("text").alias("mix"), "text", "toxic")
-    rows = scratch.table(rows.groupBy("mix").agg(F.any_value("text").alias("text"), F.max("toxic").alias("toxic")), "rows")
+    rows, totals = labelled_texts(scratch, docs, labels)
+    n1, n0 = totals.get(1, 0), totals.get(0, 0)
+    if not n1 or not n0:
+        scratch.close()
+        return Model(language.value, {}, 5.0 if n1 else -5.0)
+
+    # One pass decodes the labelled texts: it counts features over all of them and gives those of the sample's rows.
+    marked = rows.withColumn("chosen", before_edge(rows, "mix", FIT_ROWS))
+    kinds = pa.schema([("bucket", pa.int64()), ("pos", pa.int64()), ("neg", pa.int64()), ("f", pa.list_(pa.int32())), ("toxic", pa.int32())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = Restorer(language.value), np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n[toxic, list(own.features(text))] += 1
+        none = lambda k, t: pa.nulls(k, t)
+        for batch in slices(batches):
+            sets, marks = [], []
+            for text, toxic, kept in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = list(own.features(text))
+                n[toxic, found] += 1
+                if kept:
+                    sets.append(np.array(found, np.int32))
+                    marks.append(toxic)
+            k = len(sets)
+            yield pa.RecordBatch.from_arrays([*[none(k, pa.int64()) for _ in range(3)], pa.array(sets, kinds.types[3]), pa.array(marks, pa.int32())], schema=kinds)
         at = np.flatnonzero(n.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at]), pa.array(n[0, at])], names=["bucket", "pos", "neg"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at]), pa.array(n[0, at]), none(len(at), kinds.types[3]), none(len(at), pa.int32())], schema=kinds)
 
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    if not n1 or not n0:
-        scratch.drop("rows")
-        return Model(language.value, {}, 5.0 if n1 else -5.0)
-    counts = rows.select("text", "toxic").mapInArrow(counted, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    seen = scratch.table(marked.select("text", "toxic", "chosen").mapInArrow(counted, "bucket long, pos long, neg long, f array<int>, toxic int"), "seen")
+    counts = seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log(((F.col("pos") + 0.5) / (n1 + 1)) / ((F.col("neg") + 0.5) / (n0 + 1)))
     told = counts.where("pos >= 2").withColumn("odds", odds).where("odds > 1.5").orderBy((F.col("odds") * F.col("pos")).desc(), "bucket")
-    number = {r["bucket"]: i for i, r in enumerate(told.select("bucket").collect())}
-    sent = spark.sparkContext.broadcast(number)
+    buckets = [r["bucket"] for r in told.select("bucket").collect()]  # at most BUCKETS
+    place = np.full(BUCKETS, -1, np.int32)
+    place[buckets] = np.arange(len(buckets))
+    sent = spark.sparkContext.broadcast(place)
 
     def vectors():
-        own = Restorer(language.value, keep=sent.value)
-        get = sent.value.get
-        return lambda texts, toxic: ([sorted(k for x in own.features(t) if (k := get(x)) is not None) for t in texts], toxic)
+        at = sent.value
+        return lambda sets, toxic: ([(x := at[np.array(f, np.int64)])[x >= 0] for f in sets], toxic)
 
-    sample = hash_sample(rows, "mix", FIT_ROWS)
-    found = _mapped(sample, ["text", "toxic"], vectors, "f array<int>, toxic int", pa.schema([("f", pa.list_(pa.int32())), ("toxic", pa.int32())])).toPandas()
-    w, b = logistic([list(x) for x in found["f"]], found["toxic"].to_numpy(float), len(number))
-    scratch.drop("rows")
-    return Model(language.value, {bucket: float(w[k]) for bucket, k in number.items()}, float(b))
+    # Sums over features and rows depend on their order in the last digits only; sorted, reruns agree to the bit.
+    found = _mapped(seen.where("f IS NOT NULL"), ["f", "toxic"], vectors, "f array<int>, toxic int", pa.schema([("f", pa.list_(pa.int32())), ("toxic", pa.int32())])).toPandas()
+    rows = sorted((sorted(x), y) for x, y in zip(found["f"], found["toxic"].tolist(), strict=True))
+    w, b = logistic([x for x, _ in rows], np.array([y for _, y in rows], float), len(buckets))
+    scratch.close()
+    return Model(language.value, dict(zip(buckets, w.tolist(), strict=True)), float(b))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -268,14 +376,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scorer():
-        m = sent.value
-        own, get = Restorer(m.language, keep=m.weights), m.weights.get
-
-        def run(ids, texts):
-            z = np.array([m.bias + sum(get(x, 0.0) for x in sorted(own.features(t or ""))) for t in texts])
-            return ids, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-        return run
+        run = sent.value.scorer()
+        return lambda ids, texts: (ids, run(texts))
 
     out = _mapped(docs, ["doc_id", "text"], scorer, "doc_id long, score double", pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]))
     return out.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -295,10 +397,8 @@ def reject(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        own, get = Restorer(m.language, keep=m.weights), m.weights.get
-        for batch in batches:
-            z = np.array([m.bias + sum(get(x, 0.0) for x in sorted(own.features(t or ""))) for t in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < most, pa.bool_()))
+        of = sent.value.scorer()
+        for batch in slices(batches):
+            yield batch.filter(pa.array(of(batch.column("text").to_pylist()) < most, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

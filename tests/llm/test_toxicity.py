@@ -57,8 +57,7 @@ def plain_decode(token, model):
     return max(best, key=lambda x: (best[x], x)) if best else None
 
 
-def test_viterbi_finds_the_best_path(monkeypatch):
-    monkeypatch.setattr(toxicity, "BEAM", 10**6)
+def test_viterbi_finds_the_best_path():
     model = model_of(["idiot", "trash", "little", "test", "banal"] * 20)
     for token in ("1d10t", "tr@sh", "iidiott", "tra$$h", "i.d.i.o.t", "b4n4l", "l!ttle", "t3st", "0", "b__a", "ttt"):
         got = toxicity.decode(token, model)
@@ -128,10 +127,38 @@ def test_all_features_with_evidence_get_a_weight(spark):
     assert len(want) > 20_000 and len(want - set(model.weights)) < 0.02 * len(want)
 
 
-def test_decoder_drops_no_state(monkeypatch):
+def test_decoder_equals_all_paths_on_any_token():
+    """The shipped search against every path of the lattice, where it branches at the start, inside, at the end or not at all."""
     rng = random.Random(9)
     model = toxicity.language_model(np.random.default_rng(9).integers(0, 40, (64, 64, 64)))
-    tokens = ["a" + "".join(rng.choices("0123456789abcdef!|+", k=rng.randrange(4, 40))) for _ in range(200)]
-    got = [toxicity.decode(t, model) for t in tokens]
-    monkeypatch.setattr(toxicity, "BEAM", 10**6)
-    assert got == [toxicity.decode(t, model) for t in tokens]
+    for alphabet in ("abcdef013!|+", "abc", "ab#%*-", "aаеo†", "ab_0éß"):
+        for _ in range(300):
+            token = "".join(rng.choices(alphabet, k=rng.randrange(1, 9)))
+            if not any(x in toxicity.TWINS for x in token):
+                assert (toxicity.decode(token, model)[:1] or [None]) == [plain_decode(token, model)], token
+            assert len(toxicity.decode("x" * 50 + token + "y" * 50, model)) >= 1
+
+
+def test_every_disguise_is_decoded():
+    words = ["idiot", "trash", "little", "test", "banal"]
+    own = toxicity.Restorer(model_of(words * 20))
+    for token, word in (("!diot", "idiot"), ("idi0+", "idiot"), ("trrash", "trash"), ("†rash", "trash"), ("trаsh", "trash"), ("***trash", "trash"), ("(1d10t)", "idiot"), ("tr@sh!!!", "trash"), ("i-d-i-o-t", "idiot")):
+        assert toxicity.buckets_of(word)[0] in own.features(f"banal {token} test"), token
+
+
+def test_other_labels_teach_nothing(spark):
+    rows = docs(random.Random(6), 120)
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    some = [(i, y) for i, _, y in rows if i % 3]
+    odd = [(i, y) for i, _, _ in rows if not i % 3 for y in (2, -1)]
+    score = lambda marks: sorted(map(tuple, toxicity.toxicity(table, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()))
+    assert score(some) == score(some + odd)
+
+
+def test_memory_of_tokens_keeps_its_bound(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 20)
+    own = toxicity.Restorer(model_of(["test"]))
+    for k in range(200):
+        text = f"w{k} common tes{k % 7}t " + "long" * 20
+        assert own.features(text) == toxicity.Restorer(own.model).features(text)
+        assert len(own.known) + len(own.older) <= 21 and all(len(x) <= toxicity.LONG for x in own.known)
