@@ -6,95 +6,178 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatura.llm.common import Scratch
+from collatura.llm.common import Scratch, bit_filter, in_filter
 from collatura.llm.components import connected_components
 
+#: Rows of a tile, and the sum of their sizes, about which a bucket is cut.
+TILE, TILE_SIZE = 2000, 1 << 20
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, id) sorted by both: the distinct ones whose key has two ids or more, with the key's least id.
+#: (i, others): which of the rows ``others`` of a tile are alike its row i.
+Alike = Callable[[int, np.ndarray], np.ndarray]
 
-    Rows come in batches of any size; at most the open key's last row is kept
-    back, so a key of any number of rows takes constant memory.
+
+#: Rows (key, id); if a broadcast bit filter is given, only those whose key may be in it.
+Members = Callable[[Broadcast | None], DataFrame]
+
+
+def kept(keys: np.ndarray, sent: Broadcast | None) -> np.ndarray:
+    return np.ones(len(keys), bool) if sent is None else in_filter(sent.value, keys.view(np.uint64))
+
+
+def from_table(members: DataFrame) -> Members:
+    """Members that are rows (key, id) of a table."""
+
+    def rows(sent: Broadcast | None) -> DataFrame:
+        if sent is None:
+            return members.select("key", "id")
+        return members.select("key", "id").mapInArrow(lambda it: (b.filter(pa.array(kept(b.column(0).to_numpy(), sent))) for b in it), "key long, id long")
+
+    return rows
+
+
+def shared(scratch: Scratch, members: Members) -> DataFrame:
+    """The distinct (key, id) whose key has two ids or more.
+
+    A key's least and greatest id are found with sums in every task first, and
+    rows of other keys are dropped where they are read, so neither a hot key
+    nor the many keys of one id meet in a task.
     """
-    key = first = last = None  # the open key, its least id, and the id seen last
-    told = False  # whether the open key's least id has gone out
-    for batch in batches:
-        k, i = (c.to_numpy() for c in batch.columns)
-        if not len(k):
+    open_ = members(None).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    open_ = scratch.table(open_, "open")
+    sent = scratch.spark.sparkContext.broadcast(bit_filter(open_, open_.count()))
+    held = scratch.table(members(sent).distinct().join(open_, "key", "left_semi"), "held")
+    scratch.drop("open")
+    return held
+
+
+def tile_forest(ids: np.ndarray, roots: np.ndarray, visits: np.ndarray, alike: Alike) -> list[tuple[int, int]]:
+    """Links that connect all alike rows of a tile whose roots differ.
+
+    Rows are compared in turn with the later ones of other roots; what a link
+    connects is not compared again.  ``visits`` marks rows of other tiles, if
+    any: only these are compared, with the tile's own ones.
+    """
+    label = np.unique(roots, return_inverse=True)[1]
+    left = label.max() + 1
+    across, out = bool(visits.any()), []
+    for i in range(len(ids)):
+        if left == 1:
+            break
+        if across:
+            others = np.flatnonzero(~visits & (label != label[i])) if visits[i] else ()
+        else:
+            others = np.flatnonzero(label[i + 1 :] != label[i]) + (i + 1)
+        if not len(others):
             continue
-        new = np.empty(len(k), bool)
-        new[0] = key is None or k[0] != key or i[0] != last
-        new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
-        k, i = k[new], i[new]
-        if not len(k):
+        for j in others[alike(i, others)].tolist():
+            if label[j] != label[i]:
+                out.append((int(ids[i]), int(ids[j])))
+                label[label == label[j]] = label[i]
+                left -= 1
+    return out
+
+
+def _links(batches: Iterator[pa.RecordBatch], prepare: Callable[[pa.Array], Alike]) -> Iterator[pa.RecordBatch]:
+    """Links of each tile; rows (group, id, root, visit, body) are sorted by group."""
+    open_: list[pa.RecordBatch] = []
+    done: list[tuple[int, int]] = []
+
+    def close() -> None:
+        columns = [open_[0].column(k) if len(open_) == 1 else pa.concat_arrays([x.column(k) for x in open_]) for k in range(1, 5)]
+        ids, roots, visits = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in columns[:3])
+        if len(ids) > 1:
+            done.extend(tile_forest(ids, roots, visits, prepare(columns[3])))
+        open_.clear()
+
+    def links() -> pa.RecordBatch:
+        a, b = zip(*done, strict=True) if done else ((), ())
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    group = None
+    for batch in batches:
+        g = batch.column(0).to_numpy()
+        if not len(g):
             continue
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        pivot = np.repeat(i[start], np.diff(np.append(start, len(k))))
-        goes_on = key is not None and k[0] == key
-        if goes_on:
-            pivot[: start[1] if len(start) > 1 else len(k)] = first
-        else:
-            told = False
-        other = pivot != i
-        several = np.add.reduceat(other.astype(np.int64), start) > 0
-        lead = several.copy()
-        lead[0] &= not told
-        told = bool(several[-1] or (len(start) == 1 and told))
-        at = start[lead]
-        if len(at) or other.any():
-            columns = (np.concatenate([k[at], k[other]]), np.concatenate([pivot[at], i[other]]), np.concatenate([pivot[at], pivot[other]]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["key", "id", "pivot"])
-        key, first, last = k[-1], pivot[-1], i[-1]
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])).tolist()
+        for at, end in zip(start, [*start[1:], len(g)], strict=True):
+            if open_ and g[at] != group:
+                close()
+            group = g[at]
+            open_.append(batch.slice(at, end - at))
+        if len(done) > 50_000:
+            yield links()
+    if open_:
+        close()
+    yield links()
+
+
+def _in_tiles(rows: DataFrame, body: DataFrame, prepare: Callable[[pa.Array], Alike]) -> DataFrame:
+    """(a, b): links within the tiles (key, part) of ``rows`` (key, part, id, root, visit)."""
+    rows = rows.select(F.xxhash64("key", "part").alias("group"), "id", "root", "visit").join(body.select("id", "body"), "id")
+    rows = rows.select("group", "id", "root", "visit", "body")
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(n, "group").sortWithinPartitions("group", "id").mapInArrow(lambda it: _links(it, prepare), "a long, b long")
 
 
 def classes(
     scratch: Scratch,
-    members: DataFrame,
+    members: Members,
     bodies: Callable[[DataFrame, int], DataFrame],
-    alike: Callable[[DataFrame], DataFrame],
-    across: Callable[[DataFrame, DataFrame], tuple[DataFrame, bool]] | None = None,
+    prepare: Callable[[pa.Array], Alike],
+    tile: int = TILE,
+    tile_size: int = TILE_SIZE,
 ) -> DataFrame:
     """(node, component) of the ids that are alike some other id of a bucket.
 
-    ``members`` has (key, id); ``bodies(ids, n)`` returns (id, body) of the n
-    ids that share a bucket; ``alike`` takes pairs (a, b, body_a, body_b) and
-    returns those (a, b) that are links.  Each bucket's least id is first
-    compared with all others, which joins dense groups at a cost of one pair an
-    id.  Only buckets that then still hold several components compare the ids
-    across components, so a link is never lost and an id already joined never
-    pairs with its own group.
-
-    ``across(rooted, bodies)`` may do the second step better than all pairs of
-    a bucket do: from (key, id, root) and (id, body) it returns pairs (a, b)
-    that hold every link between different roots, and whether they are links
-    already.
+    ``members`` gives (key, id), twice; ``bodies(ids, n)`` returns
+    (id, body, size) of the n ids that share a bucket; ``prepare`` takes the
+    bodies of a tile and returns what compares them.  Buckets of the same ids
+    count once.  A bucket is cut into tiles by ids; each tile's rows, and the
+    bucket's least id in every tile, are compared inside a task, which sends on
+    a forest of links.  In buckets of several tiles that are not yet connected,
+    the rows outside the largest component then visit the bucket's other tiles,
+    so no link is lost, and no pair of rows ever leaves a task.
     """
-    spread = members.repartition(max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "key").sortWithinPartitions("key", "id")
-    held = scratch.table(spread.mapInArrow(_shared, "key long, id long, pivot long"), "held")
+    held = shared(scratch, members)
     ids = scratch.table(held.select("id").distinct(), "ids")
     body = scratch.table(bodies(ids, ids.count()), "bodies")
-    a, b = (body.select(F.col("id").alias(x), F.col("body").alias(f"body_{x}")) for x in ("a", "b"))
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b")
-        return scratch.table(alike(pairs), name)
-
-    links = linked(held.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")), "links")
-    found = connected_components(scratch, links)
-    found = scratch.table(found, "first")
-    rooted = held.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rooted = scratch.table(rooted.join(open_, "key", "left_semi"), "rooted")
-    if across:
-        pairs, sure = across(rooted, body)
+    sized = held.join(body.select("id", "size"), "id")
+    keys = sized.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.min("id").alias("pivot"),
+        F.sum("size").alias("size"),
+        F.bit_xor(F.xxhash64("id")).alias("all"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("all2"),
+    )
+    keys = keys.where("n > 1").groupBy("n", "pivot", "size", "all", "all2").agg(F.min("key").alias("key"))
+    parts = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("size") / tile_size)).cast("int")
+    keys = scratch.table(keys.select("key", "pivot", parts.alias("parts")), "keys")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+    placed = scratch.table(held.join(keys, "key").select("key", "id", "parts", part), "placed")
+    wide = keys.where("parts > 1")
+    pivots = wide.select("key", F.col("pivot").alias("id"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pivots = pivots.where(F.col("part") != F.pmod(F.xxhash64("id"), F.col("parts")))
+    rows = placed.unionByName(pivots).select("key", "part", "id", F.col("id").alias("root"), F.lit(False).alias("visit"))
+    links = scratch.table(_in_tiles(rows, body, prepare), "links")
+    out = scratch.table(connected_components(scratch, links), "first")
+    several = wide.limit(1).count()
+    if several:
+        rooted = placed.where("parts > 1").join(out.withColumnRenamed("node", "id"), "id", "left")
+        rooted = scratch.table(rooted.select("key", "id", "parts", "part", F.coalesce("component", "id").alias("root")), "rooted")
+        roots = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("roots"))
+        open_ = scratch.table(rooted.join(roots.where("roots > 1").select("key", "main"), "key"), "apart")
+        own = open_.select("key", "part", "id", "root", F.lit(False).alias("visit"))
+        guests = open_.where("root <> main").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at <> part")
+        guests = guests.select("key", F.col("at").alias("part"), "id", "root", F.lit(True).alias("visit"))
+        more = scratch.table(_in_tiles(own.unionByName(guests), body, prepare), "more")
+        out = scratch.table(connected_components(scratch, links.unionByName(more)), "classes")
+        scratch.drop("rooted", "apart", "more")
     else:
-        other = rooted.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"))
-        pairs, sure = rooted.join(other, "key").where("root < root2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")), False
-    more = scratch.table(pairs, "more") if sure else linked(pairs, "more")
-    out = connected_components(scratch, links.unionByName(more)) if more.limit(1).count() else found
-    out = scratch.table(out, "classes")
-    scratch.drop("held", "ids", "bodies", "links", "first", "rooted", "more", "components")
+        out = scratch.table(out, "classes")
+    scratch.drop("held", "ids", "bodies", "keys", "placed", "links", "first", "components")
     return out

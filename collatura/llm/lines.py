@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatura.llm.collide import classes
-from collatura.llm.common import Scratch, bit_filter, in_filter, names_beside
+from collatura.llm.collide import Alike, classes, from_table
+from collatura.llm.common import Scratch, bit_filter, in_filter, names_beside, slices
 
 #: Edits within which lines are alike, and characters from which a line is compared so; shorter ones must be equal.
 RADIUS, LEAST = 2, 20
@@ -111,13 +111,13 @@ def _rows(j: int, n: int, radius: int, width: int) -> int:
     return ((1 << (hi + 1)) - 1) & ~((1 << lo) - 1) if hi >= lo else 0
 
 
-def _keys(batches: Iterator[pa.RecordBatch], radius: int, least: int, remember: int = 500_000) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], radius: int, least: int, remember: int = 300_000) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     plans: dict[int, list[tuple[bytes, int, int]]] = {}
-    for batch in batches:
+    for batch in slices(batches, 1 << 20):
         keys, ids = [], []
-        for text in batch.column(0).to_pylist():
-            for line in lines_of(text or ""):
+        for text in batch.column(0):
+            for line in lines_of(text.as_py() or ""):
                 if len(line) < least or (own := number(line)) in seen:
                     continue
                 if len(seen) >= remember:
@@ -130,9 +130,9 @@ def _keys(batches: Iterator[pa.RecordBatch], radius: int, least: int, remember:
                     plan = plans[len(line)] = [(n * (radius + 1) + i, at, at + size) for n, i, at, size in dict.fromkeys(indexed + probes(len(line), radius))]
                 ids += [own] * len(plan)
                 keys += [xxhash.xxh64_intdigest(line[a:b].encode("utf-8", "surrogatepass"), salt) for salt, a, b in plan]
-            if len(keys) > 200_000:
-                yield _pairs(keys, ids, ["key", "id"])
-                keys, ids = [], []
+                if len(keys) > 50_000:
+                    yield _pairs(keys, ids, ["key", "id"])
+                    keys, ids = [], []
         yield _pairs(keys, ids, ["key", "id"])
 
 
@@ -140,83 +140,27 @@ def _pairs(a: list[int], b: list[int], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], names=names)
 
 
-def _alike(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        near = [banded_distance(x, y, radius) <= radius for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-
 def bag(line: str) -> bytes:
     """How often each of 32 classes of characters occurs, as 16-bit counts."""
     points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) & 31
     return np.minimum(np.bincount(points, minlength=32), 32_767).astype(np.int16).tobytes()
 
 
-def _links_of(ids: list[int], roots: list[int], sides: list[int], lines: list[str], cross: bool, radius: int) -> pa.RecordBatch:
-    """A forest (a, b) of the links between rows of different roots.
+def within(lines: list[str], radius: int) -> Alike:
+    """Comparison of the rows of a tile by edit distance.
 
     An edit changes two counts of a bag by one at most, so bags further apart
-    than twice the radius hold lines further apart than the radius.  Rows that
-    are connected already are not compared again.
+    than twice the radius hold lines further apart than the radius.
     """
-    r, s = np.array(roots, np.int64), np.array(sides)
-    bags = np.frombuffer(b"".join(map(bag, lines)), np.int16).reshape(-1, 32)
-    left, right = (np.flatnonzero(s == 0), np.flatnonzero(s == 1)) if cross else (np.arange(len(ids)), np.arange(len(ids)))
-    parent = {x: x for x in roots}
-    out = []
+    bags = np.frombuffer(b"".join(map(bag, lines)), np.int16).reshape(-1, 32) if len(lines) > 3 else None
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for at in range(0, len(left), 64):
-        x = left[at : at + 64]
-        near = np.abs(bags[x][:, None, :] - bags[right][None, :, :]).sum(axis=2, dtype=np.int32) <= 2 * radius
-        near &= r[x][:, None] != r[right][None, :]
-        p, q = np.nonzero(near)
-        p, q = x[p], right[q]
-        if not cross:
-            p, q = p[p < q], q[p < q]
-        for i, j in zip(p.tolist(), q.tolist(), strict=True):
-            u, v = find(roots[i]), find(roots[j])
-            if u != v and banded_distance(lines[i], lines[j], radius) <= radius:
-                parent[u] = v
-                out.append((ids[i], ids[j]))
-    columns = list(zip(*out, strict=True)) or [(), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
-
-
-def _tile_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of each group of rows (group, cross, side, id, root, body), which are sorted by group."""
-    group, held, cross = None, ([], [], [], []), False
-    for batch in batches:
-        for g, c, side, own, root, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if g != group:
-                if held[0]:
-                    yield _links_of(*held, cross, radius)
-                group, held, cross = g, ([], [], [], []), c
-            for column, value in zip(held, (own, root, side, body), strict=True):
-                column.append(value)
-    if held[0]:
-        yield _links_of(*held, cross, radius)
-
-
-def tile_links(rooted: DataFrame, bodies: DataFrame, radius: int, tile: int = 2000) -> DataFrame:
-    """(a, b): links that connect all lines of one bucket within the radius whose roots differ.
-
-    A bucket's rows are dealt to tiles of some ``tile`` rows and every pair of
-    its tiles is one group, so a task holds two tiles however large the bucket.
-    """
-    tiles = rooted.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    rows = rooted.join(tiles, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select(F.xxhash64("key", lo, hi).alias("group"), (lo != hi).alias("cross"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "root")
-    rows = rows.join(bodies, "id").select("group", "cross", "side", "id", "root", "body")
-    rows = rows.repartition(max(int(rooted.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "group").sortWithinPartitions("group")
-    return rows.mapInArrow(lambda it: _tile_links(it, radius), "a long, b long")
+    def hits(i: int, others: np.ndarray) -> np.ndarray:
+        near = np.ones(len(others), bool) if bags is None else np.abs(bags[others] - bags[i]).sum(axis=1, dtype=np.int32) <= 2 * radius
+        for k in np.flatnonzero(near).tolist():
+            near[k] = banded_distance(lines[i], lines[others[k]], radius) <= radius
+        return near
+
+    return hits
 
 
 def line_classes(docs: DataFrame, radius: int = RADIUS, least: int = LEAST) -> DataFrame:
@@ -229,23 +173,24 @@ def line_classes(docs: DataFrame, radius: int = RADIUS, least: int = LEAST) -> D
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sent: set[int] = set()
-            for batch in batches:
+            for batch in slices(batches, 1 << 20):
                 lines = [x for t in batch.column(0).to_pylist() for x in lines_of(t or "") if len(x) >= least]
                 own = np.array([number(x) for x in lines], np.uint64)
                 at = [k for k in np.flatnonzero(in_filter(wanted.value, own)).tolist() if own[k] not in sent] if len(own) else []
-                if len(sent) > 500_000:
+                if len(sent) > 300_000:
                     sent.clear()
                 sent.update(own[at].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(own[at].view(np.int64)), pa.array([lines[k] for k in at], pa.string())], names=["id", "body"])
 
         made = texts.mapInArrow(run, "id long, body string")
-        return made.join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("body").alias("body"))
+        return made.join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("body").alias("body")).withColumn("size", F.length("body"))
 
-    members = texts.mapInArrow(lambda it: _keys(it, radius, least), "key long, id long")
-    near = classes(scratch, members, bodies, lambda pairs: pairs.mapInArrow(lambda it: _alike(it, radius), "a long, b long"), lambda rooted, held: (tile_links(rooted, held, radius), True))
+    members = scratch.table(texts.mapInArrow(lambda it: _keys(it, radius, least), "key long, id long"), "members")
+    near = classes(scratch, from_table(members), bodies, lambda held: within(held.to_pylist(), radius))
+    scratch.drop("members")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1 << 20):
             out: list[list] = [[], [], [], []]
             for d, m, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = [number(x) for x in lines_of(t or "")]
@@ -257,7 +202,8 @@ def line_classes(docs: DataFrame, radius: int = RADIUS, least: int = LEAST) -> D
     each = each.join(near.withColumnRenamed("node", "line"), "line", "left").withColumn("class", F.coalesce("component", "line")).drop("component")
     each = scratch.table(each, "each")
     first = each.groupBy("class").agg(F.min(F.struct("doc_id", "mix", "line_no")).alias("first"), F.count("*").alias("n"))
-    return scratch.finish(each.join(first, "class").select("doc_id", "mix", "line_no", "line", "class", "n", "first"), "each", "classes")
+    first = scratch.table(first, "firsts")  # apart from the join, whose hot classes Spark can then split
+    return scratch.finish(each.join(first, "class").select("doc_id", "mix", "line_no", "line", "class", "n", "first"), "each", "firsts", "classes")
 
 
 def line_duplicates(docs: DataFrame, radius: int = RADIUS, least: int = LEAST) -> DataFrame:

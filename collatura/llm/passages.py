@@ -11,11 +11,12 @@ from itertools import accumulate, chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from collatura.llm.collide import classes
-from collatura.llm.common import Scratch, bit_filter, in_filter, names_beside
+from collatura.llm.collide import Alike, classes, kept
+from collatura.llm.common import Scratch, bit_filter, in_filter, names_beside, slices
 
 #: Words of a shingle, least similarity, words from which a paragraph is compared and from which a run of repeated ones counts.
 SHINGLE, LEAST, PARAGRAPH, RUN = 5, 0.8, 8, 20
@@ -106,72 +107,91 @@ def _binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.binary() if column.type == pa.string() else pa.large_binary())
 
 
-def _scan(batches: Iterator[pa.RecordBatch], bands: int, rows: int, least_words: int, remember: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Paragraphs with at least ``least_words`` words; keys only where a task meets the paragraph first."""
+def _scan(batches: Iterator[pa.RecordBatch], least_words: int, remember: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """Paragraphs with at least ``least_words`` words; shingles only where a task meets the paragraph first."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in slices(batches, 2 << 20):
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
-            doc, mix, pos, word, size, unit, first, flat, counts = [], [], [], [], [], [], [], [], []
-            for d, h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _binary(part.column(2)), strict=True):
+            per_doc, pos, word, size, unit, made, ends = [], [], [], [], [], [], []
+            for text in _binary(part.column(2)):
                 k = 0
                 for before, words in paragraphs(text.as_py() or b"", least_words):
                     if len(words) < least_words:
                         continue
                     u = number(words)
-                    doc.append(d)
-                    mix.append(h)
                     pos.append(k)
                     word.append(before)
                     size.append(len(words))
                     unit.append(u)
                     k += 1
-                    new = u not in seen
-                    first.append(new)
-                    if new:
+                    if u not in seen:
                         if len(seen) >= remember:
                             seen.clear()
                         seen.add(u)
-                        s = shingles(words)
-                        flat += s
-                        counts.append(len(s))
-            keys: list = [None] * len(doc)
-            if counts:
-                starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                found = iter(band_keys(np.array(flat, np.uint64), starts, bands, rows).view(np.int64).tolist())
-                keys = [next(found) if x else None for x in first]
+                        made += shingles(words)
+                        ends.append(len(made))
+                    else:
+                        ends.append(None)
+                per_doc.append(k)
+            new = np.array([e is not None for e in ends], bool)
+            last = np.maximum.accumulate(np.array([0, *(e or 0 for e in ends)], np.int32))
+            bodies = pa.ListArray.from_arrays(pa.array(last), pa.array(np.array(made, np.uint64).view(np.int64)), mask=pa.array(~new))
+            doc, mix = (pa.array(np.repeat(np.arange(len(part)), per_doc)) for _ in range(2))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(mix, pa.int64()), pa.array(pos, pa.int32()), pa.array(word, pa.int64()), pa.array(size, pa.int32()), pa.array(np.array(unit, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "mix", "pos", "word", "size", "unit", "keys"],
+                [part.column(0).take(doc), part.column(1).take(mix), pa.array(pos, pa.int32()), pa.array(word, pa.int64()), pa.array(size, pa.int32()), pa.array(np.array(unit, np.uint64).view(np.int64)), bodies],
+                names=["doc_id", "mix", "pos", "word", "size", "unit", "shingles"],
             )
 
 
-def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        near = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = set(x), set(y)
-            both = len(x & y)
-            near.append(both >= least * (len(x) + len(y) - both) - 1e-12)
-        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
+def _keys(batches: Iterator[pa.RecordBatch], bands: int, rows: int, sent: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """(key, id): the band keys of each paragraph (unit, shingles)."""
+    for batch in slices(batches, 1 << 20):
+        if len(batch):
+            flat, size = batch.column(1).flatten().to_numpy().view(np.uint64), np.diff(batch.column(1).offsets.to_numpy())
+            keys = band_keys(flat, np.concatenate([[0], np.cumsum(size)[:-1]]), bands, rows).view(np.int64).ravel()
+            fine = kept(keys, sent)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[fine]), pa.array(np.repeat(batch.column(0).to_numpy(), bands)[fine])], names=["key", "id"])
 
-def sharing_prefix(ids: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """(a, b): ids of different roots that share a shingle among the rarest few of each.
 
-    With n shingles, a partner at similarity ``least`` shares all but
-    n - ceil(least n) of them, so under one order of all shingles the first
-    n - ceil(least n) + 1 of both have one in common.  Rare ones come first,
-    which leaves variants that differ in a few words without a common one.
-    """
-    n = F.size("body")
-    units = ids.join(bodies, "id").select("id", "root", n.alias("n"), (n - F.ceil(n * least - 1e-9) + 1).alias("first"), F.explode("body").alias("shingle"))
-    often = units.groupBy("shingle").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle"))
-    units = units.join(often, "shingle").withColumn("rank", rank).where("rank <= first AND often > 1").select("id", "root", "n", "shingle")
-    other = units.select(F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("n").alias("n2"), "shingle")
-    pairs = units.join(other, "shingle").where((F.col("root") < F.col("root2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * least - 1e-9))
-    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+def _bodies(batches: Iterator[pa.RecordBatch], wanted: Broadcast, remember: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """(id, body) of the paragraphs (unit, shingles) that may be wanted, those a task has sent before left out."""
+    sent: set[int] = set()
+    for batch in batches:
+        batch = batch.filter(pa.array(in_filter(wanted.value, batch.column(0).to_numpy().view(np.uint64))))
+        ids = batch.column(0).to_pylist()
+        fresh = [x not in sent for x in ids]
+        if len(sent) > remember:
+            sent.clear()
+        sent.update(ids)
+        batch = batch.filter(pa.array(fresh, pa.bool_()))
+        body = [np.unique(x.values.to_numpy()) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.list_(pa.int64()))], names=["id", "body"])
+
+
+def similar(bodies: pa.Array, least: float) -> Alike:
+    """Comparison of the rows of a tile by the Jaccard similarity of their distinct shingles."""
+    if len(bodies) <= 4:
+        sets = [set(x) for x in bodies.to_pylist()]
+
+        def few(i: int, others: np.ndarray) -> np.ndarray:
+            both = np.array([len(sets[i] & sets[j]) for j in others.tolist()])
+            return both >= least * (len(sets[i]) + np.array([len(sets[j]) for j in others.tolist()]) - both) - 1e-12
+
+        return few
+    size = np.diff(bodies.offsets.to_numpy())
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    each, at = np.unique(bodies.flatten().to_numpy(), return_inverse=True)
+    mark = np.zeros(len(each), np.int64)
+
+    def hits(i: int, others: np.ndarray) -> np.ndarray:
+        own = at[start[i] : start[i] + size[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[at], start)[others]
+        mark[own] = 0
+        return both >= least * (size[i] + size[others] - both) - 1e-12
+
+    return hits
 
 
 def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int = PARAGRAPH, run_words: int = RUN, recall: float = RECALL) -> DataFrame:
@@ -198,46 +218,34 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
     scratch = Scratch(docs.sparkSession, "passages")
     bands = tune(least, recall)
     texts = names_beside(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("mix"), "text")
-    found = texts.mapInArrow(lambda it: _scan(it, bands, ROWS, least_words), "doc_id long, mix long, pos int, word long, size int, unit long, keys array<long>")
+    found = texts.mapInArrow(lambda it: _scan(it, least_words), "doc_id long, mix long, pos int, word long, size int, unit long, shingles array<long>")
     found = scratch.table(found, "found")
+    whole = found.where("shingles IS NOT NULL").select("unit", "shingles")
 
     def bodies(ids: DataFrame, n: int) -> DataFrame:
         wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, n))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sent: set[int] = set()
-            for batch in batches:
-                units, words = [], []
-                for text in _binary(batch.column(0)):
-                    for _, w in paragraphs(text.as_py() or b"", least_words):
-                        if len(w) >= least_words:
-                            units.append(number(w))
-                            words.append(w)
-                units = np.array(units, np.uint64)
-                at = [k for k in np.flatnonzero(in_filter(wanted.value, units)).tolist() if units[k] not in sent] if len(units) else []
-                if len(sent) > 500_000:
-                    sent.clear()
-                sent.update(units[at].tolist())
-                body = [np.unique(np.array(shingles(words[k]), np.uint64)).view(np.int64) for k in at]
-                yield pa.RecordBatch.from_arrays([pa.array(units[at].view(np.int64)), pa.array(body, pa.list_(pa.int64()))], names=["id", "body"])
-
-        made = names_beside(docs, "text").mapInArrow(run, "id long, body array<long>")
-        return made.join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("body").alias("body"))
-
-    members = found.select(F.explode("keys").alias("key"), F.col("unit").alias("id"))
-    near = classes(scratch, members, bodies, lambda pairs: pairs.mapInArrow(lambda it: _alike(it, least), "a long, b long"), lambda rooted, held: (sharing_prefix(rooted.select("id", "root").distinct(), held, least), False))
-    who = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("mix")).alias("own"))
-    units = found.groupBy("unit").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(F.struct("doc_id", "mix", "pos")).alias("first"))
-    units = units.join(near.withColumnRenamed("node", "unit"), "unit", "left").where("component IS NOT NULL OR lo <> hi").withColumn("class", F.coalesce("component", "unit"))
-    units = scratch.table(units.select("unit", "class", "lo", "hi", "first"), "units")
-    kept = units.groupBy("class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first")).where("lo <> hi").select("class", "first")
-    units = units.select("unit", "class").join(kept, "class")
-    hits = found.drop("keys").join(units, "unit")
-    hits = scratch.table(hits.withColumn("is_first", F.struct("doc_id", "mix", "pos").eqNullSafe(F.col("first"))).drop("first", "unit").distinct(), "hits")
-    n_docs = hits.select("class", who.alias("who")).distinct().groupBy("class").agg(F.count("*").alias("n_docs"))
+        made = whole.mapInArrow(lambda it: _bodies(it, wanted), "id long, body array<long>")
+        return made.join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("body").alias("body")).withColumn("size", F.size("body"))
+
+    near = classes(scratch, lambda sent: whole.mapInArrow(lambda it: _keys(it, bands, ROWS, sent), "key long, id long"), bodies, lambda held: similar(held, least))
+    # Documents of a class: ids, and of rows without one the texts.
+    nameless = F.when(F.col("doc_id").isNull(), F.col("mix"))
+    docs_of = [f(x).alias(f"{n}_{f.__name__}") for n, x in (("id", F.col("doc_id")), ("own", nameless)) for f in (F.min, F.max)]
+    again = [f(f"{n}_{f.__name__}").alias(f"{n}_{f.__name__}") for n in ("id", "own") for f in (F.min, F.max)]
+    several = "coalesce(id_min <> id_max, false) OR coalesce(own_min <> own_max, false) OR (id_min IS NOT NULL AND own_min IS NOT NULL)"
+    units = found.groupBy("unit").agg(*docs_of)
+    units = units.join(near.withColumnRenamed("node", "unit"), "unit", "left").where(f"component IS NOT NULL OR {several}").withColumn("class", F.coalesce("component", "unit"))
+    units = scratch.table(units.drop("component"), "units")
+    repeated = scratch.table(units.groupBy("class").agg(*again).where(several).select("class"), "repeated")  # apart from the joins, whose hot classes Spark can then split
+    units = units.select("unit", "class").join(repeated, "class", "left_semi")
+    hits = scratch.table(found.drop("shingles").join(units, "unit").drop("unit").distinct(), "hits")
+    each = hits.groupBy("class", "doc_id", nameless.alias("own")).agg(F.min(F.struct("mix", "pos")).alias("at"))
+    each = each.groupBy("class").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "at.mix", "at.pos")).alias("first"))
+    each = scratch.table(each, "each")
+    hits = hits.join(each, "class").withColumn("is_first", F.struct("doc_id", "mix", "pos").eqNullSafe(F.col("first"))).drop("first")
     island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "mix").orderBy("pos"))
     alike = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "mix", "is_first").orderBy("pos"))
-    parts = hits.join(n_docs, "class").withColumns({"island": island, "part": alike}).groupBy("doc_id", "mix", "island", "is_first", "part")
+    parts = hits.withColumns({"island": island, "part": alike}).groupBy("doc_id", "mix", "island", "is_first", "part")
     parts = parts.agg(
         F.min("pos").alias("pos"),
         F.min("word").alias("start_word"),
@@ -259,4 +267,4 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
         F.array_sort(F.collect_list(F.when(F.col("part.start_word") < F.col("part.stop_word"), F.col("part")))).alias("parts"),
     ).where(F.col("stop_word") - F.col("start_word") >= run_words)
     out = runs.select("doc_id", "start_word", "stop_word", "passage", "n_docs", "removed", "parts")
-    return scratch.finish(out, "found", "units", "hits", "classes")
+    return scratch.finish(out, "found", "units", "repeated", "hits", "each", "classes")

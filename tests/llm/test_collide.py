@@ -1,6 +1,6 @@
 import random
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import functions as F
 
 from collatura.llm import collide
@@ -8,45 +8,71 @@ from collatura.llm.common import Scratch, bit_filter, in_filter
 from tests.llm.test_simhash import plain_components
 
 
-def batches(rows, size):
-    for i in range(0, len(rows), size):
-        part = rows[i : i + size]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())], names=["key", "id"])
-    yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["key", "id"])
+def by_one(bodies):
+    """Ids are alike if they differ by 1, so a bucket's least id reaches few of the others directly."""
+    x = bodies.to_numpy()
+    return lambda i, others: np.abs(x[others] - x[i]) == 1
 
 
-def test_shared_keys_in_batches_of_any_size():
-    rng = random.Random(1)
-    for _ in range(150):
-        rows = sorted((rng.randrange(8), rng.randrange(6)) for _ in range(rng.randrange(30)))
-        want = []
-        for k in {k for k, _ in rows}:
-            ids = sorted({i for q, i in rows if q == k})
-            want += [(k, i, ids[0]) for i in ids] if len(ids) > 1 else []
-        for size in (1, 2, 3, 7, 100):
-            got = [tuple(x) for b in collide._shared(batches(rows, size)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            assert sorted(got) == sorted(want), (rows, size)
+def found(spark, members, **tiles):
+    df = collide.from_table(spark.createDataFrame(members, "key long, id long"))
+    bodies = lambda ids, n: ids.select("id", F.col("id").alias("body"), F.lit(3).alias("size"))
+    return {r["node"]: r["component"] for r in collide.classes(Scratch(spark, "test"), df, bodies, by_one, **tiles).collect()}
 
 
-def test_classes_lose_no_link(spark):
-    """Ids are alike if they differ by 1: a bucket's least id reaches few of the others directly."""
-    rng = random.Random(2)
-    members = [(k, rng.randrange(60)) for k in range(12) for _ in range(14)] + [(99, i) for i in range(100, 130)] + [(98, 500)]
-    df = spark.createDataFrame(members, "key long, id long")
-    bodies = lambda ids, n: ids.select("id", F.col("id").alias("body"))
-    alike = lambda pairs: pairs.where("abs(body_a - body_b) = 1").select("a", "b")
-    got = {r["node"]: r["component"] for r in collide.classes(Scratch(spark, "test"), df, bodies, alike).collect()}
+def wanted(members):
     held = {}
     for k, i in members:
         held.setdefault(k, set()).add(i)
     links = {(a, b) for ids in held.values() for a in ids for b in ids if b - a == 1}
-    nodes = {x for e in links for x in e}
-    assert got == plain_components(links, nodes)
+    return plain_components(links, {x for e in links for x in e})
 
 
-def test_bit_filter_knows_its_keys(spark):
-    import numpy as np
+def test_shared_keys(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(40), rng.randrange(6)) for _ in range(120)] + [(50, 7)] * 9
+    ids = {k: {i for q, i in rows if q == k} for k, _ in rows}
+    got = collide.shared(Scratch(spark, "test"), collide.from_table(spark.createDataFrame(rows, "key long, id long"))).collect()
+    assert sorted(map(tuple, got)) == sorted((k, i) for k, v in ids.items() if len(v) > 1 for i in v)
+
+
+def test_classes_lose_no_link(spark):
+    """In one tile, in tiles by rows and in tiles by size; buckets of the same ids too."""
+    rng = random.Random(2)
+    members = [(k, rng.randrange(60)) for k in range(12) for _ in range(14)] + [(99, i) for i in range(100, 130)] + [(98, 500)] + [(97, i) for i in range(100, 130)]
+    members += [(96, 2 * i) for i in range(300, 330)]
+    want = wanted(members)
+    assert found(spark, members) == want
+    assert found(spark, members, tile=4) == want
+    assert found(spark, members, tile_size=20) == want
+    assert found(spark, members[:0]) == {}
+
 
+def test_a_dense_bucket_is_compared_once_a_row():
+    n = 500
+    asked = []
+
+    def alike(i, others):
+        asked.append(len(others))
+        return np.ones(len(others), bool)
+
+    out = collide.tile_forest(np.arange(n), np.arange(n), np.zeros(n, bool), alike)
+    assert len(out) == sum(asked) == n - 1
+
+
+def test_visitors_meet_only_the_tiles_own_rows():
+    visits = np.array([False, False, True, True, False])
+    seen = set()
+
+    def alike(i, others):
+        seen.update((i, int(j)) for j in others)
+        return np.zeros(len(others), bool)
+
+    assert collide.tile_forest(np.arange(5), np.array([0, 1, 2, 1, 4]), visits, alike) == []
+    assert seen == {(2, 0), (2, 1), (2, 4), (3, 0), (3, 4)}
+
+
+def test_bit_filter_knows_its_keys(spark):
     rng = random.Random(3)
     keys = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
     made = bit_filter(spark.createDataFrame([(k,) for k in keys], "id long"), len(keys))

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -101,15 +102,20 @@ def test_table_against_all_pairs(spark):
     assert L.line_duplicates(df.limit(0)).count() == 0
 
 
-def test_tiles_connect_all_links_of_a_bucket(spark):
+def test_comparison_within_a_tile():
     rng = random.Random(7)
     texts = ["".join(rng.choices("abcdé ", k=30)) for _ in range(12)]
     texts += [edit(rng, rng.choice(texts), rng.randrange(1, 4)) for _ in range(90)]
-    rooted = spark.createDataFrame([(k % 3, k, k) for k in range(len(texts))] + [(7, k, k) for k in range(20)], "key long, id long, root long")
-    bodies = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
-    same = lambda a, b: a % 3 == b % 3 or b < 20
-    want = {(a, b) for a, b in combinations(range(len(texts)), 2) if same(a, b) and plain_distance(texts[a], texts[b]) <= 2}
-    for tile in (2000, 7):
-        got = {tuple(sorted(r)) for r in L.tile_links(rooted, bodies, 2, tile).collect()}
-        assert want and got <= want
-        assert plain_components(got, range(len(texts))) == plain_components(want, range(len(texts)))
+    want = {(a, b) for a, b in combinations(range(len(texts)), 2) if plain_distance(texts[a], texts[b]) <= 2}
+    alike = L.within(texts, 2)
+    assert want == {(i, int(j)) for i in range(len(texts) - 1) for j in np.arange(i + 1, len(texts))[alike(i, np.arange(i + 1, len(texts)))]}
+
+
+def test_which_lines_go(spark):
+    """Of each class the occurrence first by (doc_id, text hash, line) stays; very long lines are compared too."""
+    rng = random.Random(8)
+    long_ = "".join(rng.choices("abcde fghij", k=200_000)).strip()
+    a, b = "the quick brown fox jumps", "a lazy dog sleeps all day long"
+    docs = [(2, f"{a}\n{b}\n{edit(rng, long_, 2)}"), (1, f"\n{edit(rng, a, 1)}\nshort\n"), (3, f"short\n{b}\n{b}\n{long_}"), (4, "own words only in this line")]
+    got = {r["doc_id"]: r["removed"] for r in L.line_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: [0, 1, 2, 3], 4: []}

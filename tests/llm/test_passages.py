@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from collatura.llm import passages as P
 
@@ -99,21 +100,23 @@ def test_bands_reach_their_recall():
     assert hit / 400 > 0.985
 
 
-def test_prefixes_lose_no_pair(spark):
+def test_similarity_within_a_tile():
     rng = random.Random(4)
-    sets = {}
+    sets = []
     for i in range(140):
         base = sets[rng.randrange(i)] if i and rng.random() < 0.7 else rng.sample(range(60), rng.randrange(1, 24))
         own = set(base)
         for _ in range(rng.randrange(3)):
             own.discard(rng.choice(sorted(own)))
             own.add(rng.randrange(60))
-        sets[i] = sorted(own)
-    ids = spark.createDataFrame([(i, i) for i in sets], "id long, root long")
-    bodies = spark.createDataFrame(list(sets.items()), "id long, body array<long>")
-    got = {tuple(r) for r in P.sharing_prefix(ids, bodies, 0.8).collect()}
-    want = {(a, b) for a, b in combinations(sets, 2) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
-    assert want and want <= got and len(got) < 140 * 139 / 4
+        sets.append(sorted(own))
+    want = {(a, b) for a, b in combinations(range(140), 2) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    held = pa.array([[1]] + sets, pa.list_(pa.int64())).slice(1)
+    alike = P.similar(held, 0.8)
+    got = {(i, int(j)) for i in range(140) for j in np.arange(i + 1, 140)[alike(i, np.arange(i + 1, 140))] if i < 139}
+    assert want and got == want
+    for a, b in list(combinations(range(40), 2)):
+        assert bool(P.similar(pa.array([sets[a], sets[b]], pa.list_(pa.int64())), 0.8)(0, np.array([1]))[0]) == ((a, b) in want)
 
 
 def test_a_first_paragraph_keeps_no_copy_beside_it(spark):
