@@ -150,5 +150,6 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
     roots = lowest.groupBy("component").agg(F.min("least").alias("component_id"))
     named = lowest.join(roots, "component").select("fp", "component_id")
     named = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    named = scratch.table(named, "named")  # apart from the join, whose hot fingerprints Spark can then split
     out = rows.join(named, "fp").select("doc_id", "fp", "component_id")
-    return scratch.finish(out, "rows", "classes", "prints", "tiles", "components")
+    return scratch.finish(out, "rows", "classes", "prints", "tiles", "components", "named")
