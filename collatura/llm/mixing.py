@@ -9,8 +9,8 @@ from collatura.llm.common import Scratch
 
 #: Weights dealt to the sources in turn, the mix's share of all words, and how often a word may be taken.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-#: Slots that the schedule aims at, and rows of a source that one task orders.
-SLOTS, ROWS = 1 << 18, 20_000
+#: Slots that the schedule aims at, rows of a source that one task orders, and bits of the hash by which rows look up their copies.
+SLOTS, ROWS, CELL_BITS = 1 << 18, 20_000, 12
 
 
 def n_words(text: Column) -> Column:
@@ -68,21 +68,19 @@ def schedule(goals: DataFrame, n_slots: int) -> DataFrame:
     return ranked.where("rank < need").select("slot", "source_no", "rank").unionByName(tail)
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, n_slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of ``docs`` (doc_id, text, source).
+def _key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The hash by which the documents of a source are shuffled."""
+    return F.xxhash64(doc_id, text)
 
-    Each source's documents, shuffled by a hash, lie end to end and are cut
-    into blocks of equally many words; the schedule takes whole blocks, passing
-    over a source again if its target is larger than the source.  ``taken``
-    counts the words of the row that the mix takes, repeats counted; it is at
-    most ``most`` (a whole number) times the size.  A source's taken words miss
-    its target by a block at most.  Null or blank texts have size 0 and are not
-    taken; a null source is a source of its own, repeated rows count each, and
-    an empty table gives no rows.  Only DataFrame functions run.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("mix"))
+
+def _top(key: str, bits: int) -> Column:
+    """The first bits of a long, which keep its order."""
+    return F.shiftright(key, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def _mixed(scratch: Scratch, docs: DataFrame, weights: tuple, share: float, most: float, n_slots: int) -> DataFrame:
+    """(source, source_no, mix, doc_id, size, source_size, target, taken) of each row."""
+    sized = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), _key().alias("mix"))
     sized = scratch.table(sized, "sized")
     goals = scratch.table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     total = goals.agg(F.sum("source_size"), F.sum("target")).first()
@@ -96,23 +94,38 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     slots = schedule(goals.select("source_no", "need"), n).join(goals.select("source_no", "n_blocks"), "source_no")
     times = slots.groupBy("source_no", F.pmod("rank", "n_blocks").alias("block")).agg(F.count("*").alias("times"))
 
-    # Positions in two steps too: rows within buckets of the shuffle, buckets within the source.
-    buckets = max(1, -(-sized.count() // ROWS))
+    # Positions in two steps too: rows within ranges of the hash, ranges within the source.
+    bits = max(0, (sized.count() // ROWS).bit_length())
     known = goals.select(F.col("source").alias("name"), "source_no", "source_size", "target")
-    rows = sized.withColumn("bucket", F.pmod("mix", F.lit(buckets))).join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+    rows = sized.withColumn("bucket", _top("mix", bits)).join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     held = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
     held = held.select("source_no", "bucket", (F.sum("n").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("n")).alias("before"))
     own = F.sum("size").over(Window.partitionBy("source_no", "bucket").orderBy("mix", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("own", own).join(held, ["source_no", "bucket"])
-    rows = rows.select("doc_id", "size", "source_size", "target", "source_no", (F.col("before") + F.col("own") - F.col("size")).alias("lo"))
+    rows = rows.withColumn("lo", F.col("before") + F.col("own") - F.col("size")).drop("bucket", "own", "before")
     worded = rows.where("size > 0").withColumn("hi", F.col("lo") + F.col("size"))
     pieces = worded.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
     over = F.least("hi", (F.col("block") + 1) * F.lit(block)) - F.greatest("lo", F.col("block") * F.lit(block))
     pieces = pieces.join(times, ["source_no", "block"], "left").withColumn("words", over * F.coalesce("times", F.lit(0)))
-    keys = ["source_no", "lo", "doc_id", "size", "source_size", "target"]
-    taken = pieces.groupBy(*keys).agg(F.sum("words").cast("long").alias("taken"))
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
-    out = taken.select(columns).unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
+    columns = ["source", "source_no", "mix", "doc_id", "size", "source_size", "target"]
+    taken = pieces.groupBy(*columns, "lo").agg(F.sum("words").cast("long").alias("taken")).drop("lo")
+    return taken.unionByName(rows.where("size = 0").drop("lo").withColumn("taken", F.lit(0).cast("long")))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, n_slots: int = SLOTS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row of ``docs`` (doc_id, text, source).
+
+    Each source's documents, shuffled by a hash, lie end to end and are cut
+    into blocks of equally many words; the schedule takes whole blocks, passing
+    over a source again if its target is larger than the source.  ``taken``
+    counts the words of the row that the mix takes, repeats counted; it is at
+    most ``most`` (a whole number) times the size.  A source's taken words miss
+    its target by a block at most.  Null or blank texts have size 0 and are not
+    taken; a null source is a source of its own, repeated rows count each, and
+    an empty table gives no rows.  Only DataFrame functions run.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    out = _mixed(scratch, docs, weights, share, most, n_slots).select("doc_id", "size", "source_size", "target", "taken")
     return scratch.finish(out, "sized", "targets", "goals")
 
 
@@ -121,14 +134,29 @@ def take(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
 
     A row comes round(taken / size) times, halves up, so that the few rows a
     block cuts stay whole; rows without words do not come.  Rows equal in
-    doc_id, source and size share what is taken of them evenly.
+    doc_id, text and source share what is taken of them evenly.  Nulls, empty
+    and very long texts count as in ``mix``; columns of any name stay as they
+    are, and an empty table gives no rows.
+
+    Texts do not move: a source's rows lie in the order of their hash, and what
+    lies in one block comes equally often, so the copies are constant between
+    the hashes at which a block begins or ends.  Those stretches are at most
+    three for each of the ``n_slots`` blocks that are taken, and one for each
+    source and 1 / 4,096 of the hashes, whatever the number of rows; so they are
+    broadcast, and rows look theirs up.
     """
     scratch = Scratch(docs.sparkSession, "take")
-    sized = docs.withColumn("__size", n_words(F.col("text")))
-    found = mix(docs, weights, share, most, n_slots)
-    found = found.groupBy("doc_id", "size", "source_size").agg((F.sum("taken") / F.count("*")).alias("taken"))
-    found = scratch.table(found.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__n"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__times")), "times")
-    # Rows of one doc_id and size differ in source only in odd tables; they then share the larger number.
-    found = found.groupBy("__id", "__n").agg(F.max("__times").alias("__times")).where("__times > 0")
-    out = sized.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _mixed(scratch, docs, weights, share, most, n_slots)
+    found = found.where("size > 0").groupBy("source", "source_no", "mix").agg((F.sum("taken") / F.sum("size")).alias("part"))
+    times = F.floor(F.col("part") + 0.5).cast("int")
+    found = found.select("source", "source_no", "mix", _top("mix", CELL_BITS).alias("cell"), times.alias("times"))
+    order = Window.partitionBy("source_no", "cell").orderBy("mix")
+    starts = found.withColumn("last", F.lag("times").over(order)).where("last IS NULL OR last <> times")
+    spans = starts.withColumn("until", F.lead("mix").over(order)).where("times > 0")
+    spans = scratch.table(spans.select("source", "cell", F.col("mix").alias("since"), "until", "times"), "spans")
+    scratch.drop("sized", "targets", "goals")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("own"), _key().alias("mix"))
+    rows = rows.where(F.col("row.text").rlike(r"[^\x20\x09-\x0D]")).withColumn("at", _top("mix", CELL_BITS))
+    inside = (F.col("mix") >= F.col("since")) & (F.col("until").isNull() | (F.col("mix") < F.col("until")))
+    rows = rows.join(F.broadcast(spans), F.col("own").eqNullSafe(F.col("source")) & (F.col("at") == F.col("cell")) & inside)
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

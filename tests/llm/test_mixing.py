@@ -89,7 +89,50 @@ def test_take_keeps_columns_and_rounds(spark):
         assert copies.get(r["doc_id"], 0) == (int(r["taken"] / r["size"] + 0.5) if r["size"] else 0)
 
 
-def test_main_path_is_native(spark):
+def test_take_leaves_columns_of_any_name(spark):
+    """Names that the operator uses inside, and values that differ from row to row."""
+    names = ["row", "own", "at", "cell", "since", "until", "times", "mix", "size", "taken", "target", "source_no", "last", "col", "__size", "__copy", "__id"]
+    rows = make(random.Random(10), 200, ["a", None])
+    df = spark.createDataFrame([(*r, *(f"{n} {r[0]}" for n in names)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = mixing.take(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert got and all(r[n] == f"{n} {r['doc_id']}" for r in got for n in names)
+
+
+def test_long_texts_and_repeated_rows(spark):
+    rows = [(1, "w " * 300_000, "a"), (2, "x", "a")] + [(3, "y z", "b")] * 50 + [(4, "", "b"), (5, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n_slots in (1 << 18, 7):
+        got = mixing.mix(df, n_slots=n_slots).collect()
+        assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert {r["doc_id"] for r in mixing.take(df).collect()} <= {1, 2, 3}
+
+
+def test_stretches_of_equal_copies_are_bounded(spark, monkeypatch):
+    """What take broadcasts follows the slots and the cells, not the rows."""
+    seen = []
+    real = mixing.F.broadcast
+    monkeypatch.setattr(mixing.F, "broadcast", lambda df: seen.append(df.count()) or real(df))
+    monkeypatch.setattr(mixing, "CELL_BITS", 3)
+    rows = make(random.Random(12), 3000, ["a", "b"])
+    mixing.take(spark.createDataFrame(rows, "doc_id long, text string, source string"), n_slots=50).count()
+    assert 0 < seen[0] <= 3 * 50 + 2 * 8
+
+
+def test_main_path_is_native(spark, monkeypatch):
+    """No Python runs for rows: everything that would start it fails."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def no(*a, **k):
+        raise AssertionError("Python for rows")
+
+    for name in ("mapInArrow", "mapInPandas", "toPandas", "toArrow", "rdd"):
+        monkeypatch.setattr(DataFrame, name, property(no) if name == "rdd" else no)
+    monkeypatch.setattr(mixing.F, "udf", no)
+    monkeypatch.setattr(mixing.F, "pandas_udf", no)
     df = spark.createDataFrame([(1, "a b", "s", 1, 1.0)], SCHEMA)
-    plan = mixing.mix(df)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    for out in (mixing.mix(df), mixing.take(df)):
+        plan = out._jdf.queryExecution().toString()
+        assert out.count() == 1 or out.count() == 2
+        assert "Python" not in plan and "Arrow" not in plan
