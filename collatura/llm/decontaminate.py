@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatura.llm.common import Scratch, names_beside
+from collatura.llm.common import Scratch, map_batches, names_beside
 
 #: Bytes of benchmark text searched for in one pass; more text takes more passes.
 PASS_BYTES = 16_000_000
@@ -150,7 +150,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 8, pass_bytes
                     out.append({"doc_id": doc_id, "n_words": len(words), "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted(items)})
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
-        return names_beside(rows, "doc_id", "text").mapInArrow(run, _SCHEMA)
+        return map_batches(names_beside(rows, "doc_id", "text"), run, _SCHEMA)
 
     if len(blocks) == 1:
         return one(docs, blocks[0])
@@ -213,7 +213,7 @@ def reject(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: in
                 keep = [len(scan(words_of(t.as_py()), found, owners)[1]) < least_items for t in texts]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return map_batches(docs, run, docs.schema)
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
     bad = contamination(keyed, benchmark, size, least_items, pass_bytes).where("contaminated").select(F.col("doc_id").alias("key")).distinct()
     return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("key"), "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from collatura.llm.common import Scratch, names_beside
+from collatura.llm.common import Scratch, map_batches, names_beside, slices
 from collatura.llm.components import connected_components, forest
 
 #: Fingerprints of a tile, and the distinct ones up to which 1, 2, 4 blocks are counted.
@@ -49,12 +49,12 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) of each row; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).cast(pa.binary() if batch.column(1).type == pa.string() else pa.large_binary())
             fp = np.array([fingerprint(t.as_py(), words) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return names_beside(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return map_batches(names_beside(docs, "doc_id", "text"), run, "doc_id long, fp long")
 
 
 def with_print(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -65,7 +65,7 @@ def with_print(docs: DataFrame, words: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t.encode() if t is not None else None, words) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*batch.schema.names, "fp"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def _steps(blocks: int, radius: int) -> list[list[int]]:
@@ -130,7 +130,7 @@ def links(scratch: Scratch, prints: DataFrame, radius: int = 3, tile: int = TILE
     # A pair of full tiles is some milliseconds of work: spread the pairs evenly.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     work = work.repartition(parts)
-    return work.mapInArrow(lambda it: _linked(it, radius), "a long, b long")
+    return map_batches(work, lambda it: _linked(it, radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:

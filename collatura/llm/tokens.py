@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from collatura.llm.common import Scratch, names_beside
+from collatura.llm.common import map_batches, names_beside, shared_dir, slices
 
-#: Ids in a block, the share of them that fits the block's width, and how many pieces an encoder remembers.
-BLOCK, FITS, REMEMBERED = 4096, 0.9, 900_000
+#: Ids in a block, the share of them that fits the block's width, and how many pieces an encoder remembers (some 40 MB, none longer than LONG).
+BLOCK, FITS, REMEMBERED, LONG = 4096, 0.9, 240_000, 40
 MAGIC = b"PFORIDS1"
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -61,6 +62,7 @@ class Encoder:
         self.space = chr(self.letters[ord(" ")])
         self.pieces: dict[str, bytes] = {}  # by the piece without the space before it; never a blank one, which is awkward
         self.others: dict[str, bytes] = {}  # cuts without a space before them
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # both, of the generation before
 
     def _all(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
@@ -69,7 +71,7 @@ class Encoder:
         """One cut of the byte-level rule."""
         spaced = word[0] == " " and not word.isspace()
         known, key = (self.pieces, word[1:]) if spaced else (self.others, word)
-        if (out := known.get(key)) is None:
+        if (out := self._seen(known, key)) is None:
             out = self._ids(word.encode().decode("latin-1").translate(self.letters))
             self._keep(known, key, out)
         return out
@@ -78,10 +80,19 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _keep(self, known: dict[str, bytes], key: str, out: bytes) -> None:
-        if len(known) >= self.remember:
-            known.clear()
+        if len(key) > LONG:
+            return
+        if len(self.pieces) + len(self.others) >= self.remember // 2:
+            self.older, self.pieces, self.others = (self.pieces, self.others), {}, {}
+            known = self.pieces if known is self.older[0] else self.others
         known[key] = out
 
+    def _seen(self, known: dict[str, bytes], key: str) -> bytes | None:
+        """Remembered before: of the older generation what is met again moves on."""
+        if (out := known.get(key)) is None and (out := self.older[known is not self.pieces].get(key)) is not None:
+            self._keep(known, key, out)
+        return out
+
     def _unit(self, unit: str) -> bytes:
         if not _PLAIN.match(unit, 1 if unit[0] == " " else 0):
             return self._all(unit)
@@ -89,7 +100,7 @@ class Encoder:
         return self._word(unit) if len(cuts) == 1 else b"".join([self._word(w) for w in cuts])
 
     def _piece(self, piece: str) -> bytes:
-        if (out := self.pieces.get(piece)) is None:
+        if (out := self._seen(self.pieces, piece)) is None:
             if not piece or piece[-1].isspace():
                 raise _Awkward
             # ASCII letters stand for themselves, so a plain word needs neither cutting nor mapping.
@@ -263,7 +274,7 @@ def write_ids(docs: DataFrame, spec: str, path: str, end_id: int = 0, files: int
         final, draft = f"{base}/ids-{part:05d}.pfor", f"{base}/.draft-{part:05d}-{attempt}"
         with fs.open_output_stream(draft) as out:
             writer = Writer(out)
-            for batch in batches:
+            for batch in slices(batches):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     writer.add(doc_id, np.concatenate([coder.encode(text.as_py() or ""), end]))
             writer.close()
@@ -272,7 +283,7 @@ def write_ids(docs: DataFrame, spec: str, path: str, end_id: int = 0, files: int
 
     rows = names_beside(docs, "doc_id", "text").withColumn("mix", F.xxhash64("text"))
     rows = rows.repartitionByRange(files, "doc_id", "mix").sortWithinPartitions("doc_id", "mix").drop("mix")
-    return rows.mapInArrow(run, "file int, n_docs long, n_tokens long")
+    return map_batches(rows, run, "file int, n_docs long, n_tokens long")
 
 
 def read_ids(spark, path: str, manifest: list) -> DataFrame:
@@ -292,7 +303,7 @@ def read_ids(spark, path: str, manifest: list) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame(starts, "file int, before long").repartition(max(1, len(starts)), "file")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:
@@ -306,6 +317,6 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | No
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as file:
         spec = file.read()
-    path = path or f"{Scratch(spark, 'ids').path}/files"
+    path = path or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     manifest = write_ids(docs, spec, path, end_id).collect()  # a row a file
     return read_ids(spark, path, manifest)

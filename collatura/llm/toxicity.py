@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collatura.llm.common import Scratch, before_edge, bit_filter, in_filter, names_beside, slices
+from collatura.llm.common import Scratch, before_edge, bit_filter, in_filter, map_batches, names_beside, slices
 
 #: Hash buckets of word features, which bound their number; labelled rows the classifier is fitted on at most.
 BUCKETS, FIT_ROWS = 1 << 20, 50_000
@@ -77,7 +78,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["gram", "n"])
 
-    rows = names_beside(docs, "text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_batches(names_beside(docs, "text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << 18, np.int64)
     out[rows["gram"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out.reshape(64, 64, 64)
@@ -186,14 +187,14 @@ class Restorer:
     def __init__(self, model: np.ndarray, keep: np.ndarray | None = None):
         self.model, self.keep = model if isinstance(model, memoryview) else flat(model), keep if keep is None else keep.tobytes()
         self.most = REMEMBERED // (6 if keep is None else 2)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, Sequence[int]] = {}
+        self.older: dict[str, Sequence[int]] = {}
 
-    def _buckets(self, words: list[str]) -> tuple[int, ...]:
+    def _buckets(self, words: list[str]) -> Sequence[int]:
         out = {b for w in words for b in buckets_of(w)}
-        return tuple(out) if self.keep is None else tuple([b for b in out if self.keep[b]])
+        return array("i", out) if self.keep is None else tuple([b for b in out if self.keep[b]])
 
-    def _token(self, token: str) -> tuple[int, ...]:
+    def _token(self, token: str) -> Sequence[int]:
         words = [token] if token.isalpha() else _WORD.findall(token)
         if _BRANCH.search(token):
             words += decode(token, self.model)
@@ -201,7 +202,7 @@ class Restorer:
             words.append("".join(words))  # its only reading
         return self._buckets(words)
 
-    def _remembered(self, token: str) -> tuple[int, ...]:
+    def _remembered(self, token: str) -> Sequence[int]:
         if len(token) > LONG:
             return self._token(token)
         found = self.older.get(token)
@@ -244,7 +245,7 @@ def _mapped(docs: DataFrame, columns: list[str], fn, schema: str, arrow: pa.Sche
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(call(*(x.to_pylist() for x in batch.columns)), arrow.types, strict=True)], schema=arrow)
 
-    return names_beside(docs, *columns).mapInArrow(run, schema)
+    return map_batches(names_beside(docs, *columns), run, schema)
 
 
 @dataclass
@@ -306,7 +307,7 @@ def labelled_texts(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> tupl
         for batch in batches:
             yield batch.filter(pa.array(in_filter(wanted.value, batch.column(0).to_numpy().view(np.uint64))))
 
-    held = texts.select("mix", "text").mapInArrow(run, "mix long, text string").groupBy("mix").agg(F.any_value("text").alias("text"))
+    held = map_batches(texts.select("mix", "text"), run, "mix long, text string").groupBy("mix").agg(F.any_value("text").alias("text"))
     return scratch.table(held.join(told, "mix"), "rows"), totals
 
 
@@ -350,7 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         at = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1, at]), pa.array(n[0, at]), none(len(at), kinds.types[3]), none(len(at), pa.int32())], schema=kinds)
 
-    seen = scratch.table(marked.select("text", "toxic", "chosen").mapInArrow(counted, "bucket long, pos long, neg long, f array<int>, toxic int"), "seen")
+    seen = scratch.table(map_batches(marked.select("text", "toxic", "chosen"), counted, "bucket long, pos long, neg long, f array<int>, toxic int"), "seen")
     counts = seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log(((F.col("pos") + 0.5) / (n1 + 1)) / ((F.col("neg") + 0.5) / (n0 + 1)))
     told = counts.where("pos >= 2").withColumn("odds", odds).where("odds > 1.5").orderBy((F.col("odds") * F.col("pos")).desc(), "bucket")
@@ -401,4 +402,4 @@ def reject(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
         for batch in slices(batches):
             yield batch.filter(pa.array(of(batch.column("text").to_pylist()) < most, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
