@@ -80,6 +80,14 @@ def lemma_match(a: Column, b: Column) -> Column:
     return same(a, b, "lemma") & ~differs(a, b, "case") & ~differs(a, b, "tense")
 
 
+def same_grammar(a: Column, b: Column) -> Column:
+    """One lemma and part of speech, with no known difference in any of the fields."""
+    out = same(a, b, "lemma") & same(a, b, "pos")
+    for field in ("number", "gender", "case", "aspect", "voice", "tense"):
+        out = out & ~differs(a, b, field)
+    return out
+
+
 def case_forms(base: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(base, form): every form of the lemmas in ``base`` (base), the lemma itself included."""
     forms = lexicon.select(F.col("lemma").alias("base"), "form")

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from collatura.functions import morphology as M
 from collatura.functions import text as X
+from collatura.operators.pairs import near_pairs
 from collatura.operators.rules import Config, rule
 
 # Word lists (fixed values).
 INTERJECTIONS = ("а", "ах", "ай", "ой", "ох", "ух", "эх", "эй", "хм", "гм", "мм", "угу", "ага", "ну")
-WEAK_WORDS = ("же", "ли", "бы", "вот", "ведь", "уж", "то", "это", "так", "там", "тут")
-SHORT_DELETIONS = ("в", "к", "с", "у", "о", "и", "а", "на", "за", "по", "от", "же", "ли", "ль", "ж")
+WEAK_WORDS = ("тот", "так", "эти", "то", "несколько", "эдак", "же", "ли", "бы", "вот", "ведь", "уж", "это", "там", "тут")
+SHORT_DELETIONS = ("в", "о", "у", "к", "с", "но", "ни", "им", "на", "до", "же", "да", "х", "не", "так")
 PARTICLES = ("же", "ли", "ль")
 PRONOUNS = ("я", "ты", "он", "она", "оно", "мы", "вы", "они", "кто", "что", "это", "тот", "все", "сам")
 ADVERBS = ("так", "как", "где", "там", "тут", "куда", "когда", "едва", "почти", "вряд")
@@ -54,6 +55,18 @@ def _flag(df: DataFrame, word: str, table: DataFrame | None, key: str, name: str
     return df.join(found, F.col(word) == F.col("_k"), "left").withColumn(name, F.coalesce("_f", F.lit(False))).drop("_k", "_f")
 
 
+def _near_flag(df: DataFrame, words: tuple[str, ...], table: DataFrame | None, key: str, names: tuple[str, ...]) -> DataFrame:
+    """``df`` with flags: which of its columns ``words`` are at most one edit away from a word of ``table``."""
+    if table is None:
+        return df.withColumns({n: F.lit(False) for n in names})
+    each = df.select(F.explode(F.array(*words)).alias("word")).where("word IS NOT NULL").distinct()
+    known = table.select(X.norm_word(key).alias("word")).distinct()
+    found = near_pairs(each, known).select(F.col("a").alias("_k")).unionByName(each.join(known, "word", "left_semi").select(F.col("word").alias("_k"))).distinct()
+    for word, name in zip(words, names, strict=True):
+        df = df.join(found.withColumn("_f", F.lit(True)), F.col(word) == F.col("_k"), "left").withColumn(name, F.coalesce("_f", F.lit(False))).drop("_k", "_f")
+    return df
+
+
 def enrich(errors: DataFrame, own: Dictionaries) -> DataFrame:
     """Error rows with what the rules read: normal forms, analyses, dictionary kinds, names and neighbours.
 
@@ -67,9 +80,10 @@ def enrich(errors: DataFrame, own: Dictionaries) -> DataFrame:
         rows = rows.withColumn(name, X.norm_word(F.coalesce(name, F.lit(default))) if name in errors.columns else F.lit(default))
     if "after_stop" not in errors.columns:
         rows = rows.withColumn("after_stop", F.lit(False))
-    rows = M.analyse(rows, "w", own.lexicon, "wm")
-    rows = M.analyse(rows, "c", own.lexicon, "cm")
-    rows = M.analyse(rows, "after", own.lexicon, "am")
+    known = M.distinct_analysis(rows, ["w", "c", "after"], own.lexicon)  # a word is looked up once, however often it occurs
+    for word, name in (("w", "wm"), ("c", "cm"), ("after", "am")):
+        found = known.select(F.col("word").alias("_k"), F.col("a").alias(name))
+        rows = rows.join(found, F.col(word) == F.col("_k"), "left").drop("_k")
     if own.pairs is not None:
         kinds = own.pairs.groupBy(X.norm_word("heard").alias("_h"), X.norm_word("correct").alias("_e")).agg(F.collect_set("kind").alias("_k"))
         rows = rows.join(kinds, (F.col("w") == F.col("_h")) & (F.col("c") == F.col("_e")), "left").withColumn("kinds", F.coalesce("_k", F.array().cast("array<string>"))).drop("_h", "_e", "_k")
@@ -81,8 +95,9 @@ def enrich(errors: DataFrame, own: Dictionaries) -> DataFrame:
     order = Window.partitionBy("chapter_id").orderBy("t", "err_id")
     for name, column, step in (("prev_w", "w", -1), ("next_w", "w", 1), ("prev_c", "c", -1), ("next_c", "c", 1), ("prev_type", "type", -1), ("next_type", "type", 1)):
         rows = rows.withColumn(name, (F.lag if step < 0 else F.lead)(column).over(order))
-    rows = _flag(rows.withColumns({"_joined1": F.concat("w", F.col("after")), "_joined2": F.concat(F.col("before"), F.col("w"))}), "_joined1", own.names, "form", "joins_after")
-    rows = _flag(rows, "_joined2", own.names, "form", "joins_before").drop("_joined1", "_joined2")
+    inserted = lambda x: F.when((F.col("type") == "insertion") & (F.length(x) >= 6), x)
+    rows = rows.withColumns({"_joined1": inserted(F.concat("w", F.col("after"))), "_joined2": inserted(F.concat(F.col("before"), F.col("w")))})
+    rows = _near_flag(rows, ("_joined1", "_joined2"), own.names, "form", ("joins_after", "joins_before")).drop("_joined1", "_joined2")
     verbs = F.size(F.filter(F.split(F.coalesce("context", F.lit("")), r"\s+"), lambda x: F.lower(x).rlike(r"(л|ла|ло|ли|лся|лась|лись|ет|ут|ют|ит|ат|ят|ешь|ишь|ем|им|ете|ите)$") & (F.length(x) > 3)))
     return rows.withColumn("n_verbs", verbs)
 
@@ -138,7 +153,8 @@ def _(k: Config) -> Column:
 def _(k: Config) -> Column:
     """Another case or tense of one lemma is a real error, and so is a verb with or without "по"."""
     po = (col.w == F.concat(F.lit("по"), col.c)) | (col.c == F.concat(F.lit("по"), col.w))
-    return _swap() & (M.same(col.wm, col.cm, "lemma") & (M.differs(col.wm, col.cm, "case") | M.differs(col.wm, col.cm, "tense")) | po)
+    case = F.lit(k.protect_case) & M.differs(col.wm, col.cm, "case")
+    return _swap() & (M.same(col.wm, col.cm, "lemma") & (case | M.differs(col.wm, col.cm, "tense")) | po)
 
 
 @rule(0.4, "conjunction_protected", protects=True)
@@ -166,7 +182,8 @@ def _(k: Config) -> Column:
 
 @rule(1.3, "learned_lemma", confidence=0.9)
 def _(k: Config) -> Column:
-    return _swap() & M.lemma_match(col.wm, col.cm)
+    """Forms that grammar does not tell apart; where it does, the smart rules decide."""
+    return _swap() & M.same_grammar(col.wm, col.cm)
 
 
 @rule(1.4, "learned_similar_lemma", confidence=0.85)
@@ -186,7 +203,8 @@ def _(k: Config) -> Column:
 
 @rule(2.1, "smart_safe_case", confidence=0.9)
 def _(k: Config) -> Column:
-    return _swap() & M.same(col.wm, col.cm, "lemma") & M.same(col.wm, col.cm, "case") & M.same(col.wm, col.cm, "number")
+    """One case and number of a lemma in another gender, say."""
+    return _swap() & _one_lemma() & M.same(col.wm, col.cm, "case") & M.same(col.wm, col.cm, "number")
 
 
 @rule(2.2, "reflexive", confidence=0.9)
@@ -218,7 +236,8 @@ def _(k: Config) -> Column:
 
 @rule(2.7, "smart_lemma", confidence=0.9)
 def _(k: Config) -> Column:
-    return F.lit(k.use_lemmas) & _swap() & M.same(col.wm, col.cm, "lemma") & M.same(col.wm, col.cm, "pos")
+    """Other forms of a lemma, but not another case, number or tense."""
+    return F.lit(k.use_lemmas) & _swap() & _one_lemma() & ~M.differs(col.wm, col.cm, "case") & ~M.differs(col.wm, col.cm, "number") & ~M.differs(col.wm, col.cm, "tense")
 
 
 @rule(2.8, "smart_homophone", confidence=0.95)
@@ -229,7 +248,11 @@ def _(k: Config) -> Column:
 
 @rule(2.9, "smart_levenshtein", confidence=0.85)
 def _(k: Config) -> Column:
-    return _swap() & ~col.w.isin(*PRONOUNS) & ~col.c.isin(*PRONOUNS) & M.same(col.wm, col.cm, "lemma") & X.within(col.wm["lemma"], col.cm["lemma"], k.edit_distance) & ~M.differs(col.wm, col.cm, "pos")
+    """Close lemmas, one of them of no known word (which is then its own lemma); two known words are told apart by readers too."""
+    a, b = F.coalesce(col.wm["lemma"], col.w), F.coalesce(col.cm["lemma"], col.c)
+    one_known = col.wm["lemma"].isNull() != col.cm["lemma"].isNull()
+    long_ = F.least(F.length(a), F.length(b)) >= k.lemma_length
+    return _swap() & ~col.w.isin(*PRONOUNS) & ~col.c.isin(*PRONOUNS) & one_known & long_ & (a != b) & X.within(a, b, k.edit_distance)
 
 
 @rule(2.95, "smart_grammar", confidence=0.85)
@@ -264,6 +287,14 @@ def _(k: Config) -> Column:
     return ((_is("insertion") & (col.w == "и")) | (_is("deletion") & (col.c == "и"))) & F.coalesce("context", F.lit("")).rlike(r"(?:^|\s)и\s+\p{L}+,?\s+и\s")
 
 
+@rule(4.025, "levenshtein_protected")
+def _(k: Config) -> Column:
+    """A long protected word heard one letter off; all else that is protected stays."""
+    long_ = (F.length(col.w) >= k.protected_length) & (F.length(col.c) >= k.protected_length)
+    changed = M.differs(col.wm, col.cm, "number") | M.differs(col.wm, col.cm, "case") | M.differs(col.wm, col.cm, "lemma")
+    return _swap() & F.col("guarded") & X.within(col.w, col.c, k.protected_distance) & long_ & ~changed
+
+
 @rule(4.03, "protected_word", protects=True)
 def _(k: Config) -> Column:
     return F.col("guarded")
@@ -292,6 +323,7 @@ def _(k: Config) -> Column:
 
 @rule(4.11, "case_form")
 def _(k: Config) -> Column:
+    """Decides where ``protect_case`` is off; another case is a real error otherwise."""
     return _swap() & M.same(col.wm, col.cm, "lemma") & (col.wm["pos"] == "NOUN") & M.differs(col.wm, col.cm, "case")
 
 
@@ -305,13 +337,6 @@ def _(k: Config) -> Column:
     return _swap() & _parts("ADJS", "ADJF") & M.same(col.wm, col.cm, "lemma")
 
 
-@rule(4.165, "levenshtein_protected")
-def _(k: Config) -> Column:
-    long_ = (F.length(col.w) >= k.protected_length) & (F.length(col.c) >= k.protected_length)
-    changed = M.differs(col.wm, col.cm, "number") | M.differs(col.wm, col.cm, "case") | M.differs(col.wm, col.cm, "lemma")
-    return _swap() & F.col("guarded") & X.within(col.w, col.c, k.protected_distance) & long_ & ~changed
-
-
 @rule(4.18, "yandex_name_error")
 def _(k: Config) -> Column:
     return _swap() & name_error(col.w, col.c, F.col("w_name"), F.col("c_name"), k.name_share)
@@ -406,6 +431,10 @@ def _(k: Config) -> Column:
 # --- predicates that are operators of their own -------------------------------------------
 
 
+def _one_lemma() -> Column:
+    return M.same(col.wm, col.cm, "lemma") & M.same(col.wm, col.cm, "pos")
+
+
 def _i_ya() -> Column:
     return _swap() & _listed((("и", "я"),))
 

@@ -23,6 +23,8 @@ class Config:
     chain_distance: int = 3
     verbs_around: int = 3
     name_share: float = 0.5
+    lemma_length: int = 5
+    protect_case: bool = True
     use_lemmas: bool = True
     use_homophones: bool = True
 
