@@ -2,69 +2,55 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a pair above which it is cut at words unique to both sides before it is aligned.
-CUT_ABOVE = 20_000
-
 _SCHEMA = "pair string, op_idx int, tag string, a_lo int, a_hi int, b_lo int, b_hi int"
+_ERRORS = "pair string, err_id long, type string, wrong string, correct string, a_pos int, b_pos int"
+_AROUND = "before string, after string, after_stop boolean, context string, transcript_context string, t double, phantom double"
+
+#: Marks that end a sentence.
+_STOP = re.compile(r"[.!?…]$")
+Op = tuple[str, int, int, int, int]
 
 
-def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Words that occur once on each side, in an order both share (longest increasing run)."""
-    once = lambda x: {w: i for i, w in enumerate(x) if n[w] == 1} if (n := _counts(x)) else {}
-    ia, ib = once(a), once(b)
-    pairs = sorted((i, ib[w]) for w, i in ia.items() if w in ib)
-    tails: list[int] = []
-    back = [-1] * len(pairs)
-    for k, (_, j) in enumerate(pairs):
-        lo, hi = 0, len(tails)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if pairs[tails[mid]][1] < j else (lo, mid)
-        back[k] = tails[lo - 1] if lo else -1
-        tails[lo : lo + 1] = [k]
-    out, k = [], tails[-1] if tails else -1
-    while k >= 0:
-        out.append(pairs[k])
-        k = back[k]
-    return out[::-1]
-
-
-def _counts(x: list[str]) -> dict[str, int]:
-    n: dict[str, int] = {}
-    for w in x:
-        n[w] = n.get(w, 0) + 1
-    return n
-
-
-def opcodes_of(a: list[str], b: list[str], cut_above: int = CUT_ABOVE) -> list[tuple[str, int, int, int, int]]:
+def opcodes_of(a: list[str], b: list[str]) -> list[Op]:
     """Operations that turn ``a`` into ``b``: equal, replace, delete, insert over word ranges.
 
-    Frequent words are never treated as junk, so the result is minimal for the
-    matcher and does not change with length.  Matching takes time in
-    proportion to the product of lengths; above ``cut_above`` words the pair is
-    therefore aligned between anchors, and one without any as a whole.
+    One algorithm at any length, and frequent words are never treated as junk.
+    Time follows how often the words of one side occur on the other.
     """
-    if len(a) + len(b) <= cut_above or not (marks := _anchors(a, b)):
-        return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
-    step = max(1, len(marks) * 2000 // (len(a) + len(b)))
-    out: list[tuple[str, int, int, int, int]] = []
-    i = j = 0
-    for p, q in [*marks[::step], (len(a), len(b))]:
-        for tag, w, x, y, z in SequenceMatcher(None, a[i:p], b[j:q], autojunk=False).get_opcodes():
-            w, x, y, z = w + i, x + i, y + j, z + j
-            if out and out[-1][0] == tag:
-                out[-1] = (tag, out[-1][1], x, out[-1][3], z)
-            else:
-                out.append((tag, w, x, y, z))
-        i, j = p, q
-    return out
+    return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
+def errors_of(a: list[str], b: list[str], ops: list[Op]) -> Iterator[tuple[str, str, str, int, int]]:
+    """(type, wrong, correct, a_pos, b_pos): one row a word that differs.
+
+    A word heard but not expected is an insertion, one expected but not heard
+    a deletion.  Replaced blocks pair word by word; the surplus of the longer
+    side becomes insertions or deletions.  An insertion and a deletion of one
+    word around a single equal word make a transposition.
+    """
+    k = 0
+    while k < len(ops):
+        tag, i, j, p, q = ops[k]
+        if tag in ("insert", "delete") and k + 2 < len(ops) and ops[k + 1][0] == "equal" and {tag, ops[k + 2][0]} == {"insert", "delete"}:
+            _, i1, j1, _, _ = ops[k + 1]
+            _, i2, j2, p2, q2 = ops[k + 2]
+            if max(j - i, q - p) == j1 - i1 == max(j2 - i2, q2 - p2) == 1 and (b[p] == a[i2] if tag == "insert" else a[i] == b[p2]):
+                yield "transposition", " ".join(a[i : i + 2]), " ".join(b[p : p + 2]), i, p
+                k += 3
+                continue
+        if tag != "equal":
+            for n in range(max(j - i, q - p)):
+                wrong, correct = a[i + n] if i + n < j else "", b[p + n] if p + n < q else ""
+                yield "insertion" if not correct else "deletion" if not wrong else "substitution", wrong, correct, min(i + n, j), min(p + n, q)
+        k += 1
 
 
 def align(pairs: DataFrame) -> DataFrame:
@@ -76,58 +62,61 @@ def align(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for pair, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(pair, k, *op) for k, op in enumerate(opcodes_of(a or [], b or []))]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["pair", "op_idx", "tag", "a_lo", "a_hi", "b_lo", "b_hi"])
+            for k in range(len(batch)):
+                pair, a, b = (c[k].as_py() for c in batch.columns)
+                rows = [(pair, n, *op) for n, op in enumerate(opcodes_of(a or [], b or []))]
+                kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 4]
+                yield _batch(rows, kinds, _SCHEMA)
 
     return pairs.select(F.col("pair").cast("string"), "a", "b").mapInArrow(run, _SCHEMA)
 
 
-def differences(ops: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair, err_id, type, wrong, correct, a_pos, b_pos): one row a word that differs.
+def _batch(rows: list[tuple], kinds: list[pa.DataType], schema: str) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    A word heard but not expected is an insertion, one expected but not heard
-    a deletion.  Replaced blocks pair word by word; the surplus of the longer
-    side becomes insertions or deletions.  An insertion and a deletion of one
-    word around a single equal word make a transposition.
+
+def differences(pairs: DataFrame) -> DataFrame:
+    """(pair, err_id, type, wrong, correct, a_pos, b_pos): one row a word that differs, as ``errors_of`` tells."""
+    return in_context(pairs, 0).select("pair", "err_id", "type", "wrong", "correct", "a_pos", "b_pos")
+
+
+def in_context(pairs: DataFrame, around: int, run: int = 4) -> DataFrame:
+    """``differences`` with what stands around them and when they are heard.
+
+    The expected words before and after (null beyond the ends), whether a
+    sentence ended just before, ``around`` words on either side of both texts,
+    the time, and when the introduction ends (``phantom_seconds``).  ``pairs``
+    may bring ``times`` of the heard words and ``tokens``, the expected ones as
+    written; without them times are 0 and the words as compared stand for them.
+
+    A row holds both sides, so what a difference needs of them goes with it:
+    no words are joined back, and nothing is sorted or shuffled.
     """
-    sides = pairs.select(F.col("pair").cast("string"), "a", "b")
-    order = Window.partitionBy("pair").orderBy("op_idx")
-    one = lambda lo, hi: F.col(hi) - F.col(lo) == 1
-    ops = ops.withColumns({
-        "tag1": F.lead("tag", 1).over(order), "tag2": F.lead("tag", 2).over(order),
-        "one": F.when(F.col("tag") == "insert", one("b_lo", "b_hi")).otherwise(one("a_lo", "a_hi")),
-    })
-    ops = ops.withColumns({"one1": F.lead("one", 1).over(order), "one2": F.lead("one", 2).over(order), "a_lo2": F.lead("a_lo", 2).over(order), "b_lo2": F.lead("b_lo", 2).over(order)})
-    crossed = ((F.col("tag") == "insert") & (F.col("tag2") == "delete") | (F.col("tag") == "delete") & (F.col("tag2") == "insert")) & (F.col("tag1") == "equal") & F.col("one") & F.col("one1") & F.col("one2")
-    ops = ops.join(sides, "pair").withColumn("crossed", F.coalesce(crossed, F.lit(False)))
-    word = lambda side, at: F.get(F.col(side), F.col(at))
-    same = F.when(F.col("tag") == "insert", word("b", "b_lo") == word("a", "a_lo2")).otherwise(word("a", "a_lo") == word("b", "b_lo2"))
-    ops = ops.withColumn("crossed", F.col("crossed") & F.coalesce(same, F.lit(False)))
-    order = Window.partitionBy("pair").orderBy("op_idx")
-    ops = ops.withColumn("second", F.coalesce(F.lag("crossed", 2).over(order), F.lit(False)) & ~F.coalesce(F.lag("crossed", 4).over(order), F.lit(False)))
-    swaps = ops.where("crossed AND NOT second").select(
-        "pair", "op_idx", F.lit(0).alias("k"), F.lit("transposition").alias("type"),
-        F.concat_ws(" ", F.get("a", F.col("a_lo")), F.get("a", F.col("a_lo") + 1)).alias("wrong"),
-        F.concat_ws(" ", F.get("b", F.col("b_lo")), F.get("b", F.col("b_lo") + 1)).alias("correct"),
-        F.col("a_lo").alias("a_pos"), F.col("b_lo").alias("b_pos"),
-    )
-    plain = ops.where("tag <> 'equal' AND NOT (crossed AND NOT second) AND NOT second")
-    n = F.greatest(F.col("a_hi") - F.col("a_lo"), F.col("b_hi") - F.col("b_lo"))
-    each = plain.withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
-    wrong = F.when(F.col("a_lo") + F.col("k") < F.col("a_hi"), F.get("a", F.col("a_lo") + F.col("k"))).otherwise("")
-    correct = F.when(F.col("b_lo") + F.col("k") < F.col("b_hi"), F.get("b", F.col("b_lo") + F.col("k"))).otherwise("")
-    each = each.select(
-        "pair", "op_idx", "k", F.lit(None).cast("string").alias("type"), wrong.alias("wrong"), correct.alias("correct"),
-        F.least(F.col("a_lo") + F.col("k"), F.col("a_hi")).alias("a_pos"), F.least(F.col("b_lo") + F.col("k"), F.col("b_hi")).alias("b_pos"),
-    )
-    each = each.withColumn("type", F.when(F.col("correct") == "", "insertion").when(F.col("wrong") == "", "deletion").otherwise("substitution"))
-    out = each.unionByName(swaps)
-    err_id = F.row_number().over(Window.partitionBy("pair").orderBy("op_idx", "k")).cast("long")
-    return out.select("pair", err_id.alias("err_id"), "type", "wrong", "correct", "a_pos", "b_pos")
+    empty = {"times": F.lit(None).cast("array<double>"), "tokens": F.lit(None).cast("array<string>")}
+    columns = [F.col("pair").cast("string"), "a", "b", *[F.col(c).cast(f"array<{t}>") if c in pairs.columns else empty[c].alias(c) for c, t in (("times", "double"), ("tokens", "string"))]]
+    cut = lambda words, at: " ".join(words[max(at - around, 0) : max(at - around, 0) + 2 * around + 1])
+
+    def one(pair: str, a: list[str], b: list[str], times: list[float], tokens: list[str]) -> list[tuple]:
+        ops = opcodes_of(a, b)
+        begins = next((i for tag, i, j, _, _ in ops if tag == "equal" and j - i >= run), None)
+        clock = lambda at: times[min(at, len(times) - 1)] or 0.0 if times else 0.0
+        phantom = clock(begins) if begins is not None else 0.0
+        out = []
+        for n, (type_, wrong, correct, i, p) in enumerate(errors_of(a, b, ops), 1):
+            next_ = p + (type_ != "insertion")
+            stop = p == 0 or (p <= len(tokens) and bool(_STOP.search(tokens[p - 1] or "")))
+            out.append((pair, n, type_, wrong, correct, i, p, b[p - 1] if p else None, b[next_] if next_ < len(b) else None, stop, cut(tokens, p), cut(a, i), clock(i), phantom))
+        return out
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), *[pa.string()] * 3, *[pa.int32()] * 2, *[pa.string()] * 2, pa.bool_(), *[pa.string()] * 2, *[pa.float64()] * 2]
+        for batch in batches:
+            for k in range(len(batch)):
+                pair, a, b, times, tokens = (c[k].as_py() for c in batch.columns)
+                yield _batch(one(pair, a or [], b or [], times or [], (b or []) if tokens is None else tokens), kinds, f"{_ERRORS}, {_AROUND}")
+
+    return pairs.select(*columns).mapInArrow(told, f"{_ERRORS}, {_AROUND}")
 
 
 def similarity(ops: DataFrame) -> DataFrame:
@@ -157,7 +146,7 @@ def skip_phantom(errors: DataFrame, phantom: DataFrame | float) -> DataFrame:
     return errors.where(F.col("t") >= F.lit(float(phantom)))
 
 
-def neighbours(tokens: DataFrame, k: int, by: str = "doc", pos: str = "pos", word: str = "word") -> Column:
-    """The words from k before to k after each one, as a text."""
-    frame = Window.partitionBy(by).orderBy(pos).rowsBetween(-k, k)
-    return F.array_join(F.collect_list(word).over(frame), " ")
+def around(words: Column, at: Column, k: int) -> Column:
+    """The words from k before to k after place ``at`` of an array, as a text."""
+    first = F.greatest(at - k + 1, F.lit(1))
+    return F.array_join(F.slice(words, first, at + k + 2 - first), " ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from collatura.operators import align as A
@@ -28,23 +28,8 @@ def compare(pairs: DataFrame, around: int = 4, phantom: float | None = None) ->
     ``phantom``: seconds to skip; None finds them, from the first run of
     matched words.
     """
-    ops = A.align(pairs)
-    rows = A.differences(ops, pairs).join(pairs, "pair", "left")
-    cut = lambda s, at: F.array_join(F.slice(s, F.greatest(at - around + 1, F.lit(1)), F.lit(2 * around + 1)), " ")
-    rows = rows.withColumns({
-        "t": F.coalesce(F.get("times", F.least(F.col("a_pos"), F.size("times") - 1)), F.lit(0.0)),
-        "context": cut(F.coalesce("tokens", F.array().cast("array<string>")), F.col("b_pos")),
-        "transcript_context": cut(F.coalesce("a", F.array().cast("array<string>")), F.col("a_pos")),
-        "before": F.when(F.col("b_pos") > 0, F.get("b", F.col("b_pos") - 1)),
-        "after": F.get("b", F.col("b_pos") + F.when(F.col("type") == "insertion", 0).otherwise(1)),
-        "after_stop": F.coalesce(F.when(F.col("b_pos") > 0, F.get("tokens", F.col("b_pos") - 1)).rlike(r"[.!?…]$"), F.lit(False)) | (F.col("b_pos") == 0),
-        "marker_pos": F.least(F.col("b_pos"), F.lit(around)).cast("int"),
-    })
-    if phantom is None:
-        timed = pairs.select("pair", F.posexplode("times").alias("pos", "t"))
-        rows = A.skip_phantom(rows, A.phantom_seconds(ops, timed))
-    else:
-        rows = A.skip_phantom(rows, phantom)
+    rows = A.in_context(pairs, around).withColumn("marker_pos", F.least("b_pos", F.lit(around)).cast("int"))
+    rows = rows.where("t >= phantom") if phantom is None else A.skip_phantom(rows, phantom)
     columns = ["err_id", "t", "type", "wrong", "correct", "context", "marker_pos", "transcript_context", "before", "after", "after_stop"]
     return rows.select(F.col("pair").alias("chapter_id"), *columns)
 
@@ -76,7 +61,3 @@ def stale(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     i = inputs.groupBy("chapter_id").agg(F.max("modified").alias("changed"))
     o = outputs.groupBy("chapter_id").agg(F.max("modified").alias("made"))
     return i.join(o, "chapter_id", "left").where("made IS NULL OR made < changed").select("chapter_id")
-
-
-def numbered(rows: DataFrame, by: str, *order: str) -> DataFrame:
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from collatura import planted
 from collatura.functions import morphology as M
 from collatura.functions import text as X
 from collatura.operators import align as A
@@ -100,7 +101,8 @@ def chapter_totals(spark, sf_dir):
 
 @query("SELECT event_type AS type, count(*) AS n FROM events GROUP BY event_type")
 def type_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"))
+    """How many rows each type has, without the total."""
+    return E.totals(table(spark, sf_dir, "events"), "event_type", F.lit(1)).where("event_type <> 'total'").select(F.col("event_type").alias("type"), "n")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'purchase')")
@@ -140,17 +142,21 @@ def duplicate_word(spark, sf_dir):
   SELECT lang, count(*) AS n FROM f WHERE k >= 3 GROUP BY lang""")
 def context_frame_count(spark, sf_dir):
     """Words with three words or more in -ed within three places."""
-    frame = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-3, 3)
-    rows = _tokens(spark, sf_dir, "lang").withColumn("k", F.sum(F.col("word").endswith("ed").cast("int")).over(frame))
-    return rows.where("k >= 3").groupBy("lang").agg(F.count("*").alias("n"))
+    ws = table(spark, sf_dir, "documents").select("lang", F.transform(X.words("text"), lambda w: w.endswith("ed").cast("int")).alias("ed"))
+    near = lambda i: F.aggregate(F.slice("ed", F.greatest(i - 2, F.lit(1)), i + 5 - F.greatest(i - 2, F.lit(1))), F.lit(0), lambda s, x: s + x)
+    k = F.size(F.filter("ed", lambda x, i: near(i) >= 3))
+    return ws.groupBy("lang").agg(F.sum(k).cast("long").alias("n")).where("n > 0")
 
 
 @query(f"""WITH {_TOKENS}, c AS (SELECT doc_id, pos, word, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM tok)
   SELECT doc_id, pos::INT AS pos, context, '- ' || word AS marker, (least(pos, 2))::INT AS marker_pos FROM c WHERE word = 'trash'""")
 def context_of_token(spark, sf_dir):
     """What stands around each occurrence of a word, and the word as marked."""
-    rows = _tokens(spark, sf_dir).withColumnRenamed("doc_id", "doc").withColumn("context", A.neighbours(None, 2)).where("word = 'trash'")
-    return rows.select(F.col("doc").alias("doc_id"), "pos", "context", X.marker(F.lit("deletion"), F.lit(""), "word").alias("marker"), F.least("pos", F.lit(2)).alias("marker_pos"))
+    # Each document's words lie in one array: only the word's own places are taken out, with what stands around them.
+    ws = table(spark, sf_dir, "documents").select("doc_id", X.words("text").alias("ws"))
+    rows = ws.where(F.array_contains("ws", "trash")).select("doc_id", "ws", F.posexplode("ws").alias("pos", "word")).where("word = 'trash'")
+    context = A.around(F.col("ws"), F.col("pos"), 2)
+    return rows.select("doc_id", "pos", context.alias("context"), X.marker(F.lit("deletion"), F.lit(""), "word").alias("marker"), F.least("pos", F.lit(2)).alias("marker_pos"))
 
 
 @query(f"""WITH {_TOKENS}, n AS (SELECT doc_id, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM tok)
@@ -203,35 +209,27 @@ def prefix_variant(spark, sf_dir):
     return out.where(filters.prefix_variant(F.col("longer"), F.col("shorter"), ("re", "un", "in", "th"))).select("longer", "shorter", "prefix")
 
 
-_NEAR = f"WITH {_VOCABULARY}, v AS (SELECT word FROM voc WHERE regexp_matches(word, '{_ASCII}') AND length(word) BETWEEN 5 AND 9 AND n >= 3)"
+#: SQL for pairs of words one edit apart, by deletion keys: one letter more on one side, or another at one place.
+#: DuckDB's levenshtein counts bytes, and a self-join on lengths is slow; keys need neither.
+_KEYS = """voc AS MATERIALIZED (SELECT DISTINCT word FROM tok),
+  {x}k AS MATERIALIZED (SELECT word, length(word) AS n, i, left(word, i - 1) || substr(word, i + 1) AS key FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM {x}))"""
+_NEAR = f"""WITH {_TOKENS}, """ + _KEYS.format(x="voc") + """,
+  p AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (
+    SELECT x.word AS a, y.word AS b FROM vock x JOIN vock y ON x.key = y.key AND x.i = y.i AND x.n = y.n AND x.word < y.word
+    UNION ALL SELECT x.word, y.word FROM vock x JOIN voc y ON x.key = y.word))"""
 
 
-@query(_NEAR + " SELECT a.word AS a, b.word AS b FROM v a JOIN v b ON a.word < b.word AND abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) = 1")
+@query(_NEAR + " SELECT a, b FROM p")
 def near_word_pairs(spark, sf_dir):
-    """Words one edit apart, found by deletion keys."""
-    voc = _vocabulary(spark, sf_dir).where(F.col("word").rlike(_ASCII) & F.length("word").between(5, 9) & (F.col("n") >= 3))
-    return pairs.near_pairs(voc.select("word"))
-
-
-# Queries named ..._all run over every distinct word; those without the suffix hold the part that their SQL compares.
-# DuckDB's levenshtein counts bytes, so what depends on it is tested against brute force instead.
-@query()
-def near_word_pairs_all(spark, sf_dir):
-    """All words one edit apart, whatever their letters, length and count."""
+    """All words one edit apart, whatever their letters, length and count, found by deletion keys."""
     return pairs.near_pairs(_vocabulary(spark, sf_dir).select("word"))
 
 
-@query(_NEAR + r""", nm AS (SELECT DISTINCT lower(p_name) AS name FROM part), w AS (SELECT DISTINCT unnest(regexp_extract_all(name, '[a-z]+')) AS name FROM nm)
-  SELECT v.word AS heard, w.name FROM v JOIN w ON v.word <> w.name AND abs(length(v.word) - length(w.name)) <= 1 AND levenshtein(v.word, w.name) = 1""")
+@query(f"""WITH {_TOKENS}, """ + _KEYS.format(x="voc") + r""", nm AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '\p{L}+')) AS word FROM part),
+  nmk AS MATERIALIZED (SELECT word, length(word) AS n, i, left(word, i - 1) || substr(word, i + 1) AS key FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM nm))
+  SELECT DISTINCT heard, name FROM (SELECT x.word AS heard, y.word AS name FROM vock x JOIN nmk y ON x.key = y.key AND x.i = y.i AND x.n = y.n AND x.word <> y.word
+    UNION ALL SELECT x.word, y.word FROM vock x JOIN nm y ON x.key = y.word UNION ALL SELECT x.word, y.word FROM voc x JOIN nmk y ON x.word = y.key)""")
 def name_errors(spark, sf_dir):
-    """Words one edit away from a name."""
-    names = table(spark, sf_dir, "part").select(F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("([a-z]+)"), 1)).alias("word")).distinct()
-    voc = _vocabulary(spark, sf_dir).where(F.col("word").rlike(_ASCII) & F.length("word").between(5, 9) & (F.col("n") >= 3)).select("word")
-    return pairs.near_pairs(voc, names).select(F.col("a").alias("heard"), F.col("b").alias("name"))
-
-
-@query()
-def name_errors_all(spark, sf_dir):
     """All words one edit away from a name."""
     names = table(spark, sf_dir, "part").select(F.explode(X.words("p_name")).alias("word")).distinct()
     return pairs.near_pairs(_vocabulary(spark, sf_dir).select("word"), names).select(F.col("a").alias("heard"), F.col("b").alias("name"))
@@ -265,19 +263,10 @@ def protected_words(spark, sf_dir):
     return rows.groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("guarded"), F.col("n")).otherwise(0)).alias("n_protected"))
 
 
-@query(f"""WITH {_VOCABULARY} SELECT word, regexp_replace(regexp_replace(word, '(ing|ed|es|ly)$', ''), '^$', word) AS lemma,
-    CASE WHEN word LIKE '%ing' THEN 'GRND' WHEN word LIKE '%ed' THEN 'VERB' WHEN word LIKE '%ly' THEN 'ADVB' ELSE 'NOUN' END AS pos
-  FROM voc WHERE regexp_matches(word, '{_ASCII}') AND n >= 20""")
-def lexicon_lookup(spark, sf_dir):
-    """Analyses of the frequent words, from a lexicon with homonyms."""
-    voc = _vocabulary(spark, sf_dir).where(F.col("word").rlike(_ASCII) & (F.col("n") >= 20)).select("word")
-    return M.analyse(voc, "word", _toy_lexicon(voc), "m").select("word", "m.lemma", "m.pos")
-
-
 @query(f"""WITH {_VOCABULARY} SELECT word, regexp_replace(regexp_replace(word, '(ing|ed|es|ly)$', ''), '^$', word) AS lemma,
     CASE WHEN word LIKE '%ing' THEN 'GRND' WHEN word LIKE '%ed' THEN 'VERB' WHEN word LIKE '%ly' THEN 'ADVB' ELSE 'NOUN' END AS pos
   FROM voc""")
-def lexicon_lookup_all(spark, sf_dir):
+def lexicon_lookup(spark, sf_dir):
     """Analyses of all words, from a lexicon with homonyms."""
     voc = _vocabulary(spark, sf_dir).select("word")
     return M.analyse(voc, "word", _toy_lexicon(voc), "m").select("word", "m.lemma", "m.pos")
@@ -308,15 +297,12 @@ def text_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.spaced_dashes(X.clean("text")), 256).alias("clean_sha256"))
 
 
-@query(f"""WITH {_VOCABULARY} SELECT word, 1 - levenshtein(word, 'thing') / greatest(length(word), 5) AS similarity FROM voc WHERE regexp_matches(word, '{_ASCII}') AND n >= 10""")
-def word_similarity(spark, sf_dir):
-    """How like one word the others are."""
-    voc = _vocabulary(spark, sf_dir).where(F.col("word").rlike(_ASCII) & (F.col("n") >= 10))
-    return voc.select("word", X.similarity("word", F.lit("thing")).alias("similarity"))
+#: SQL: letters beyond ASCII as single bytes that no lower-case word holds, as DuckDB's levenshtein counts bytes.
+_BYTES = "translate({}, 'äöüßéèêëàâáíìîïóòôúùûñçœæåøýÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789')"
 
 
-@query()
-def word_similarity_all(spark, sf_dir):
+@query(f"""WITH {_VOCABULARY} SELECT word, 1 - levenshtein({_BYTES.format("word")}, 'thing') / greatest(length(word), 5) AS similarity FROM voc""")
+def word_similarity(spark, sf_dir):
     """How like one word all others are."""
     return _vocabulary(spark, sf_dir).select("word", X.similarity("word", F.lit("thing")).alias("similarity"))
 
@@ -333,13 +319,8 @@ def time_format(spark, sf_dir):
     return rows.withColumn("seconds", X.seconds_of("time"))
 
 
-@query(f"""WITH {_VOCABULARY} SELECT word, sha256(word) AS key FROM voc WHERE n >= 10""")
-def word_hash(spark, sf_dir):
-    return _vocabulary(spark, sf_dir).where("n >= 10").select("word", X.cache_key("word").alias("key"))
-
-
 @query(f"""WITH {_VOCABULARY} SELECT word, sha256(word) AS key FROM voc""")
-def word_hash_all(spark, sf_dir):
+def word_hash(spark, sf_dir):
     return _vocabulary(spark, sf_dir).select("word", X.cache_key("word").alias("key"))
 
 
@@ -425,18 +406,12 @@ _CLASS = """CASE WHEN (replace(replace(a, ' ', ''), '-', '') = replace(replace(b
   WHEN levenshtein(a, b) <= 1 THEN 'phonetic' ELSE 'unknown' END"""
 
 
-@query(f"""WITH {_VOCABULARY}, t AS (SELECT word, n FROM voc WHERE regexp_matches(word, '{_ASCII}') ORDER BY n DESC, word LIMIT 400),
-  s AS (SELECT word AS a, lead(word) OVER (ORDER BY word) AS b FROM t)
-  SELECT {_CLASS} AS class, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY 1""")
-def pattern_classes(spark, sf_dir):
-    """Classes of successive words among the 400 most frequent."""
-    best = tracker.top(_vocabulary(spark, sf_dir).where(F.col("word").rlike(_ASCII)), 400, "n", ["word"])
-    rows = best.select(F.col("word").alias("a"), F.lead("word").over(Window.orderBy("word")).alias("b")).where("b IS NOT NULL")
-    return rows.groupBy(tracker.classify(F.col("a"), F.col("b"), ("re", "in")).alias("class")).agg(F.count("*").alias("n"))
+_CLASS = _CLASS.replace("levenshtein(a, b)", f"levenshtein({_BYTES.format('a')}, {_BYTES.format('b')})")
 
 
-@query()
-def pattern_classes_all(spark, sf_dir):
+@query(f"""WITH {_VOCABULARY}, s AS (SELECT word AS a, lead(word) OVER (ORDER BY word) AS b FROM voc)
+  SELECT {_CLASS} AS class, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY 1""")
+def pattern_classes(spark, sf_dir):
     """Classes of successive words among all.
 
     Words with the same three letters in front stand together, so each is
@@ -522,22 +497,10 @@ def feature_fp_rate(spark, sf_dir):
     return E.feature_rate(rows, "lang", "fp")
 
 
-_PAIRS = _NEAR.replace("length(word) BETWEEN 5 AND 9 AND n >= 3", "length(word) BETWEEN 6 AND 8 AND n >= 5")
-
-
-@query(_PAIRS + """, p AS (SELECT a.word AS a, b.word AS b FROM v a JOIN v b ON a.word < b.word AND abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) = 1)
-  SELECT a, b, length(a)::DOUBLE AS len_a, length(b)::DOUBLE AS len_b, abs(length(a) - length(b))::DOUBLE AS len_diff, least(length(a), length(b)) / greatest(length(a), length(b)) AS len_ratio,
-    levenshtein(a, b)::DOUBLE AS edits, levenshtein(a, b) / greatest(length(a), length(b)) AS edits_norm, (left(a, 1) = left(b, 1))::INT::DOUBLE AS first_same, (right(a, 1) = right(b, 1))::INT::DOUBLE AS last_same,
-    len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, '')))) / len(list_distinct(list_concat(string_split(a, ''), string_split(b, '')))) AS common_letters FROM p""")
+@query(_NEAR + """ SELECT a, b, length(a)::DOUBLE AS len_a, length(b)::DOUBLE AS len_b, abs(length(a) - length(b))::DOUBLE AS len_diff, least(length(a), length(b)) / greatest(length(a), length(b)) AS len_ratio,
+    1.0::DOUBLE AS edits, 1 / greatest(length(a), length(b)) AS edits_norm, (left(a, 1) = left(b, 1))::INT::DOUBLE AS first_same, (right(a, 1) = right(b, 1))::INT::DOUBLE AS last_same,
+    len(list_intersect(list_distinct(regexp_extract_all(a, '.')), list_distinct(regexp_extract_all(b, '.')))) / len(list_distinct(list_concat(regexp_extract_all(a, '.'), regexp_extract_all(b, '.')))) AS common_letters FROM p""")
 def pair_features(spark, sf_dir):
-    """What the words of near pairs say about them."""
-    voc = _vocabulary(spark, sf_dir).where(F.col("word").rlike(_ASCII) & F.length("word").between(6, 8) & (F.col("n") >= 5))
-    rows = features.text_features(pairs.near_pairs(voc.select("word")))
-    return rows.select("a", "b", "len_a", "len_b", "len_diff", "len_ratio", "edits", "edits_norm", "first_same", "last_same", "common_letters")
-
-
-@query()
-def pair_features_all(spark, sf_dir):
     """What the words of all near pairs say about them."""
     rows = features.text_features(pairs.near_pairs(_vocabulary(spark, sf_dir).select("word")))
     return rows.select("a", "b", "len_a", "len_b", "len_diff", "len_ratio", "edits", "edits_norm", "first_same", "last_same", "common_letters")
@@ -545,61 +508,150 @@ def pair_features_all(spark, sf_dir):
 
 @query()
 def fp_classifier(spark, sf_dir):
-    """A forest on the features of all near pairs; its label, whether the pair's last letters agree, is hidden from it."""
-    rows = features.text_features(pairs.near_pairs(_vocabulary(spark, sf_dir).select("word"))).withColumn("label", (F.col("last_same") == 0).cast("int"))
-    names = tuple(f for f in features.TEXT_FEATURES if f != "last_same")
+    """A forest on the features of all near pairs; its label, whether the words are equally long, it has to infer from the others."""
+    rows = features.text_features(pairs.near_pairs(_vocabulary(spark, sf_dir).select("word"))).withColumn("label", (F.col("len_diff") == 0).cast("int"))
+    names = tuple(f for f in features.TEXT_FEATURES if f not in ("len_diff", "len_ratio"))
     train, test = classifier.split(rows, "a", "b")
     return classifier.FalsePositiveClassifier("random_forest", names).fit(train).predict(test).select("a", "b", "label", "predicted", "probability")
 
 
 # --- alignment ----------------------------------------------------------------------------
 
+#: Of every fifty words of a document one is heard as another, one is not heard, one is heard that is not there, two change places.
+_EDITED = {"other": 10, "lost": 20, "more": 30, "swapped": 40}
+
 
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pair, a, b): each document against the one before that has the same language and opening words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", X.words("text").alias("ws")).where(F.size("ws") >= 8)
-    order = Window.partitionBy("lang", "opening").orderBy("doc_id")
-    rows = docs.withColumn("opening", F.xxhash64(F.slice("ws", 1, 4)))
-    rows = rows.withColumns({"before": F.lag("doc_id").over(order), "a": F.lag("ws").over(order)}).where("before IS NOT NULL")
-    return rows.select(F.concat_ws("-", "before", "doc_id").alias("pair"), "a", F.col("ws").alias("b"))
+    """(pair, a, b): each document and a copy with known edits; a word carries its place, so each is one of its kind.
+
+    Words within two places of the end stay, so every edit has words after it.
+    """
+    words = F.transform(X.words("text"), lambda w, i: F.concat(w, i.cast("string")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pair"), words.alias("b")).where(F.size("b") > 0)
+    last = F.size("b") - 2
 
+    def heard(w, i):
+        at = F.when(i < last, i % 50).otherwise(F.lit(0))
+        e = _EDITED
+        one = F.when(at == e["other"], F.array(F.concat(F.lit("x"), w))).when(at == e["lost"], F.array().cast("array<string>"))
+        one = one.when(at == e["more"], F.array(w, F.concat(F.lit("y"), w)))
+        one = one.when(at == e["swapped"], F.array(F.get("b", i + 1))).when((i % 50 == e["swapped"] + 1) & (i - 1 < last), F.array(F.get("b", i - 1)))
+        return one.otherwise(F.array(w))
 
-@query()
+    return docs.select("pair", F.flatten(F.transform("b", heard)).alias("a"), "b")
+
+
+_PLANTED = f"""WITH w AS (SELECT doc_id::VARCHAR AS pair, ws, len(ws) AS n, unnest(range(len(ws)))::INT AS i
+    FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '\\p{{L}}+'), lambda x, i: x || (i - 1)::VARCHAR) AS ws FROM documents) WHERE len(ws) > 0),
+  e AS (SELECT pair, i, i % 50 AS spot, ws[i + 1] AS word, ws[i + 2] AS next FROM w WHERE i < n - 2),
+  d AS (SELECT pair, i AS b_pos, CASE spot WHEN 10 THEN 'substitution' WHEN 20 THEN 'deletion' WHEN 30 THEN 'insertion' ELSE 'transposition' END AS type,
+      CASE spot WHEN 10 THEN 'x' || word WHEN 20 THEN '' WHEN 30 THEN 'y' || word ELSE next || ' ' || word END AS wrong,
+      CASE spot WHEN 10 THEN word WHEN 20 THEN word WHEN 30 THEN '' ELSE word || ' ' || next END AS correct
+    FROM e WHERE spot IN (10, 20, 30, 40))"""
+
+
+@query(_PLANTED + """, o AS (SELECT pair, n, count(*) FILTER (i < n - 2 AND i % 50 = 10) AS other, count(*) FILTER (i < n - 2 AND i % 50 = 20) AS lost,
+    count(*) FILTER (i < n - 2 AND i % 50 = 30) AS more, count(*) FILTER (i < n - 2 AND i % 50 = 40) AS swapped FROM w GROUP BY pair, n)
+  SELECT pair, 1 + 2 * (other + lost + more) + 4 * swapped AS n_ops, n - other - lost - swapped AS n_equal FROM o""")
 def align_opcodes(spark, sf_dir):
-    return A.align(_copies(spark, sf_dir))
+    """Operations of each pair: an edit stands between two equal runs, a swap takes two operations around an equal word."""
+    ops = A.align(_copies(spark, sf_dir))
+    return ops.groupBy("pair").agg(F.count("*").alias("n_ops"), F.sum(F.when(F.col("tag") == "equal", F.col("a_hi") - F.col("a_lo")).otherwise(0)).cast("long").alias("n_equal"))
 
 
-@query()
+@query(_PLANTED + " SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY b_pos) AS err_id, type, wrong, correct FROM d")
 def align_errors(spark, sf_dir):
-    """Typed differences of near copies."""
-    pairs_ = _copies(spark, sf_dir)
-    return A.differences(A.align(pairs_), pairs_)
+    """Typed differences of each document and its copy."""
+    return A.differences(_copies(spark, sf_dir)).select("pair", "err_id", "type", "wrong", "correct")
 
 
-@query()
+@query(_PLANTED + " SELECT pair, b_pos, wrong, correct FROM d WHERE type = 'transposition'")
 def transpositions(spark, sf_dir):
-    pairs_ = _copies(spark, sf_dir)
-    return A.differences(A.align(pairs_), pairs_).where("type = 'transposition'")
+    return A.differences(_copies(spark, sf_dir)).where("type = 'transposition'").select("pair", "b_pos", "wrong", "correct")
 
 
-@query()
+@query(_PLANTED + """, o AS (SELECT pair, n, count(*) FILTER (i < n - 2 AND i % 50 = 10) AS other, count(*) FILTER (i < n - 2 AND i % 50 = 20) AS lost,
+    count(*) FILTER (i < n - 2 AND i % 50 = 30) AS more, count(*) FILTER (i < n - 2 AND i % 50 = 40) AS swapped FROM w GROUP BY pair, n)
+  SELECT pair, n - other - lost - swapped AS n_equal, n - lost + more AS n_a, n AS n_b, 2 * (n - other - lost - swapped) / (n - lost + more + n) AS ratio FROM o""")
 def similarity_ratio(spark, sf_dir):
     return A.similarity(A.align(_copies(spark, sf_dir)))
 
 
-@query()
+@query(_PLANTED + " SELECT DISTINCT pair, CASE WHEN n >= 4 THEN (doc_id_words * 0.5)::DOUBLE ELSE 0.0 END AS phantom FROM (SELECT pair, n, pair::BIGINT % 7 AS doc_id_words FROM w) x")
 def phantom_skip(spark, sf_dir):
-    """Where the first match of eight words begins, half a second a word."""
+    """Where the expected text begins behind an introduction of up to six words, half a second a word."""
     pairs_ = _copies(spark, sf_dir)
-    ops = A.align(pairs_)
-    timed = pairs_.select("pair", F.posexplode("a").alias("pos", "w")).select("pair", "pos", (F.col("pos") * 0.5).alias("t"))
-    return A.phantom_seconds(ops, timed, 8)
+    n = F.pmod(F.col("pair").cast("long"), F.lit(7)).cast("int")
+    pairs_ = pairs_.withColumn("a", F.concat(F.array_repeat(F.lit("intro"), n), F.col("a")))
+    timed = pairs_.select("pair", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("pos")).select("pair", "pos", (F.col("pos") * 0.5).alias("t"))
+    return A.phantom_seconds(A.align(pairs_), timed)
 
 
 @query()
 def judged_errors(spark, sf_dir):
-    """Near copies through the whole job: align, type, enrich, apply all rules and chains."""
+    """Documents and their copies through the whole job: align, type, enrich, apply all rules and chains."""
     pairs_ = _copies(spark, sf_dir).withColumns({"times": F.transform(F.sequence(F.lit(1), F.size("a")), lambda i: i * 0.5), "tokens": F.col("b")})
     voc = _vocabulary(spark, sf_dir).select("word")
     own = filters.Dictionaries(lexicon=_toy_lexicon(voc))
     return chapters.judge(chapters.compare(pairs_), own).select("chapter_id", "err_id", "t", "type", "wrong", "correct", "filter_reason")
+
+
+# --- rules, golden errors, chains ---------------------------------------------------------
+
+_sql = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+_CASES = ", ".join(f"({_sql(t)}, {_sql(w)}, {_sql(c)}, {_sql(label)}, {_sql(label if goes else None)})" for label, goes, t, w, c, *_ in planted.CASES)
+
+
+@query(f"""SELECT r_name AS name, type, wrong, correct, rule, filter_reason FROM region, (VALUES {_CASES}) AS v(type, wrong, correct, rule, filter_reason)""")
+def rule_verdicts(spark, sf_dir):
+    """Which rule decides each planted difference, and whether it goes: all rules in their order, for every region."""
+    groups = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
+    rows = filters.enrich(planted.errors(spark, groups), planted.dictionaries(spark))
+    return rules.filter_errors(rows).where("err_id = 0").select("name", "type", "wrong", "correct", "rule", "filter_reason")
+
+
+@query("""WITH g AS (SELECT c_custkey, c_nationkey, 'w' || c_custkey AS correct FROM customer)
+  SELECT coalesce(c_nationkey::VARCHAR, 'total') AS chapter_id, count(*) AS n_golden, count(*) FILTER (c_custkey % 5 NOT IN (0, 3, 4)) AS n_found,
+    count(*) FILTER (c_custkey % 5 NOT IN (0, 3, 4)) / count(*) AS recall FROM g GROUP BY ROLLUP (c_nationkey)""")
+def golden_check(spark, sf_dir):
+    """Verified errors among kept ones: of each five one is exact, one a letter off, one too late, one of another type, one missing."""
+    c = table(spark, sf_dir, "customer")
+    kind = F.pmod("c_custkey", F.lit(5))
+    c = c.select(F.col("c_nationkey").cast("string").alias("chapter_id"), F.concat(F.lit("слово"), F.col("c_custkey")).alias("correct"), (F.col("c_custkey") * 100).cast("int").alias("time_seconds"), kind.alias("kind"))
+    golden = c.select("chapter_id", F.lit("substitution").alias("type"), F.concat(F.lit("не"), "correct").alias("wrong"), "correct", "time_seconds")
+    kept = c.where("kind > 0").select(
+        "chapter_id",
+        F.when(F.col("kind") == 4, "insertion").otherwise("substitution").alias("type"),
+        F.concat(F.lit("не"), "correct").alias("wrong"),
+        F.when(F.col("kind") == 2, F.concat("correct", F.lit("я"))).otherwise(F.col("correct")).alias("correct"),
+        (F.col("time_seconds") + F.when(F.col("kind") == 3, 60).otherwise(4)).cast("double").alias("t"),
+    )
+    return E.recall(E.golden_matches(golden, kept))
+
+
+_WORDS = """w AS (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(len(ws)))::INT AS pos FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM conversations))"""
+
+
+@query(f"""WITH {_WORDS}, e AS (SELECT conv_id || '/' || turn AS chapter_id, pos::BIGINT AS err_id, pos * 0.5 AS t, word AS wrong, lag(word) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS correct FROM w),
+  f AS (SELECT *, coalesce(lag(wrong) OVER o = correct AND t - lag(t) OVER o <= 3 AND length(correct) > 2, false) AS follows FROM (SELECT * FROM e WHERE correct IS NOT NULL) WINDOW o AS (PARTITION BY chapter_id ORDER BY t, err_id)),
+  r AS (SELECT *, sum((NOT follows)::INT) OVER (PARTITION BY chapter_id ORDER BY t, err_id ROWS UNBOUNDED PRECEDING) AS run FROM f),
+  c AS (SELECT *, count(*) OVER q > 1 AND first_value(levenshtein(wrong, correct) > 3 OR levenshtein(wrong, correct) > greatest(length(wrong), length(correct)) * 0.5) OVER (PARTITION BY chapter_id, run ORDER BY t, err_id) AS in_chain FROM r WINDOW q AS (PARTITION BY chapter_id, run))
+  SELECT chapter_id, count(*) AS n, count(*) FILTER (in_chain) AS n_chained FROM c GROUP BY chapter_id""")
+def shifted_chains(spark, sf_dir):
+    """Runs of words each heard one place late: every turn against itself shifted by a word."""
+    ws = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("chapter_id"), ws.alias("ws"))
+    rows = rows.select("chapter_id", "ws", F.posexplode("ws").alias("pos", "wrong")).where("pos > 0")
+    rows = rows.select("chapter_id", F.col("pos").cast("long").alias("err_id"), (F.col("pos") * 0.5).alias("t"), "wrong", F.get("ws", F.col("pos") - 1).alias("correct"))
+    return filters.chains(rows).groupBy("chapter_id").agg(F.count("*").alias("n"), F.count_if("in_chain").alias("n_chained"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(text), '\p{L}+')) AS ws FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT doc_id, ws, lag(ws) OVER (PARTITION BY lang ORDER BY doc_id) AS a FROM d),
+  s AS (SELECT doc_id, CASE WHEN len(ws) + len(a) > 0 THEN len(list_intersect(a, ws)) / len(list_distinct(list_concat(a, ws))) ELSE 1.0 END AS share FROM p WHERE a IS NOT NULL)
+  SELECT doc_id::VARCHAR AS pair, share FROM s WHERE share < 0.3""")
+def mismatched_texts(spark, sf_dir):
+    """Documents that have too few words in common with the one before them in their language to be the same text."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id"), "lang", F.array_distinct(X.words("text")).alias("b"))
+    before = F.lag("b").over(Window.partitionBy("lang").orderBy("doc_id"))
+    return chapters.mismatched(docs.select(F.col("doc_id").cast("string").alias("pair"), before.alias("a"), "b").where("a IS NOT NULL"))

@@ -20,19 +20,19 @@ def rebuilt(a, b, ops):
 
 
 @settings(max_examples=300, deadline=None)
-@given(WORDS, WORDS, st.sampled_from([0, 10**6]))
-def test_opcodes_turn_one_side_into_the_other(a, b, cut):
-    assert rebuilt(a, b, A.opcodes_of(a, b, cut)) == (b, a)
+@given(WORDS, WORDS)
+def test_opcodes_turn_one_side_into_the_other(a, b):
+    assert rebuilt(a, b, A.opcodes_of(a, b)) == (b, a)
 
 
-def test_anchored_alignment_of_long_texts():
+def test_long_texts_are_aligned_as_short_ones_are():
+    """Longer than any former limit: no cut at anchors, so edits are told as in a short pair."""
     rng = random.Random(1)
-    a = [f"w{rng.randrange(3000)}" for _ in range(6000)]
+    a = [f"w{rng.randrange(9000)}" for _ in range(24_000)]
     b = [w if rng.random() > 0.02 else "x" for w in a]
-    ops = A.opcodes_of(a, b, cut_above=1000)
+    ops = A.opcodes_of(a, b)
     assert rebuilt(a, b, ops) == (b, a)
-    equal = sum(j - i for tag, i, j, _, _ in ops if tag == "equal")
-    assert equal > 0.97 * sum(x == y for x, y in zip(a, b, strict=True))
+    assert sum(j - i for tag, i, j, _, _ in ops if tag == "equal") == sum(x == y for x, y in zip(a, b, strict=True))
 
 
 def frame(spark, *pairs):
@@ -41,7 +41,7 @@ def frame(spark, *pairs):
 
 def errors(spark, heard, expected):
     pairs = frame(spark, (heard, expected))
-    rows = A.differences(A.align(pairs), pairs).orderBy("err_id").collect()
+    rows = A.differences(pairs).orderBy("err_id").collect()
     return [(r["type"], r["wrong"], r["correct"]) for r in rows]
 
 
@@ -61,7 +61,7 @@ def test_every_differing_word_is_told_once(spark):
     pairs = [(" ".join(rng.choices("abcdef", k=rng.randrange(30))), " ".join(rng.choices("abcdef", k=rng.randrange(30)))) for _ in range(40)]
     df = frame(spark, *pairs)
     ops = A.align(df)
-    rows = A.differences(ops, df).groupBy("pair").agg(
+    rows = A.differences(df).groupBy("pair").agg(
         F.sum(F.when(F.col("type") == "transposition", 1).otherwise((F.col("wrong") != "").cast("int"))).alias("w"),
         F.sum(F.when(F.col("type") == "transposition", 1).otherwise((F.col("correct") != "").cast("int"))).alias("c"),
     )
