@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatura.llm.common import hash_sample, names_beside
+from collatura.llm.common import hash_sample, names_beside, slices
 
 #: Rows the scorer is fitted on at most (chosen by hash), and its hash buckets.
 FIT_ROWS, BUCKETS = 8_000, 1 << 18
@@ -90,6 +90,8 @@ LABELLERS = ("words", "symbols", "capitals", "bars", "distinct", "runs", "lines"
 
 #: How a labeller that votes does so before data speak, by class (bad, good) and vote (0, 1): a bad vote on good text is rare.
 PRIOR = ((0.15, 0.85), (0.002, 0.998))
+#: Texts that the prior on rates weighs as much as, whatever the number of texts; share of the sample that calibrates the scorer.
+PRIOR_ROWS, CALIBRATE = 1_000, 5
 
 
 def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray, float]:
@@ -97,8 +99,8 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, flo
 
     Expectation-maximisation with labellers independent given the class; no
     vote says nothing.  Each labeller knows one fault, so the classes are told
-    apart by the prior on rates, which weighs as much as all texts; without it
-    the commonest fault would become a class of its own.
+    apart by where the iteration starts and by a prior on rates, which weighs
+    as much as PRIOR_ROWS texts, so on more texts the data outvote it.
     """
     order = sorted(patterns)
     n = np.array([patterns[p] for p in order], float)
@@ -108,7 +110,7 @@ def estimate(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, flo
     for _ in range(rounds):
         weight = np.stack([(1 - good) * n, good * n])
         prior = (weight[1].sum() + 1) / (n.sum() + 2)
-        held = np.array(PRIOR)[:, None, :] * (n.sum() + 1) * np.array([[[1 - prior]], [[prior]]])
+        held = np.array(PRIOR)[:, None, :] * PRIOR_ROWS * np.array([[[1 - prior]], [[prior]]])
         rates = np.einsum("cp,plv->clv", weight, hot) + held
         rates /= rates.sum(axis=2, keepdims=True)
         log = np.einsum("plv,clv->cp", hot, np.log(rates)) + np.log([[1 - prior], [prior]])
@@ -145,12 +147,31 @@ def linear(rows: list[np.ndarray], y: np.ndarray, size: int, l2: float = 1.0, st
     return out, float(b)
 
 
+def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of raw scores of rows that the scorer has not seen: the split at 0 agrees best with the weak labels.
+
+    With rows of one class alone, or none, scores stay as they are.
+    """
+    good = y >= 0.5
+    if not len(z) or good.all() or not good.any():
+        return 1.0, 0.0
+    order = np.argsort(z, kind="stable")
+    z, good = z[order], good[order]
+    right = np.concatenate([[good.sum()], good.sum() + np.cumsum(np.where(good, -1, 1))])  # below a cut: bad
+    best = np.flatnonzero(right == right.max())
+    k = int(best[len(best) // 2])
+    cut = z[0] - 1 if k == 0 else z[-1] + 1 if k == len(z) else (z[k - 1] + z[k]) / 2
+    spread = np.abs(z - cut)[np.abs(z - cut) > 0]
+    slope = float(np.clip(2 / np.median(spread), 0.1, 10)) if len(spread) else 1.0
+    return slope, -slope * float(cut)
+
+
 def fit(docs: DataFrame) -> Model:
     """Votes of all texts by pattern (at most 3^9 patterns reach the driver), then the scorer on a bounded sample."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             n.update(votes(t or "") for t in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["votes", "n"])
 
@@ -159,7 +180,7 @@ def fit(docs: DataFrame) -> Model:
     posterior, _, _ = estimate({r["votes"]: r["n"] for r in found}) if found else ({}, None, 0.5)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([votes(t) for t in rows], pa.string()), pa.array([sorted(features(t)) for t in rows], pa.list_(pa.int32()))], names=["votes", "f"])
 
@@ -167,8 +188,13 @@ def fit(docs: DataFrame) -> Model:
     sample = hash_sample(keyed, "mix", FIT_ROWS).select("text")
     rows = sample.mapInArrow(sampled, "votes string, f array<int>").toPandas()
     y = np.array([posterior[v] for v in rows["votes"]])
-    w, b = linear([np.asarray(x, np.int64) for x in rows["f"]], y, BUCKETS)
-    return Model(posterior, w, b)
+    order = sorted(range(len(y)), key=lambda k: (tuple(rows["f"][k]), y[k]))  # reruns agree whatever the order of tasks
+    sets, y = [np.asarray(rows["f"][k], np.int64) for k in order], y[order]
+    apart = np.arange(len(y)) % CALIBRATE == 0
+    w, b = linear([x for x, out in zip(sets, apart, strict=True) if not out], y[~apart], BUCKETS)
+    z = np.array([w[x].astype(float).sum() / np.sqrt(max(1, len(x))) + b for x, out in zip(sets, apart, strict=True) if out])
+    slope, shift = calibrate(z, y[apart])
+    return Model(posterior, w * np.float32(slope), slope * b + shift)
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -184,7 +210,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             v, p, s = [], [], []
             for text in batch.column(1).to_pylist():
                 vote = votes(text or "")

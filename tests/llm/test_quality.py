@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from collatura.llm import quality
 
 GOOD = ["The cat sat on the mat and looked at {} birds.", "Rain fell over {} hills all night, and by morning it was calm.", "She wrote a letter to {} friends, then went out for a walk."]
@@ -55,3 +57,48 @@ def test_odd_rows(spark):
     assert len(got) == 7 and len({r["score"] for r in got if r["doc_id"] in (1, 2)}) == 1
     assert quality.quality(spark.createDataFrame([], schema)).count() == 0
     assert quality.quality(spark.createDataFrame([(1, None, 0.0)], schema)).count() == 1
+
+
+def test_query_against_plain_statistics_and_labels(spark):
+    """Votes, posteriors and scores by plain loops over whole texts, and accuracy on labels that nothing learned from."""
+    from collections import Counter
+    from pathlib import Path
+
+    import pytest
+
+    from collatura.llm.queries import op5_quality
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    posterior, _, _ = quality.estimate(Counter(quality.votes(t) for t in texts.values()))
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = {r["doc_id"]: r for r in op5_quality(spark, folder).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        assert got[i]["votes"] == quality.votes(t) and got[i]["posterior"] == pytest.approx(posterior[got[i]["votes"]])
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+    right = [got[i]["predicted"] == y for i, y in labels.items()]
+    weak = [(got[i]["posterior"] >= 0.5) == y for i, y in labels.items()]
+    assert sum(right) / len(right) > 0.9 and sum(weak) / len(weak) > 0.9
+
+
+def test_prior_is_outvoted_by_data():
+    """The estimate on many texts is that of their shares, not of the prior; on few it keeps near the prior."""
+    shares = {"1" * 9: 800, "0" + "1" * 8: 120, "00" + "1" * 7: 60, "1" * 8 + "0": 20}
+    few, many = ({k: n * scale for k, n in shares.items()} for scale in (1, 1000))
+    _, a, _ = quality.estimate(few)
+    _, b, _ = quality.estimate(many)
+    bad = np.array(quality.PRIOR)[0, 0]
+    assert abs(a[0, 0, 0] - bad) < abs(b[0, 0, 0] - bad)
+
+
+def test_calibration_finds_the_best_cut():
+    rng = np.random.default_rng(3)
+    z = rng.normal(2, 1, 500)
+    y = (z + rng.normal(0, 0.3, 500) > 1.2).astype(float)
+    slope, shift = quality.calibrate(z, y)
+    best = max(np.mean((z > c) == (y > 0.5)) for c in np.linspace(-1, 4, 200))
+    assert slope > 0 and np.mean((slope * z + shift > 0) == (y > 0.5)) >= best - 1e-9
+    assert quality.calibrate(z, np.ones(500)) == (1.0, 0.0) == quality.calibrate(z[:0], y[:0])
