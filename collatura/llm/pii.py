@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -11,9 +12,9 @@ from datetime import date
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from collatura.llm.common import names_beside
+from collatura.llm.common import names_beside, slices
 
-KINDS = ("email", "phone", "card", "iban", "ssn", "ipv4", "date")
+KINDS = ("email", "phone", "card", "iban", "ssn", "ipv4", "ipv6", "date")
 ROUNDS = 10
 
 
@@ -81,14 +82,27 @@ def _classes(text: str, key: bytes, tweak: bytes, back: bool) -> str:
 
 
 def email(text: str, key: bytes, back: bool) -> str | None:
+    """The part before the sign, and the domain but for its last label, so that domains stay linked too."""
     local, at, domain = text.rpartition("@")
-    return _classes(local, key, b"email", back) + at + domain
+    own, dot, top = domain.rpartition(".")
+    return _classes(local, key, b"email", back) + at + _classes(own, key, b"domain", back) + dot + top
 
 
 def phone(text: str, key: bytes, back: bool) -> str | None:
+    """The country's code, or the zero that stands for it, stays: the digits up to the first separator after a plus, or two."""
     digits = _digits(text)
-    code, own = digits[:-10], digits[-10:]
-    return _like(text, code + f"{permute(int(own), 10**10, key, b'phone', back):010d}")
+    if text[0] == "+":
+        first = re.match(r"\+([0-9]+)", text)[1]
+        code = first if len(first) <= 3 else first[:2]
+    else:
+        code = "0" if digits[0] == "0" and len(digits) != 10 or _FRENCH.fullmatch(text) else ""
+    own = digits[len(code) :]
+    if not 7 <= len(own) <= 14 or len(digits) > 15:
+        return None
+    return _like(text, code + f"{permute(int(own), 10 ** len(own), key, b'phone%d' % len(own), back):0{len(own)}d}")
+
+
+_FRENCH = re.compile(r"0[0-9](?:[ .\-][0-9]{2}){4}")
 
 
 def card(text: str, key: bytes, back: bool) -> str | None:
@@ -132,6 +146,17 @@ def ipv4(text: str, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def ipv6(text: str, key: bytes, back: bool) -> str | None:
+    """Written in its short form, whichever one it came in, so all spellings of an address stay linked."""
+    try:
+        address = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    if len(re.sub("[^0-9a-fA-F]", "", text)) < 3:
+        return None
+    return str(ipaddress.IPv6Address(permute(int(address), 1 << 128, key, b"ipv6", back)))
+
+
 _FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
@@ -143,8 +168,60 @@ def _date(y: str, m: str, d: str) -> date | None:
     return made if _FIRST <= made.toordinal() <= _LAST else None
 
 
+#: Names of the months (fixed values): English, German, French, Spanish.
+MONTHS = {
+    "en": ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"),
+    "de": ("januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"),
+    "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+}
+_MONTH = "|".join(sorted({m for names in MONTHS.values() for m in names}, key=len, reverse=True))
+_WRITTEN = re.compile(rf"(?P<d>[0-9]{{1,2}})(?P<x>\.? |\.?er | de )(?P<m>(?i:{_MONTH}))(?P<z> | de |, )(?P<y>[0-9]{{4}})|(?P<m2>(?i:{_MONTH}))(?P<x2> )(?P<d2>[0-9]{{1,2}})(?P<z2>,? )(?P<y2>[0-9]{{4}})")
+
+
+def _walk(found: date, key: bytes, tweak: bytes, back: bool, fits: Callable[[date], bool]) -> date:
+    """The permuted day; permuted again until it is one that can be written as the first was."""
+    x = found.toordinal()
+    while True:
+        x = _FIRST + permute(x - _FIRST, _LAST - _FIRST + 1, key, tweak, back)
+        if fits(made := date.fromordinal(x)):
+            return made
+
+
+def _written(text: str, key: bytes, back: bool) -> str | None:
+    """A day with its month's name: language, order, capitals and number of digits stay.
+
+    A name that several languages share counts as the first one's that fits the
+    words around it.
+    """
+    m = _WRITTEN.fullmatch(text)
+    if m is None:
+        return None
+    late = m["m"] is None
+    d, name, y, before, after = (m[k + "2" * late] for k in ("d", "m", "y", "x", "z"))
+    tongues = [t for t, names in MONTHS.items() if name.lower() in names]
+    tongue = next((t for t in tongues if (t == "es") == (" de " in (before, after)) and (t == "de") == before.startswith(".")), tongues[0])
+    names = MONTHS[tongue]
+    if (found := _date(y, str(names.index(name.lower()) + 1), d)) is None:
+        return None
+    wide = len(d) == 2 and d[0] == "0"
+    short = lambda x: f"{x:02d}" if wide else str(x)
+    shared = [k for k, n in enumerate(names) if next((t for t in (t for t, all_ in MONTHS.items() if n in all_) if (t == "es") == (" de " in (before, after)) and (t == "de") == before.startswith(".")), next(t for t, all_ in MONTHS.items() if n in all_)) == tongue]
+    fits = lambda x: (x.day < 10 if wide else len(str(x.day)) == len(d)) and x.month - 1 in shared
+    made = _walk(found, key, b"written" + tongue.encode(), back, fits)
+    month = names[made.month - 1]
+    month = month.upper() if name.isupper() else month.capitalize() if name[0].isupper() else month
+    return f"{month}{before}{short(made.day)}{after}{made.year:04d}" if late else f"{short(made.day)}{before}{month}{after}{made.year:04d}"
+
+
 def day(text: str, key: bytes, back: bool) -> str | None:
-    """Years first, days first, or (where a days-first reading is no date) months first; from 1900 to 2099."""
+    """Years first, days first, or (where a days-first reading is no date) months first; from 1900 to 2099.
+
+    Where a day or month has one digit, numbers are written without zeros and
+    keep their numbers of digits.
+    """
+    if any(c.isalpha() for c in text):
+        return _written(text, key, back)
     sep = "-" if "-" in text else "/" if "/" in text else "."
     a, b, c = text.split(sep)
     orders = ("ymd",) if len(a) == 4 else ("dmy", "mdy")
@@ -152,13 +229,13 @@ def day(text: str, key: bytes, back: bool) -> str | None:
         part = dict(zip(order, (a, b, c), strict=True))
         if (found := _date(part["y"], part["m"], part["d"])) is None:
             continue
-        x = found.toordinal()
-        while True:  # months first stays among dates that no days-first reading has
-            x = _FIRST + permute(x - _FIRST, _LAST - _FIRST + 1, key, b"date" + order.encode(), back)
-            if order != "mdy" or date.fromordinal(x).day > 12:
-                break
-        made = date.fromordinal(x)
-        texts = {"y": f"{made.year:04d}", "m": f"{made.month:02d}", "d": f"{made.day:02d}"}
+        bare = 1 in (len(part["m"]), len(part["d"]))
+        if bare and "0" in (part["m"][0], part["d"][0]):
+            return None
+        # Months first stays among dates that no days-first reading has.
+        fits = lambda x: (order != "mdy" or x.day > 12) and (not bare or (len(str(x.month)), len(str(x.day))) == (len(part["m"]), len(part["d"])))  # noqa: B023, E731
+        made = _walk(found, key, b"date" + order.encode(), back, fits)
+        texts = {"y": f"{made.year:04d}", "m": str(made.month) if bare else f"{made.month:02d}", "d": str(made.day) if bare else f"{made.day:02d}"}
         return sep.join(texts[k] for k in order)
     return None
 
@@ -166,9 +243,14 @@ def day(text: str, key: bytes, back: bool) -> str | None:
 _RULES: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "email": (r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9])", email),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
-    "phone": (r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])", phone),
+    "ipv6": (r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9])", ipv6),
+    "phone": (
+        r"(?<![0-9A-Za-z])(?:(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
+        r"|\+[1-9][0-9]{0,2}(?:[ .\-/]?\(?[0-9]{1,6}\)?){2,6}|\+[1-9][0-9]{8,14}|0[0-9](?:[ .\-][0-9]{2}){4})(?![0-9A-Za-z])",
+        phone,
+    ),
     "ssn": (r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])", ssn),
-    "date": (r"(?<![0-9A-Za-z\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}([\-/.])[0-9]{2}\1[0-9]{4})(?![0-9A-Za-z\-/]|\.[0-9])", day),
+    "date": (r"(?<![0-9A-Za-z\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}([\-/.])[0-9]{1,2}\1[0-9]{4}|" + _WRITTEN.pattern.replace("?P<", "?P<w_") + r")(?![0-9A-Za-z\-/]|\.[0-9])", day),
     "ipv4": (r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", ipv4),
     "card": (r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])", card),
 }
@@ -200,10 +282,11 @@ class Pseudonyms:
             return text, counts
 
         def one(m: re.Match) -> str:
-            made = self.value(m.lastgroup if m.lastgroup != "sep" else "date", m[0])
+            kind = next(k for k in KINDS if m[k] is not None)
+            made = self.value(kind, m[0])
             if made is None:
                 return m[0]
-            counts[m.lastgroup if m.lastgroup != "sep" else "date"] += 1
+            counts[kind] += 1
             return made
 
         return _ONE.sub(one, text), counts
@@ -223,7 +306,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pseudonyms(key)
-        for batch in batches:
+        for batch in slices(batches):
             texts, found = [], []
             for text in batch.column(1).to_pylist():
                 made, n = own.text(text or "")
