@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatura.llm.common import Scratch, map_batches, names_beside
+from collatura.llm.common import Scratch, map_batches, names_beside, slices
 
 #: Bytes of benchmark text searched for in one pass; more text takes more passes.
-PASS_BYTES = 16_000_000
+#: A worker's tables take some 125 bytes for each, so 125 MB.
+PASS_BYTES = 1_000_000
 
 #: Lower-cases A-Z and turns every ASCII byte but letters and digits into a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -111,17 +116,36 @@ _SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,stop:long>>,
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
-def _blocks(benchmark: DataFrame, most: int) -> list[list]:
-    """The benchmark's rows in blocks of at most ``most`` bytes (one longer row is a block), read one by one."""
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[list]:
+    """The benchmark's rows in blocks of at most ``most`` bytes (one longer row is a block), one block at a time."""
     text = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string"), F.encode("text", "UTF-8"))
-    blocks, size = [[]], 0
+    block, size = [], 0
     for item, body in text.toLocalIterator():
+        if block and size + len(body) > most:
+            yield block
+            block, size = [], 0
         size += len(body)
-        if blocks[-1] and size > most:
-            blocks.append([])
-            size = len(body)
-        blocks[-1].append((item, bytes(body)))
-    return blocks
+        block.append((item, bytes(body)))
+    yield block
+
+
+def _first_blocks(benchmark: DataFrame, most: int) -> tuple[list, Iterator[list] | None]:
+    """The first block, and the iterator over all blocks if there are more."""
+    blocks = _blocks(benchmark, most)
+    first = next(blocks)
+    second = next(blocks, None)
+    return first, None if second is None else chain([first, second], blocks)
+
+
+_TABLES: dict[tuple[str, int], tuple] = {}
+
+
+def _searchers(block: Broadcast, name: str, size: int) -> tuple[list[WuManber], dict[tuple[bytes, ...], list[str]]]:
+    """A block's tables, made once a worker; only those of the last block are kept."""
+    if (name, size) not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name, size] = searchers(block.value, size)
+    return _TABLES[name, size]
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 8, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -135,14 +159,14 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 8, pass_bytes
     repeated rows each give a row.
     """
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, pass_bytes)
+    first, blocks = _first_blocks(benchmark, pass_bytes)
 
     def one(rows: DataFrame, block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, owners = searchers(sent.value, size)
-            for batch in batches:
+            found, owners = _searchers(sent, name, size)
+            for batch in slices(batches):
                 out = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary() if batch.column(1).type == pa.string() else pa.large_binary()), strict=True):
                     words = words_of(text.as_py())
@@ -152,16 +176,17 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 8, pass_bytes
 
         return map_batches(names_beside(rows, "doc_id", "text"), run, _SCHEMA)
 
-    if len(blocks) == 1:
-        return one(docs, blocks[0])
+    if blocks is None:
+        return one(docs, first)
     # Rows get a number that is written first, so each pass sees the same one.
     scratch = Scratch(spark, "decontaminate")
     rows = scratch.table(names_beside(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
     numbered = rows.select(F.col("row").alias("doc_id"), "text")
-    parts = None
-    for block in blocks:
-        part = one(numbered, block)
-        parts = part if parts is None else parts.unionByName(part)
+    parts = []
+    for block in blocks:  # each is searched for before the next one is read
+        parts.append(scratch.table(one(numbered, block), f"pass{len(parts)}"))
+    names = [f"pass{k}" for k in range(len(parts))]
+    parts = reduce(DataFrame.unionByName, parts)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +198,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 8, pass_bytes
 
     whole = parts.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
     whole = whole.select("doc_id", "n_words", "spans", "items").mapInArrow(merge, _SCHEMA).withColumnRenamed("doc_id", "row")
-    return scratch.finish(rows.select("doc_id", "row").join(whole, "row").select("doc_id", "n_words", "spans", "items"), "rows")
+    return scratch.finish(rows.select("doc_id", "row").join(whole, "row").select("doc_id", "n_words", "spans", "items"), "rows", *names)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: int = 2, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -198,16 +223,19 @@ def reject(docs: DataFrame, benchmark: DataFrame, size: int = 8, least_items: in
     """The rows of ``docs``, columns as they are, in which fewer than ``least_items`` items occur.
 
     One block of test strings filters rows as they are read.  More blocks
-    decide by (doc_id, text hash) first, which equal rows share.
+    decide by (doc_id, text hash) first, which equal rows share.  A null or
+    empty text holds no item and stays, as do repeated rows; items without an
+    id or words occur nowhere; texts of any length are searched whole, and an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, pass_bytes)
-    if len(blocks) == 1:
-        sent = spark.sparkContext.broadcast(blocks[0])
+    first, blocks = _first_blocks(benchmark, pass_bytes)
+    if blocks is None:
+        sent, name = spark.sparkContext.broadcast(first), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, owners = searchers(sent.value, size)
-            for batch in batches:
+            found, owners = _searchers(sent, name, size)
+            for batch in slices(batches):
                 column = batch.column("text")
                 texts = column.cast(pa.binary() if column.type == pa.string() else pa.large_binary())
                 keep = [len(scan(words_of(t.as_py()), found, owners)[1]) < least_items for t in texts]
