@@ -14,6 +14,8 @@ from collatura.llm.components import connected_components, forest
 
 #: Vectors of a tile, rows the centres are fitted on at most, and standard errors within which a pair is recomputed.
 TILE, FIT_ROWS, ERRORS = 4096, 20_000, 4.0
+#: Bytes of the sample that reaches the driver, whatever the length of a vector.
+FIT_BYTES = 32 << 20
 
 
 def rotation(dim: int, seed: int = 20) -> np.ndarray:
@@ -156,7 +158,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, tile: int = TILE,
     Vectors of one length are linked at a cosine of ``least`` or more, in
     double precision; equal directions form one class first, so that a group of
     copies costs one row.  Classes are dealt to cells around centres (fitted on
-    at most FIT_ROWS classes), cells to tiles.  By the triangle inequality of
+    at most FIT_ROWS classes and FIT_BYTES), cells to tiles.  By the triangle inequality of
     angles, two cells whose centres are further apart than their radii and the
     angle sought hold no link and are skipped; in the other pairs of tiles a
     code's estimate decides, within ``errors`` standard errors, which pairs are
@@ -177,7 +179,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, tile: int = TILE,
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # a row a length of vector
     centres = {}
     for dim, n in sizes.items():
-        sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("unit"), "unit").limit(FIT_ROWS).select("unit").collect()
+        sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("unit"), "unit").limit(min(FIT_ROWS, max(1, FIT_BYTES // (8 * dim)))).select("unit").collect()
         sample = np.frombuffer(b"".join(r["unit"] for r in sample), np.float64).reshape(-1, dim)
         centres[dim] = centres_of(sample, int(max(1, min(1024, n // tile, len(sample)))))
     sent = spark.sparkContext.broadcast(centres)

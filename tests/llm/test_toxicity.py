@@ -162,3 +162,63 @@ def test_memory_of_tokens_keeps_its_bound(monkeypatch):
         text = f"w{k} common tes{k % 7}t " + "long" * 20
         assert own.features(text) == toxicity.Restorer(own.model).features(text)
         assert len(own.known) + len(own.older) <= 21 and all(len(x) <= toxicity.LONG for x in own.known)
+
+
+def plain_readings(token, model):
+    """Viterbi over every character and all states, with no shortcuts."""
+    states = {(0, 0, ""): (0.0, "")}
+    for i, ch in enumerate(token):
+        new = {}
+        for (a, b, last), (value, out) in states.items():
+            for letter, cost in toxicity._arcs(ch, i > 0 and ch == token[i - 1]):
+                c = int(toxicity.symbols(letter)[0]) if letter else 0
+                key, better = ((b, c, letter), (value - cost + float(model[a, b, c]), out + letter)) if letter else ((a, b, last), (value - cost, out))
+                if key not in new or new[key][0] < better[0]:
+                    new[key] = better
+        states = new
+    ended = sorted(((v + float(model[a, b, 0]), out) for (a, b, _), (v, out) in states.items() if out), reverse=True)
+    return list(dict.fromkeys(out for _, out in ended))
+
+
+def test_scores_equal_plain_ones_and_hold_on_held_out_labels(spark):
+    """Every token of every whole text decoded without shortcuts, memory or masks."""
+    from collatura.llm.queries import op4_toxicity
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    table, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(table, labels)
+    got = {r["doc_id"]: r["score"] for r in op4_toxicity(spark, folder).collect()}
+    known = {}
+
+    def buckets(token):
+        if token not in known:
+            words = toxicity._WORD.findall(token) + plain_readings(token, model.language)[: toxicity.READINGS]
+            known[token] = {b for w in words for b in toxicity.buckets_of(w)}
+        return known[token]
+
+    spaced = toxicity.Restorer(model.language)
+    for r in table.collect():
+        text = (r["text"] or "").lower()
+        found = set().union(*map(buckets, set(text.split()))) if text.split() else set()
+        for x in set(toxicity._SPACED.findall(text)):
+            joined = "".join(c for c in x if c not in " .-_*")
+            for part in (joined, joined[1:], joined[:-1]):
+                found |= set(spaced._buckets(toxicity.decode(part, model.language, 2)))
+        z = model.bias + sum(model.weights.get(b, 0.0) for b in found)
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-6, r["doc_id"]
+
+
+def test_held_out_labels_of_the_tables(spark):
+    from collatura.llm.queries import op4_toxicity
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [(r["score"], toxic[r["doc_id"]]) for r in op4_toxicity(spark, folder).collect() if r["held_out"] and r["doc_id"] in toxic]
+    bad, good = [s for s, y in rows if y], [s for s, y in rows if not y]
+    assert len(bad) >= 3 and len(good) > 30
+    assert sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / len(bad) / len(good) > 0.9
+    assert sum(s >= 0.5 for s in good) / len(good) < 0.05 and sum(s >= 0.5 for s in bad) / len(bad) >= 0.5
