@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import pickle
 import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, islice
 from typing import BinaryIO
 
 import numpy as np
@@ -21,8 +23,9 @@ from tokenizers import Tokenizer
 
 from collatura.llm.common import map_batches, names_beside, shared_dir, slices
 
-#: Ids in a block, the share of them that fits the block's width, and how many pieces an encoder remembers (some 40 MB, none longer than LONG).
-BLOCK, FITS, REMEMBERED, LONG = 4096, 0.9, 240_000, 40
+#: Ids in a block, the share of them that fits the block's width, and how many pieces an encoder remembers (some 210 bytes each, so 210 MB a worker;
+#: none longer than LONG).
+BLOCK, FITS, REMEMBERED, LONG = 4096, 0.9, 1_000_000, 40
 MAGIC = b"PFORIDS1"
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -31,6 +34,10 @@ _PLAIN = re.compile(rf"[!-~\n{_LETTERS[6:]}]+\Z")
 _CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 
 
+#: Marks that end a word and begin no contraction, and the last of the letters above.
+_TAIL, _LAST = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "ɏ"
+
+
 def _byte_letters() -> dict[int, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,7 +58,7 @@ class Encoder:
     """
 
     def __init__(self, spec: str, remember: int = REMEMBERED):
-        self.whole, self.remember = Tokenizer.from_str(spec), remember
+        self.whole, self.most = Tokenizer.from_str(spec), remember // 2
         self.model = self.whole.model
         rule = json.loads(spec)
         cut = rule.get("pre_tokenizer") or {}
@@ -60,6 +67,7 @@ class Encoder:
         self.added = [x["content"] for x in rule.get("added_tokens", [])]
         self.letters = _byte_letters()
         self.space = chr(self.letters[ord(" ")])
+        self.bytes_of = [k.to_bytes(4, "little") for k in range(max(self.whole.get_vocab().values(), default=0) + 1)]
         self.pieces: dict[str, bytes] = {}  # by the piece without the space before it; never a blank one, which is awkward
         self.others: dict[str, bytes] = {}  # cuts without a space before them
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # both, of the generation before
@@ -77,12 +85,13 @@ class Encoder:
         return out
 
     def _ids(self, letters: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        found = self.model.tokenize(letters)
+        return self.bytes_of[found[0].id] if len(found) == 1 else b"".join([self.bytes_of[t.id] for t in found])
 
     def _keep(self, known: dict[str, bytes], key: str, out: bytes) -> None:
         if len(key) > LONG:
             return
-        if len(self.pieces) + len(self.others) >= self.remember // 2:
+        if len(self.pieces) + len(self.others) >= self.most:
             self.older, self.pieces, self.others = (self.pieces, self.others), {}, {}
             known = self.pieces if known is self.older[0] else self.others
         known[key] = out
@@ -93,6 +102,17 @@ class Encoder:
             self._keep(known, key, out)
         return out
 
+    def rest(self, most: int) -> None:
+        """Keep only the pieces met first, which are mostly the frequent ones.
+
+        They are written down and made anew when all others are gone, as a few
+        that stay where they are would hold on to all the memory around them.
+        """
+        first = lambda k: dict(islice(chain(self.older[k].items(), (self.pieces, self.others)[k].items()), most))
+        kept = pickle.dumps((first(0), first(1)))
+        self.pieces, self.others, self.older = {}, {}, ({}, {})
+        self.pieces, self.others = pickle.loads(kept)
+
     def _unit(self, unit: str) -> bytes:
         if not _PLAIN.match(unit, 1 if unit[0] == " " else 0):
             return self._all(unit)
@@ -100,12 +120,33 @@ class Encoder:
         return self._word(unit) if len(cuts) == 1 else b"".join([self._word(w) for w in cuts])
 
     def _piece(self, piece: str) -> bytes:
-        if (out := self._seen(self.pieces, piece)) is None:
-            if not piece or piece[-1].isspace():
-                raise _Awkward
-            # ASCII letters stand for themselves, so a plain word needs neither cutting nor mapping.
-            out = self._ids(self.space + piece) if piece.isascii() and piece.isalpha() else self._unit(" " + piece)
-            self._keep(self.pieces, piece, out)
+        out = self.pieces.get(piece)
+        if out is None:
+            out = self.older[0].get(piece)
+            if out is None:
+                if not piece or piece[-1].isspace():
+                    raise _Awkward
+                core = piece.rstrip(_TAIL)
+                if not core.isalpha() or (not core.isascii() and max(core) > _LAST):
+                    out = self._unit(" " + piece)
+                elif core is piece:
+                    out = self._ids(self.space + self._mapped(piece))
+                else:  # a word and what punctuation follows it are two cuts
+                    out = self._piece(core) + self._tail(piece[len(core) :])
+            if len(self.pieces) >= self.most or len(piece) > LONG:
+                self._keep(self.pieces, piece, out)
+            else:
+                self.pieces[piece] = out
+        return out
+
+    def _mapped(self, word: str) -> str:
+        """ASCII letters stand for themselves, so a plain word needs no mapping."""
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
+    def _tail(self, marks: str) -> bytes:
+        if (out := self._seen(self.others, marks)) is None:
+            out = self._ids(marks)
+            self._keep(self.others, marks, out)
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -128,15 +169,15 @@ class Encoder:
         return np.frombuffer(b"".join(out), "<u4")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(spec: str) -> Encoder:
+def encoder(spec: str, remember: int = REMEMBERED) -> Encoder:
     """One encoder a worker, so that later tasks find what earlier ones have seen."""
-    if spec not in _ENCODERS:
+    if (spec, remember) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[spec] = Encoder(spec)
-    return _ENCODERS[spec]
+        _ENCODERS[spec, remember] = Encoder(spec, remember)
+    return _ENCODERS[spec, remember]
 
 
 def pack(ids: np.ndarray, fits: float = FITS) -> bytes:
@@ -253,13 +294,14 @@ def _place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path else re.sub("^file:/*", "file:///", path))
 
 
-def write_ids(docs: DataFrame, spec: str, path: str, end_id: int = 0, files: int | None = None) -> DataFrame:
+def write_ids(docs: DataFrame, spec: str, path: str, end_id: int = 0, files: int | None = None, remember: int = REMEMBERED, kept: int | None = None) -> DataFrame:
     """Encode and write all documents; returns (file, n_docs, n_tokens) of each file, in order.
 
     Rows are dealt by ranges of doc_id (null first; equal ids by text hash, so
     that a hot id spreads over files too), sorted, and each task writes its
     range to one file under a name of its own, renamed at the end.  A task that
-    is run again writes the same bytes.
+    is run again writes the same bytes.  ``remember`` bounds the pieces that a
+    worker remembers, ``kept`` those it keeps from task to task (None: all).
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(spec)
@@ -269,7 +311,7 @@ def write_ids(docs: DataFrame, spec: str, path: str, end_id: int = 0, files: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        coder, end = encoder(sent.value), np.array([end_id], "<u4")
+        coder, end = encoder(sent.value, remember), np.array([end_id], "<u4")
         fs, base = _place(path)
         final, draft = f"{base}/ids-{part:05d}.pfor", f"{base}/.draft-{part:05d}-{attempt}"
         with fs.open_output_stream(draft) as out:
@@ -278,6 +320,8 @@ def write_ids(docs: DataFrame, spec: str, path: str, end_id: int = 0, files: int
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     writer.add(doc_id, np.concatenate([coder.encode(text.as_py() or ""), end]))
             writer.close()
+        if kept is not None:
+            coder.rest(kept)
         fs.move(draft, final)
         yield pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int32()), "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_tokens": pa.array([writer.n], pa.int64())})
 
@@ -306,17 +350,18 @@ def read_ids(spark, path: str, manifest: list) -> DataFrame:
     return map_batches(files, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, remember: int = REMEMBERED, kept: int | None = None) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order and return them as read back.
 
     ``tokenizer`` is a file of the tokenizers library.  A null text is empty:
     only the end id.  Null doc_ids come first; repeated ids each keep their
     row.  An empty table gives no rows.  ``path`` is a shared folder; unset, a
-    fresh one below ``spark.checkpoint.dir``.
+    fresh one below ``spark.checkpoint.dir``.  Texts of any length are encoded
+    whole.  ``remember`` and ``kept`` trade a worker's memory for time.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as file:
         spec = file.read()
     path = path or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    manifest = write_ids(docs, spec, path, end_id).collect()  # a row a file
+    manifest = write_ids(docs, spec, path, end_id, remember=remember, kept=kept).collect()  # a row a file
     return read_ids(spark, path, manifest)
