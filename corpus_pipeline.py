@@ -20,7 +20,11 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on the training folds of the labels, over the rows of this stage, and keep what scores below 0.5."""
+    """Fit on the training folds of the labels, over the rows of this stage, and keep what scores below 0.5.
+
+    A null text scores as an empty one; rows without a doc_id teach nothing but
+    are scored; repeated rows share a verdict; an empty table gives no rows.
+    """
     docs = _documents(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject(docs, toxicity.fit(docs, labels))
@@ -46,7 +50,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of two or more benchmark items go."""
+    """Documents that hold passages of two or more benchmark items go.
+
+    Null and empty texts and repeated rows stay; an empty table gives no rows.
+    """
     return decontaminate.reject(_documents(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -54,13 +61,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: its words of a document over the document's size, rounded.
 
     Blocks cut a few documents of each source; rounding makes them whole.
+    Texts without words do not come; a null source is a source of its own,
+    repeated rows share evenly, and an empty table gives no rows.
     """
     return mixing.take(_documents(docs))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as token files, reported as they read back."""
-    return tokens.token_files(docs, tokenizer(), end_id=0)
+    """The corpus as token files, reported as they read back.
+
+    A null or empty text is its end id alone; null doc_ids come first, repeated
+    rows each count, very long texts are encoded whole, and an empty table
+    gives no rows.  Workers that ran the other stages remember less than a
+    query of its own would.
+    """
+    return tokens.token_files(docs, tokenizer(), end_id=0, remember=400_000, kept=60_000)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
