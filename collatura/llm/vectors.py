@@ -232,7 +232,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9, tile: int = TILE,
     names = tiles.select("dim", "cell", "part")
     names2 = tiles.select("dim", F.col("cell").alias("cell2"), F.col("part").alias("part2"))
     pairs = near.join(names, ["dim", "cell"]).join(names2, ["dim", "cell2"]).where("cell < cell2 OR part <= part2")
-    pairs = scratch.table(pairs.select("dim", "cell", "part", "cell2", "part2", F.xxhash64("dim", "cell", "part", "cell2", "part2").alias("pair")), "pairs")
+    pairs = scratch.table(pairs.select("dim", "cell", "part", "cell2", "part2", F.monotonically_increasing_id().alias("pair")), "pairs")
     n_pairs = pairs.count()
     # Each pair's tiles meet in one partition as successive rows; partitions hold some eight pairs, which bounds a batch.
     first = pairs.select("dim", "cell", "part", "pair", F.lit(0).alias("side"))
