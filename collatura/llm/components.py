@@ -42,7 +42,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], root[far]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links (a, b) as a forest, contracted whenever there are EDGES_PER_TASK of them."""
     a, b = [], []
     for batch in batches:
         a.append(batch.column(0).to_numpy())
@@ -54,18 +55,19 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
 
-def connected_components(scratch: Scratch, edges: DataFrame, per_task: int = EDGES_PER_TASK) -> DataFrame:
+def connected_components(scratch: Scratch, edges: DataFrame, per_task: int = EDGES_PER_TASK, contracted: bool = False) -> DataFrame:
     """(node, component) of every node that has an edge; component is its smallest node.
 
     ``edges`` has two long columns.  Tasks first contract bounded shares of the
-    edges to forests.  Graphs of more than ``per_task`` contracted edges then go
+    edges to forests, unless the step they come from did (``contracted``), as
+    two Python steps in a row take two workers a task.  Graphs of more than ``per_task`` contracted edges then go
     through rounds of large-star and small-star operations, each written to the
     shared folder; hubs are only ever aggregated (map-side first) and joined.
     Null ends and self-links are dropped; no edges give no rows.
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    edges = scratch.table(edges.mapInArrow(_contract, "a long, b long"), "forest0")
+    edges = scratch.table(edges if contracted else edges.mapInArrow(contract, "a long, b long"), "forest0")
     n, k = edges.count(), 0
     if n > per_task:
         mark = None
@@ -87,7 +89,7 @@ def connected_components(scratch: Scratch, edges: DataFrame, per_task: int = EDG
                 break
             mark = now
     else:
-        edges = edges.coalesce(1).mapInArrow(_contract, "a long, b long")
+        edges = edges.coalesce(1).mapInArrow(contract, "a long, b long")
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = found.select("component").distinct().select(F.col("component").alias("node"), "component")
     out = scratch.table(found.union(roots), "components")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from collatura.llm.common import Scratch, map_batches, names_beside, slices
-from collatura.llm.components import connected_components, forest
+from collatura.llm.components import connected_components, contract, forest
 
 #: Fingerprints of a tile, and the distinct ones up to which 1, 2, 4 blocks are counted.
 TILE = 2048
@@ -94,7 +94,7 @@ def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 
 
 def links(scratch: Scratch, prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints ``fp`` within ``radius`` bits.
+    """(a, b): links that connect all distinct fingerprints ``fp`` within ``radius`` bits, a forest for each task.
 
     The bits fall into blocks.  Fingerprints with equal counts of set bits in
     every block share tiles of some ``tile`` rows; two fingerprints within the
@@ -130,7 +130,7 @@ def links(scratch: Scratch, prints: DataFrame, radius: int = 3, tile: int = TILE
     # A pair of full tiles is some milliseconds of work: spread the pairs evenly.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     work = work.repartition(parts)
-    return map_batches(work, lambda it: _linked(it, radius), "a long, b long")
+    return map_batches(work, lambda it: contract(_linked(it, radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFrame:
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFra
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprints(docs, words), "rows")
     classes = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    nodes = connected_components(scratch, links(scratch, classes, radius))
+    nodes = connected_components(scratch, links(scratch, classes, radius), contracted=True)
     lowest = classes.join(nodes, F.col("fp") == F.col("node"))
     roots = lowest.groupBy("component").agg(F.min("least").alias("component_id"))
     named = lowest.join(roots, "component").select("fp", "component_id")
