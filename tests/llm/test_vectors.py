@@ -60,3 +60,50 @@ def test_estimates_are_unbiased_and_within_bounds():
         off.append(diff.mean())
         z.append(diff / error)
     assert abs(np.mean(off)) < 0.01 and np.abs(np.concatenate(z)).max() < 4
+
+
+def shuffled(spark, run):
+    """Bytes that Spark shuffles while ``run`` runs."""
+    context = spark.sparkContext
+
+    def stages():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        none = context._gateway.new_array(context._jvm.double, 0)
+        found = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    last = max(stages(), default=-1)
+    run()
+    return sum(n for k, n in stages().items() if k > last)
+
+
+def test_shuffle_follows_rows_not_pairs_of_tiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(rng.standard_normal((800, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    few, many = (shuffled(spark, lambda t=t: vectors.near_duplicates(df, tile=t).collect()) for t in (400, 10))
+    assert many < 2 * few  # 3 and some 3,000 pairs of tiles
+    assert many < 4 * 800 * 64 * 4
+
+
+def test_bound_misses_no_link_at_any_angle():
+    rng = np.random.default_rng(4)
+    for dim in (1, 2, 3, 8, 64):
+        x = rng.standard_normal((2000, dim))
+        x[:100] = np.sign(x[:100])  # a code may be its vector
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = np.array([near(rng, v, rng.uniform(0, np.arccos(0.9))) for v in x]) if dim > 1 else x
+        turn = vectors.rotation(dim)
+        codes, factors = vectors.encode(x, turn)
+        inner = (vectors.signs(codes, dim) * (y @ turn)).sum(axis=1)
+        assert (inner >= vectors.reach(factors, 0.9) - 1e-6).all()
+
+
+def test_one_dense_group_over_many_tiles(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(16)
+    rows = [(k, [float(x) for x in np.float32(near(rng, base / np.linalg.norm(base), rng.uniform(0.1, 0.5)))]) for k in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for tile in (16, 4096):
+        got = sorted((tuple(r) for r in vectors.near_duplicates(df, tile=tile).collect()), key=str)
+        assert got == plain(rows)
