@@ -10,12 +10,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from collatura.llm.common import Scratch, bit_filter, in_filter
+from collatura.llm.common import Scratch, bit_filter, in_filter, map_batches
 from collatura.llm.components import connected_components
 
 #: Rows of a tile, and the sum of their sizes, about which a bucket is cut.
 TILE, TILE_SIZE = 2000, 1 << 20
 
+#: Ranges of keys for each shuffle partition, rows that a task sorts at a time, and rows packed into one at most.
+CELLS, SORTED, PACK = 4, 1 << 18, 256
+
 #: (i, others): which of the rows ``others`` of a tile are alike its row i.
 Alike = Callable[[int, np.ndarray], np.ndarray]
 
@@ -39,15 +42,88 @@ def from_table(members: DataFrame) -> Members:
     return rows
 
 
-def shared(scratch: Scratch, members: Members) -> DataFrame:
-    """The distinct (key, id) whose key has two ids or more.
+def two_of_each(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key one id, and another if it has one; keys ascending."""
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    run = np.cumsum(first) - 1
+    other = np.flatnonzero(ids != ids[first][run])
+    take = first
+    take[other[np.flatnonzero(np.diff(run[other], prepend=-1))]] = True
+    return keys[take], ids[take]
+
+
+def _pack(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """(cell, rows): a task's two ids of each key, in ranges of keys; ``rows`` are its keys and then their ids."""
+    held: list[pa.RecordBatch] = []
+
+    def packs() -> Iterator[pa.RecordBatch]:
+        keys, ids = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(2))
+        held.clear()
+        keys, ids = two_of_each(keys.view(np.uint64), ids)
+        cell = ((keys >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int32)
+        edges = np.flatnonzero(np.diff(cell, prepend=-1, append=-1)).tolist()
+        spans = [(x, min(x + PACK, end)) for at, end in zip(edges, edges[1:]) for x in range(at, end, PACK)]
+        for k in range(0, len(spans), PACK):
+            part = spans[k : k + PACK]
+            rows = [keys[a:b].tobytes() + ids[a:b].tobytes() for a, b in part]
+            yield pa.RecordBatch.from_arrays([pa.array(cell[[a for a, _ in part]]), pa.array(rows, pa.binary())], names=["cell", "rows"])
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= SORTED:
+            yield from packs()
+    if held:
+        yield from packs()
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key): those with two ids or more in rows (cell, rows) sorted by cell."""
+    held: list[bytes] = []
+
+    def close() -> pa.RecordBatch:
+        flat = [np.frombuffer(x, np.uint64) for x in held]
+        held.clear()
+        keys, _ = two_of_each(*(np.concatenate(x) for x in ([x[: len(x) // 2] for x in flat], [x[len(x) // 2 :] for x in flat])))
+        return pa.RecordBatch.from_arrays([pa.array(keys[1:][keys[1:] == keys[:-1]].view(np.int64))], names=["key"])
+
+    cell = None
+    for batch in batches:
+        for at, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and at != cell:
+                yield close()
+            cell = at
+            held.append(rows)
+    if held:
+        yield close()
+
+
+def open_keys(rows: DataFrame, members: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(key): those with two ids or more among the (key, id) that ``members`` makes of a task's ``rows``.
+
+    The same as sums by key, for many keys of one id each: tasks sort what
+    they make and shuffle it packed, in ranges of keys, at 16 bytes a row and
+    at most two rows a key from each ``SORTED``.  Keys should be hashes, as
+    their upper bits deal them out.
+    """
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    packed = map_batches(rows, lambda it: _pack(members(it), n * CELLS), "cell int, rows binary")
+    return map_batches(packed.repartition(n, "cell").sortWithinPartitions("cell"), _unpack, "key long")
+
+
+def shared(scratch: Scratch, members: Members, opened: DataFrame | None = None) -> DataFrame:
+    """The distinct (key, id) whose key has two ids or more; ``opened`` are these keys, if they are found in another way.
 
     A key's least and greatest id are found with sums in every task first, and
     rows of other keys are dropped where they are read, so neither a hot key
     nor the many keys of one id meet in a task.
     """
-    open_ = members(None).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    open_ = scratch.table(open_, "open")
+    if opened is None:
+        opened = members(None).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    open_ = scratch.table(opened, "open")
     sent = scratch.spark.sparkContext.broadcast(bit_filter(open_, open_.count()))
     held = scratch.table(members(sent).distinct().join(open_, "key", "left_semi"), "held")
     scratch.drop("open")
@@ -61,6 +137,9 @@ def tile_forest(ids: np.ndarray, roots: np.ndarray, visits: np.ndarray, alike: A
     connects is not compared again.  ``visits`` marks rows of other tiles, if
     any: only these are compared, with the tile's own ones.
     """
+    if len(ids) == 2:  # most tiles
+        apart = roots[0] != roots[1] and not (visits[0] and visits[1])
+        return [(int(ids[0]), int(ids[1]))] if apart and alike(0, np.array([1]))[0] else []
     label = np.unique(roots, return_inverse=True)[1]
     left = label.max() + 1
     across, out = bool(visits.any()), []
@@ -83,14 +162,13 @@ def tile_forest(ids: np.ndarray, roots: np.ndarray, visits: np.ndarray, alike: A
 
 def _links(batches: Iterator[pa.RecordBatch], prepare: Callable[[pa.Array], Alike]) -> Iterator[pa.RecordBatch]:
     """Links of each tile; rows (group, id, root, visit, body) are sorted by group."""
-    open_: list[pa.RecordBatch] = []
+    open_: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = []
     done: list[tuple[int, int]] = []
 
     def close() -> None:
-        columns = [open_[0].column(k) if len(open_) == 1 else pa.concat_arrays([x.column(k) for x in open_]) for k in range(1, 5)]
-        ids, roots, visits = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in columns[:3])
-        if len(ids) > 1:
-            done.extend(tile_forest(ids, roots, visits, prepare(columns[3])))
+        *columns, bodies = open_[0] if len(open_) == 1 else [pa.concat_arrays(x) if isinstance(x[0], pa.Array) else np.concatenate(x) for x in zip(*open_)]
+        if len(columns[0]) > 1:
+            done.extend(tile_forest(*columns, prepare(bodies)))
         open_.clear()
 
     def links() -> pa.RecordBatch:
@@ -104,11 +182,12 @@ def _links(batches: Iterator[pa.RecordBatch], prepare: Callable[[pa.Array], Alik
         if not len(g):
             continue
         start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])).tolist()
+        ids, roots, visits = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
         for at, end in zip(start, [*start[1:], len(g)], strict=True):
             if open_ and g[at] != group:
                 close()
             group = g[at]
-            open_.append(batch.slice(at, end - at))
+            open_.append((ids[at:end], roots[at:end], visits[at:end], batch.column(4).slice(at, end - at)))
         if len(done) > 50_000:
             yield links()
     if open_:
@@ -131,10 +210,12 @@ def classes(
     prepare: Callable[[pa.Array], Alike],
     tile: int = TILE,
     tile_size: int = TILE_SIZE,
+    opened: DataFrame | None = None,
 ) -> DataFrame:
     """(node, component) of the ids that are alike some other id of a bucket.
 
-    ``members`` gives (key, id), twice; ``bodies(ids, n)`` returns
+    ``members`` gives (key, id), twice, or once if ``opened`` are the keys with
+    two ids or more; ``bodies(ids, n)`` returns
     (id, body, size) of the n ids that share a bucket; ``prepare`` takes the
     bodies of a tile and returns what compares them.  Buckets of the same ids
     count once.  A bucket is cut into tiles by ids; each tile's rows, and the
@@ -143,7 +224,7 @@ def classes(
     the rows outside the largest component then visit the bucket's other tiles,
     so no link is lost, and no pair of rows ever leaves a task.
     """
-    held = shared(scratch, members)
+    held = shared(scratch, members, opened)
     ids = scratch.table(held.select("id").distinct(), "ids")
     body = scratch.table(bodies(ids, ids.count()), "bodies")
     sized = held.join(body.select("id", "size"), "id")

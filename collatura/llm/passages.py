@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import math
-import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from collatura.llm.collide import Alike, classes, kept
+from collatura.llm.collide import Alike, classes, kept, open_keys
 from collatura.llm.common import Scratch, bit_filter, in_filter, names_beside, slices
 
 #: Words of a shingle, least similarity, words from which a paragraph is compared and from which a run of repeated ones counts.
@@ -24,7 +23,7 @@ SHINGLE, LEAST, PARAGRAPH, RUN = 5, 0.8, 8, 20
 RECALL, ROWS = 0.999, 2
 
 #: Paragraphs end at line ends and after the marks that end a sentence, as passages are copied into the middle of lines.
-_END = re.compile(rb"[.!?]+(?=[ \t\r\n])|\n")
+_ENDS = [(mark + space, mark + b"\n") for mark in (b".", b"!", b"?") for space in (b" ", b"\t", b"\r")]
 
 
 def tune(least: float = LEAST, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -52,13 +51,13 @@ def _joined(short: list[list[bytes]], before: int, least: int) -> Iterator[tuple
 
 def paragraphs(text: bytes, least: int = PARAGRAPH) -> Iterator[tuple[int, list[bytes]]]:
     """(number of words before, lower-cased words) of each paragraph; successive ones under ``least`` words are joined."""
-    before, at = 0, 0
+    before = 0
     short: list[list[bytes]] = []
     waiting = 0  # words in ``short``
     text = text.lower()
-    for end in chain((m.end() for m in _END.finditer(text)), [len(text)]):
-        words = text[at:end].split()
-        at = end
+    for end, line_end in _ENDS:
+        text = text.replace(end, line_end)
+    for words in map(bytes.split, text.split(b"\n")):
         if not words:
             continue
         if len(words) < least:
@@ -74,9 +73,13 @@ def paragraphs(text: bytes, least: int = PARAGRAPH) -> Iterator[tuple[int, list[
         yield from _joined(short, before - waiting, least)
 
 
+def _digests(words: list[bytes], size: int = SHINGLE) -> list[bytes]:
+    return list(map(xxhash.xxh64_digest, map(b" ".join, zip(*(words[i:] for i in range(size)))))) or [xxhash.xxh64_digest(b" ".join(words))]
+
+
 def shingles(words: list[bytes], size: int = SHINGLE) -> list[int]:
     """The words' shingles by hash; fewer words than a shingle form one."""
-    return list(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(size)))))) or [xxhash.xxh64_intdigest(b" ".join(words))]
+    return [int.from_bytes(x, "big") for x in _digests(words, size)]
 
 
 def number(words: list[bytes]) -> int:
@@ -129,14 +132,14 @@ def _scan(batches: Iterator[pa.RecordBatch], least_words: int, remember: int = 3
                         if len(seen) >= remember:
                             seen.clear()
                         seen.add(u)
-                        made += shingles(words)
+                        made += _digests(words)
                         ends.append(len(made))
                     else:
                         ends.append(None)
                 per_doc.append(k)
             new = np.array([e is not None for e in ends], bool)
             last = np.maximum.accumulate(np.array([0, *(e or 0 for e in ends)], np.int32))
-            bodies = pa.ListArray.from_arrays(pa.array(last), pa.array(np.array(made, np.uint64).view(np.int64)), mask=pa.array(~new))
+            bodies = pa.ListArray.from_arrays(pa.array(last), pa.array(np.frombuffer(b"".join(made), ">i8").astype(np.int64)), mask=pa.array(~new))
             doc, mix = (pa.array(np.repeat(np.arange(len(part)), per_doc)) for _ in range(2))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(doc), part.column(1).take(mix), pa.array(pos, pa.int32()), pa.array(word, pa.int64()), pa.array(size, pa.int32()), pa.array(np.array(unit, np.uint64).view(np.int64)), bodies],
@@ -165,18 +168,24 @@ def _bodies(batches: Iterator[pa.RecordBatch], wanted: Broadcast, remember: int
             sent.clear()
         sent.update(ids)
         batch = batch.filter(pa.array(fresh, pa.bool_()))
-        body = [np.unique(x.values.to_numpy()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.list_(pa.int64()))], names=["id", "body"])
+        flat, row = batch.column(1).flatten().to_numpy(), np.repeat(np.arange(len(batch)), np.diff(batch.column(1).offsets.to_numpy()))
+        order = np.lexsort((flat, row))
+        flat, row = flat[order], row[order]
+        once = np.ones(len(flat), bool)
+        once[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[once], minlength=len(batch)))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[once]))], names=["id", "body"])
 
 
 def similar(bodies: pa.Array, least: float) -> Alike:
     """Comparison of the rows of a tile by the Jaccard similarity of their distinct shingles."""
     if len(bodies) <= 4:
-        sets = [set(x) for x in bodies.to_pylist()]
+        flat, ends = bodies.flatten().to_numpy().tolist(), bodies.offsets.to_numpy().tolist()
+        sets = [set(flat[a - ends[0] : b - ends[0]]) for a, b in zip(ends, ends[1:])]
 
         def few(i: int, others: np.ndarray) -> np.ndarray:
-            both = np.array([len(sets[i] & sets[j]) for j in others.tolist()])
-            return both >= least * (len(sets[i]) + np.array([len(sets[j]) for j in others.tolist()]) - both) - 1e-12
+            both = [len(sets[i] & sets[j]) for j in others.tolist()]
+            return np.array([n >= least * (len(sets[i]) + len(sets[j]) - n) - 1e-12 for n, j in zip(both, others.tolist())])
 
         return few
     size = np.diff(bodies.offsets.to_numpy())
@@ -215,7 +224,7 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
     them is a document.  Paragraphs repeated only within one document are no
     run.  Empty tables and tables without repeats give no rows.
     """
-    scratch = Scratch(docs.sparkSession, "passages")
+    scratch = Scratch(docs.sparkSession, "passages", tidy=True)
     bands = tune(least, recall)
     texts = names_beside(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("mix"), "text")
     found = texts.mapInArrow(lambda it: _scan(it, least_words), "doc_id long, mix long, pos int, word long, size int, unit long, shingles array<long>")
@@ -227,7 +236,8 @@ def repeated_passages(docs: DataFrame, least: float = LEAST, least_words: int =
         made = whole.mapInArrow(lambda it: _bodies(it, wanted), "id long, body array<long>")
         return made.join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("body").alias("body")).withColumn("size", F.size("body"))
 
-    near = classes(scratch, lambda sent: whole.mapInArrow(lambda it: _keys(it, bands, ROWS, sent), "key long, id long"), bodies, lambda held: similar(held, least))
+    opened = open_keys(whole, lambda it: _keys(it, bands, ROWS, None))
+    near = classes(scratch, lambda sent: whole.mapInArrow(lambda it: _keys(it, bands, ROWS, sent), "key long, id long"), bodies, lambda held: similar(held, least), opened=opened)
     # Documents of a class: ids, and of rows without one the texts.
     nameless = F.when(F.col("doc_id").isNull(), F.col("mix"))
     docs_of = [f(x).alias(f"{n}_{f.__name__}") for n, x in (("id", F.col("doc_id")), ("own", nameless)) for f in (F.min, F.max)]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from collatura.llm import collide
@@ -79,3 +80,43 @@ def test_bit_filter_knows_its_keys(spark):
     assert in_filter(made, np.array(keys, np.int64).view(np.uint64)).all()
     other = np.array([rng.getrandbits(64) for _ in range(3000)], np.uint64)
     assert in_filter(made, other).mean() < 0.1
+
+
+def test_two_of_each_key():
+    rng = random.Random(4)
+    for _ in range(200):
+        keys, ids = (np.array([rng.randrange(k) for _ in range(50)]) for k in (12, 3))
+        k, i = collide.two_of_each(keys.astype(np.uint64), ids)
+        for key in set(keys.tolist()):
+            own, got = set(ids[keys == key].tolist()), i[k == key].tolist()
+            assert len(got) == len(set(got)) == min(len(own), 2) and set(got) <= own
+
+
+def test_open_keys_in_packs(spark, monkeypatch):
+    """Also where a task sorts its rows in parts, a range of keys spans several packs and a key has many rows."""
+    rng = random.Random(5)
+    hashed = lambda k: (k * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63)
+    rows = [(hashed(rng.randrange(4000)), rng.randrange(-3, 3)) for _ in range(5000)] + [(hashed(5000), i) for i in range(900)] + [(hashed(5001), 7)] * 900
+    ids = {}
+    for k, i in rows:
+        ids.setdefault(k, set()).add(i)
+    df = spark.createDataFrame(rows, "key long, id long").repartition(3)
+    whole = lambda it: it
+    got = [r["key"] for r in collide.open_keys(df, whole).collect()]
+    assert sorted(got) == sorted(k for k, v in ids.items() if len(v) > 1)
+    assert collide.open_keys(df.limit(0), whole).count() == 0
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[at : at + 500])], names=["key", "id"]) for at in range(0, len(rows), 500)]
+    monkeypatch.setattr(collide, "SORTED", 1000)
+    monkeypatch.setattr(collide, "PACK", 16)
+    packs = pa.Table.from_batches(collide._pack(iter(batches), 3)).sort_by("cell")
+    assert packs.num_rows > 200 and max(map(len, packs["rows"].to_pylist())) == 256
+    assert sum(map(len, packs["rows"].to_pylist())) <= 16 * len(rows)
+    got = [k for b in collide._unpack(iter(packs.to_batches(max_chunksize=7))) for k in b.column(0).to_pylist()]
+    assert sorted(got) == sorted(k for k, v in ids.items() if len(v) > 1)
+
+
+def test_tiles_of_two_rows():
+    yes = lambda i, others: np.ones(len(others), bool)
+    for roots, visits, linked in (((1, 2), (0, 0), True), ((1, 1), (0, 0), False), ((1, 2), (0, 1), True), ((1, 2), (1, 0), True), ((1, 2), (1, 1), False)):
+        out = collide.tile_forest(np.array([1, 2]), np.array(roots), np.array(visits, bool), yes)
+        assert [set(x) for x in out] == [{1, 2}] * linked

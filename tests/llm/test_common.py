@@ -1,4 +1,9 @@
-from collatura.llm.common import hash_sample
+import time
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from collatura.llm.common import _CLEANUP, Scratch, hash_sample
 
 
 def test_sample_is_as_large_as_its_bound(spark):
@@ -14,3 +19,22 @@ def test_a_hot_key_leaves_no_sample_empty(spark):
     hot = spark.range(300).selectExpr("3L AS key")
     assert hash_sample(hot, "key", 20).count() == 20
     assert hash_sample(hot.unionByName(spark.range(100).selectExpr("id AS key")), "key", 150).count() == 150
+
+
+def test_a_tidy_table_leaves_no_shuffle_files(spark):
+    """Its rows are whole, the session's setting is as before, and a frame can be written again."""
+    was = spark.conf.get(_CLEANUP, None)
+    folders = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    held = lambda: set(folders.rglob("shuffle_*"))
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n")).repartition(3, "n")
+    for tidy in (False, True, True):
+        before, scratch = held(), Scratch(spark, "tidy", tidy=tidy)
+        assert sorted(map(tuple, scratch.table(df, "t").collect())) == [(k, 100) for k in range(10)]
+        new = held() - before
+        for _ in range(50):  # files go in the background
+            if not tidy or not new & held():
+                break
+            time.sleep(0.1)
+        assert bool(new & held()) != tidy
+        scratch.close()
+    assert spark.conf.get(_CLEANUP, None) == was

@@ -1,10 +1,13 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from collatura.llm import passages as P
+from collatura.llm.collide import _pack, open_keys
 
 SCHEMA = "doc_id long, text string, class long, pos int"
 
@@ -147,3 +150,27 @@ def test_joined_units_cover_all_words():
         n = sum(map(len, short))
         assert {k for b, w in units for k in range(b, b + len(w))} == set(range(5, 5 + n))
         assert all(a[0] <= b[0] and a[0] + len(a[1]) <= b[0] + len(b[1]) for a, b in zip(units, units[1:]))
+
+
+def test_paragraphs_end_after_marks_and_lines():
+    rng = random.Random(8)
+    end = re.compile(rb"[.!?]+(?=[ \t\r\n])|\n")
+    for _ in range(3000):
+        text = bytes(rng.choice(b"aB.!? \t\r\n\x0b\x0c") for _ in range(rng.randrange(16)))
+        cuts = [0, *(m.end() for m in end.finditer(text)), len(text)]
+        want = [w for a, b in zip(cuts, cuts[1:]) if (w := text[a:b].lower().split())]
+        assert [w for _, w in P.paragraphs(text, 1)] == want
+
+
+def test_shared_keys_move_in_few_bytes(spark):
+    """The keys of paragraphs, nearly all of one id each, were 24 bytes a row; packed they are 16."""
+    rng = random.Random(9)
+    units = [(k, [rng.getrandbits(62) for _ in range(10)]) for k in range(3000)] + [(-k, [7, 8, 9]) for k in range(1, 4)]
+    df = spark.createDataFrame(units, "unit long, shingles array<long>").repartition(2)
+    bands = P.tune()
+    keys = lambda it: P._keys(it, bands, P.ROWS, None)
+    packs = df.mapInArrow(lambda it: _pack(keys(it), 8), "cell int, rows binary").collect()
+    assert sum(len(r["rows"]) for r in packs) <= 16 * bands * len(units)
+    want = df.mapInArrow(keys, "key long, id long").groupBy("key").agg(F.countDistinct("id").alias("n")).where("n > 1")
+    got = [r["key"] for r in open_keys(df, keys).collect()]
+    assert len(got) >= bands and sorted(got) == sorted(r["key"] for r in want.collect())
