@@ -1,4 +1,6 @@
 import random
+import time
+from difflib import SequenceMatcher
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,3 +82,35 @@ def test_similarity_and_introduction(spark):
     assert phantom == {"0": 1.5, "1": 0.0, "2": 0.0}
     rows = spark.createDataFrame([("0", 0.5), ("0", 1.5), ("2", 0.0)], "pair string, t double")
     assert A.skip_phantom(rows, A.phantom_seconds(ops, timed)).count() == 2 and A.skip_phantom(rows, 1.0).count() == 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.permutations(range(12)), st.lists(st.integers(0, 20), max_size=14, unique=True), st.integers(0, 3))
+def test_words_that_occur_once_are_aligned_as_difflib_does(a, b, more):
+    a, b = ["q"] * more + [str(x) for x in a], [str(x) for x in b] + ["z"] * more
+    assert A._blocks_of(a, b) is not None
+    assert A.opcodes_of(a, b) == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    assert A._blocks_of(["a", "a"], ["a"]) is None and A._blocks_of(["a"], ["a", "a"]) is None
+
+
+def test_time_follows_the_length_where_words_occur_once():
+    """Many equal runs: to search all words again for each run would take minutes here."""
+    b = [f"w{i}" for i in range(100_000)]
+    a = [w if i % 20 else "x" for i, w in enumerate(b)]
+    began = time.perf_counter()
+    ops = A.opcodes_of(a, b)
+    assert time.perf_counter() - began < 10
+    assert len(ops) == 10_000 and rebuilt(a, b, ops) == (b, a)
+
+
+def test_summaries_tell_what_the_operations_tell(spark):
+    rng = random.Random(4)
+    pairs = [(" ".join(rng.choices("abcdefgh", k=rng.randrange(40))), " ".join(rng.choices("abcdefgh", k=rng.randrange(40)))) for _ in range(40)]
+    df = frame(spark, *pairs, ("студия шёл дождь и было", "шёл дождь и было"), (None, "a"))
+    got = {r["pair"]: r for r in A.summaries(df).collect()}
+    ops = A.align(df)
+    for r in A.similarity(ops).collect():
+        assert (got[r["pair"]]["n_equal"], got[r["pair"]]["n_a"], got[r["pair"]]["n_b"]) == (r["n_equal"], r["n_a"], r["n_b"])
+    assert {r["pair"]: r["count"] for r in ops.groupBy("pair").count().collect()} == {k: r["n_ops"] for k, r in got.items() if r["n_ops"]}
+    first = ops.where("tag = 'equal' AND a_hi - a_lo >= 4").groupBy("pair").agg(F.min("a_lo").alias("pos"))
+    assert {r["pair"]: r["pos"] for r in first.collect()} == {k: r["begins"] for k, r in got.items() if r["begins"] is not None}
