@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from collatura.functions.text import norm_word
+from collatura.operators.pairs import deletions
 
 
 def words_match(a: Column, b: Column, short: int = 3, edits: int = 1) -> Column:
@@ -16,11 +17,28 @@ def words_match(a: Column, b: Column, short: int = 3, edits: int = 1) -> Column:
 
 
 def golden_matches(golden: DataFrame, kept: DataFrame, seconds: float = 5.0) -> DataFrame:
-    """``golden`` with ``found``: whether a kept error of its chapter and type has its words within ``seconds``."""
-    g = golden.withColumn("_g", F.monotonically_increasing_id())
-    k = kept.select(F.col("chapter_id").alias("_ch"), F.col("type").alias("_ty"), F.col("wrong").alias("_w"), F.col("correct").alias("_c"), F.col("t").alias("_t"))
-    test = (F.col("chapter_id") == F.col("_ch")) & (F.col("type") == F.col("_ty")) & words_match(F.col("wrong"), F.col("_w")) & words_match(F.col("correct"), F.col("_c")) & (F.abs(F.col("time_seconds") - F.col("_t")) <= seconds)
-    return g.join(k, test, "left").groupBy("_g", *golden.columns).agg(F.coalesce(F.bool_or(F.col("_ch").isNotNull()), F.lit(False)).alias("found")).drop("_g")
+    """``golden`` with ``found``: whether a kept error of its chapter and type has its words within ``seconds``.
+
+    Errors meet on equality, so no chapter is compared with itself as a whole:
+    a stretch of time, and a key among the decisive word and its one-letter
+    deletions, one of which words that match share.
+    """
+    key, names = ["chapter_id", "type", "wrong", "correct"], ["_ch", "_ty", "_w", "_c"]
+    span = max(4.0 * seconds, 1.0)
+    stretch = lambda t: F.floor(t.cast("double") / span)
+    word = lambda type_, wrong, correct: norm_word(F.when(type_ == "insertion", wrong).otherwise(correct))
+    g = golden.select(*key, "time_seconds").distinct()
+    g = g.withColumns({"_at": stretch(F.col("time_seconds")), "_key": F.explode(deletions(word(F.col("type"), F.col("wrong"), F.col("correct"))))})
+    k = kept.select(*[F.col(a).alias(b) for a, b in zip(key, names, strict=True)], F.col("t").alias("_t")).distinct()
+    # More than ``seconds`` at either side, so that rounding loses nothing.
+    near = F.sequence(stretch(F.col("_t").cast("double") - 0.375 * span), stretch(F.col("_t").cast("double") + 0.375 * span))
+    k = k.withColumn("_at", F.explode(near)).withColumn("_key", F.explode(deletions(word(F.col("_ty"), F.col("_w"), F.col("_c")))))
+    k = k.withColumnsRenamed({"_at": "_at2", "_key": "_key2"})
+    test = (F.col("chapter_id") == F.col("_ch")) & (F.col("type") == F.col("_ty")) & (F.col("_at") == F.col("_at2")) & (F.col("_key") == F.col("_key2"))
+    test &= words_match(F.col("wrong"), F.col("_w")) & words_match(F.col("correct"), F.col("_c")) & (F.abs(F.col("time_seconds") - F.col("_t")) <= seconds)
+    found = g.join(k, test, "left_semi").select(*[F.col(c).alias(f"_{c}") for c in (*key, "time_seconds")]).distinct().withColumn("_f", F.lit(True))
+    same = [F.col(c) == F.col(f"_{c}") for c in (*key, "time_seconds")]
+    return golden.join(found, same, "left").withColumn("found", F.coalesce("_f", F.lit(False))).select(*golden.columns, "found")
 
 
 def recall(matches: DataFrame, by: str = "chapter_id") -> DataFrame:

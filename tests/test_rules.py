@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from collatura.operators import filters, rules, tracker
-from collatura.operators.evaluation import golden_matches, recall
+from collatura.operators.evaluation import golden_matches, recall, words_match
 from collatura.plans import chapters
 from tests import fixtures
 
@@ -133,3 +135,27 @@ def test_chains(spark):
 def test_reason_counts(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "filter_reason string")
     assert {r["reason"]: (r["n"], round(r["share"], 3)) for r in rules.reason_counts(df).collect()} == {"a": (2, 0.667), "kept": (1, 0.333), "total": (3, 1.0)}
+
+
+def test_golden_errors_meet_on_time_and_words_as_if_all_were_compared(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("абя-", k=rng.randrange(7)))
+    some = lambda f: None if rng.random() < 0.03 else f()
+    kind = lambda: some(lambda: rng.choice(["insertion", "deletion", "substitution"]))
+    golden = [(some(lambda: rng.choice("12")), kind(), some(word), some(word), some(lambda: rng.randrange(-9, 60))) for _ in range(250)]
+    golden += golden[:20]
+    kept = [(some(lambda: rng.choice("12")), kind(), some(word), some(word), some(lambda: rng.randrange(-18, 120) * 0.5)) for _ in range(250)]
+    kept += [(c, t, w, x, float(at + 5)) for c, t, w, x, at in golden[:40] if at is not None]
+    kept += [(c, t, w, x and x + "я", at - 4.5) for c, t, w, x, at in golden[40:120] if at is not None]
+    g = spark.createDataFrame(golden, "chapter_id string, type string, wrong string, correct string, time_seconds int")
+    k = spark.createDataFrame(kept, "chapter_id string, type string, wrong string, correct string, t double")
+    match = lambda a, b: words_match(F.col(f"g.{a}"), F.col(f"k.{b}"))
+    near = F.abs(F.col("g.time_seconds") - F.col("k.t")) <= 5
+    all_ = g.alias("g").join(k.alias("k"), (F.col("g.chapter_id") == F.col("k.chapter_id")) & (F.col("g.type") == F.col("k.type")) & match("wrong", "wrong") & match("correct", "correct") & near)
+    found = {tuple(r) for r in all_.select("g.*").collect()}
+    assert 40 < len(found) < len(set(golden))
+    got = golden_matches(g, k)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((*r, r in found)) for r in golden)
+    # The join is on all of these, so no chapter is compared with itself as a whole.
+    keys = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftSemi" in line]
+    assert len(keys) == 1 and "_at" in keys[0] and "_key" in keys[0]
